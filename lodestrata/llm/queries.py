@@ -93,7 +93,7 @@ WITH texts AS (
   SELECT 'page' AS record_kind, id AS record_id, text_content AS t FROM crawled_pages
   UNION ALL SELECT 'chunk', id, text FROM knowledge_chunks)
 SELECT record_kind, record_id,
-  CASE WHEN list_max(list_transform(string_split_regex(t, '[ \t\r\n.!?。！？]'), x -> length(x))) > 2600 THEN 'forced' ELSE 'natural' END AS cut_kind
+  CASE WHEN list_max(list_transform(string_split_regex(t, '[ \t\r\n.!?。！？]'), lambda x: length(x))) > 2600 THEN 'forced' ELSE 'natural' END AS cut_kind
 FROM texts WHERE length(t) > 2600""",
     "p6_found": """
 SELECT container_kind, doc_id FROM documents JOIN pack_containers ON strlen(text) + 1 > capacity_tokens""",
