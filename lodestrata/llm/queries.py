@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import garbled, leakage, packing, reading_level, repeated_lines, splitting
+from lodestrata.llm import boilerplate, garbled, leakage, packing, reading_level, repeated_lines, residue, splitting
 from lodestrata.sources.tables import table
 
 
@@ -19,6 +19,14 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_fields(table(spark, sf_dir, "crawled_pages"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture_lines(table(spark, sf_dir, "crawled_pages"))
+
+
+def p2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.articles(table(spark, sf_dir, "crawled_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf_dir, "crawled_pages"))
 
@@ -27,6 +35,14 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "crawled_pages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_fields(table(spark, sf_dir, "crawled_pages")).select("page_id", "field_name")
+
+
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_fields(table(spark, sf_dir, "crawled_pages")).groupBy("field_name", "residue_kind").agg(F.count("*").alias("fields"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_records(table(spark, sf_dir, "crawled_pages"), table(spark, sf_dir, "knowledge_chunks"))
 
@@ -74,7 +90,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.join(docs.select("doc_id", "source", "n_chars"), "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_pages, p5_found, p5_pieces, p6_found, p6_assignments, p6_fill, p7_found, p7_leaks, p8_found, p8_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_articles, p3_found, p3_pages, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p6_assignments, p6_fill, p7_found, p7_leaks, p8_found, p8_profile)}
 
 ORACLE_SQL: dict[str, str] = {
     "p3_found": r"""
