@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import furniture as K
 from lodestrata.llm.codepoints import map_text
+from lodestrata.llm.garbled import legacy_reading, utf8_readings
 from lodestrata.llm.repeated_lines import repeated_lines, site_of
 from lodestrata.llm.residue import SCRIPT, Exemplars
 
@@ -23,6 +24,19 @@ from lodestrata.llm.residue import SCRIPT, Exemplars
 LEAST_ARTICLE = 60
 
 
+def _readings(line: str) -> list[str]:
+    """What a line that is mostly outside ASCII may have been before it was read in a wrong encoding."""
+    high = sum(c > "\x7f" for c in line)
+    if high < 3 or high < 0.3 * sum(map(str.isalpha, line)):
+        return []
+    out = [new for codec in ("cp1252", "cp1251", "cp437", "mac_roman") for new, n in (utf8_readings(line, codec),) if n]
+    if "‚" in line or "ƒ" in line:
+        out.append(legacy_reading(line, "cp1252", "shift_jis") or "")
+    elif not out:
+        out.append(legacy_reading(line, "koi8_r", "cp1251") or "")
+    return [x for x in out if x]
+
+
 class Classifier:
     """Labels of a page's lines; remembers what it found for lines it has met."""
 
@@ -35,7 +49,10 @@ class Classifier:
         if found is None:
             if len(self._kinds) > 100_000:
                 self._kinds.clear()
-            found = (K.kind(line), self.exemplars.best(line))
+            k, r = K.kind(line), self.exemplars.best(line)
+            if k in (K.SHORT, K.GOOD, K.COMMENT) and r is None and not line.isascii() and len(line) < 400:
+                k = next((other for new in _readings(line) if (other := K.BAD if K.is_breadcrumb(new, None) else K.kind(new)) in (K.BAD, K.HEAD, K.COMMENT_HEAD)), k)
+            found = (k, r)
             self._kinds[line] = found
         return found
 
@@ -66,7 +83,7 @@ class Classifier:
                 label[i], under = False, k
             elif k == K.BAD:
                 label[i] = False
-            elif under == K.COMMENT_HEAD and (k == K.COMMENT or K._COMMENT.match(lines[i].strip())):
+            elif under == K.COMMENT_HEAD and (k == K.COMMENT or K._COMMENT.match(" ".join(lines[i].split()))):
                 label[i] = False
             elif under == K.HEAD and k in (K.SHORT, K.COMMENT) and not _own(lines[i]):
                 label[i] = False

@@ -64,7 +64,7 @@ _PLAIN = re.compile(
     # legal lines and footers
     r"\(c\) ?\d{4}|copyright\b.{0,60}$|(?:\d{4} )?[\w .,'-]{2,60}all rights reserved|.{0,60}alle rechte vorbehalten|.{0,60}tous droits r|.{0,60}todos (?:los|os) d|.{0,80}is published by the |reproduction (?:of this material|interdite)|nachdruck nur mit|the information on .{2,60} is given without|.{0,20}alle angaben ohne|.{2,60} d?c?line toute responsabilit|.{2,60} no se hace responsable|.{2,60} no se responsabiliza|.{2,60} n?o se responsabiliza|powered by |made with (?:care|love)|proudly "
     # sharing, signing up, advertising
-    r"|follow us\b|join \d+ readers|join our |sign up for |subscribe\b.{0,80}$|print this page|save for later|share (?:this|on)\b.{0,60}$|listen to this article|download our app|like what you read|was this (?:page |article )?helpful|\d+ people (?:shared|like)|advertisement$|anzeige$|sponsored\b.{0,30}$|leave a comment|back to top|if you enjoyed this |our free (?:letter|newsletter)|newsletter abonnieren|artikel drucken|diesen beitrag teilen|artikel teilen|beitrag teilen|nach oben|publicit|imprimer la page|partager |abonnez-vous|haut de page|compartir |imprimir|suscrbase|volver arriba|partilhar |assine |voltar ao topo|publicidad|(?:hot|trending|popular) (?:right )?now ?:|trending ?:"
+    r"|follow us\b|join \d+ readers|join our |sign up for |subscribe\b.{0,80}$|print this page|save for later|share (?:this|on)\b.{0,60}$|listen to this article|download our app|like what you read|was this (?:page |article )?helpful|\d+ people (?:shared|like)|advertisement$|anzeige$|sponsored\b.{0,30}$|leave a comment|back to top|if you enjoyed this |our free (?:letter|newsletter)|this story belongs to our .{2,60} desk|members read .{2,80} without ads|newsletter abonnieren|artikel drucken|diesen beitrag teilen|artikel teilen|beitrag teilen|nach oben|publicit|imprimer la page|partager |abonnez-vous|haut de page|compartir |imprimir|suscrbase|volver arriba|partilhar |assine |voltar ao topo|publicidad|(?:hot|trending|popular) (?:right )?now ?:|trending ?:"
     # page numbers
     r"|(?:page|seite|pgina|page) \d+ (?:of|von|sur|de) \d+$|previous \d|(?:previous|next)(?: \d+)*$|go to page"
     # tags
@@ -109,7 +109,7 @@ BAD, HEAD, COMMENT_HEAD, COMMENT, GOOD, SHORT = "bad", "teaser head", "comment h
 
 def kind(line: str) -> str:
     """``bad`` furniture, a ``teaser head`` or ``comment head``, a possible ``comment``, ``good`` running text, or an undecided ``short`` line."""
-    stripped = line.strip()
+    stripped = " ".join(line.split())
     s = skeleton(stripped)
     bare = s.lstrip("*-+ ").strip()
     if len(s) < 300 and _COOKIE.search(s) and _CONSENT.search(s) and not _QUOTED.search(stripped[:200]):

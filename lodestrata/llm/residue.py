@@ -49,6 +49,10 @@ Oops
 Error
 Internal Server Error
 500 Internal Server Error
+Internal server error. Our engineers were told; reference 3fbab20858.
+Time: 00:21, client 55f1f5
+Go back to www.site.example
+Accès refusé. Référence c0f0c0.
 503 Service Unavailable
 502 Bad Gateway
 Access Denied
@@ -81,7 +85,7 @@ Service momentanément indisponible, réessayez dans 5 minutes.
 Accès refusé.
 Error 404: página no encontrada.
 Página no encontrada
-Acceso denegado.
+Acceso denegado (1689697118).
 Servicio no disponible por el momento, inténtelo más tarde.
 Erro 404: página não encontrada.
 Página não encontrada
@@ -110,18 +114,22 @@ Este é um texto de exemplo. Seu texto aqui.
 }
 
 _PLACEHOLDER = re.compile(
-    r"\{\{\s*[\w.|]+(?: [\w.|]+)*\s*\}\}|\$\{\s*[\w.]+\s*\}|\[\[\s*[\w.]+\s*\]\]|<%=?\s*[\w.]+\s*%>|%%\s*[\w.]+\s*%%|@@\s*[\w.]+\s*@@|__[A-Z]+(?:_[A-Z]+)*__|\[(?:insert|your|add|enter) [\w ]{2,40}\]|(?:&lt;|<)(?:title|headline|author|body|caption|category|date|price|product|section|site|summary|teaser|user|name|company|address|email|phone)(?:&gt;|>)|\bTODO: ?\w+ \w+|\bTBD\b|\[object Object\]|#\{[\w.]+\}|\{%\s*[\w. ]+\s*%\}"
+    r"\{\{\s*[\w.|]+(?: [\w.|]+)*\s*\}\}|\$\{\s*[\w.]+\s*\}|\[\[\s*[\w.]+\s*\]\]|<%=?\s*[\w.]+\s*%>|%%\s*[\w.]+\s*%%|@@\s*[\w.]+\s*@@|__[A-Z]+(?:_[A-Z]+)*__|\[(?:insert|your|add|enter) [\w ]{2,40}\]|(?:&lt;|<)(?:title|headline|author|body|caption|category|date|price|product|section|site|summary|teaser|user|name|company|address|email|phone)(?:&gt;|>)|<[a-z][\w ]{1,30} (?:goes )?here>|<(?:your|insert|enter) [\w ]{2,30}>|\bTODO: ?\w+ \w+|\bTBD\b|\[object Object\]|#\{[\w.]+\}|\{%\s*[\w. ]+\s*%\}"
     , re.I)
 _CASED = re.compile(r"\bTODO|\bTBD|__[A-Z]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _WIDE = re.compile(r"[぀-ヿ一-鿿]+")
+#: Neither ASCII nor Cyrillic, kana or ideographs.
+_ACCENTED = re.compile(r"[^\x00-\x7f\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff]+")
 _QUOTES = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|「[^」\n]*」")
 
 
 def tokens(text: str) -> list[str]:
-    """Words in lower case; of Japanese, pairs of characters."""
-    found = _TOKEN.findall(text.lower())
-    if text.isascii() or not _WIDE.search(text):
+    """Words in lower case, without accented letters or what a wrong encoding made of them; of Japanese, pairs of characters."""
+    if text.isascii():
+        return _TOKEN.findall(text.lower())
+    found = _TOKEN.findall(_ACCENTED.sub("", text.lower()))
+    if not _WIDE.search(text):
         return found
     out: list[str] = []
     for w in found:
@@ -170,7 +178,7 @@ class Exemplars:
     def fit(cls, texts: DataFrame, labelled: dict[str, str] = EXEMPLARS) -> Exemplars:
         """With weights from the document frequencies over all rows of the column ``text``."""
         vocabulary = sorted({t for lines in labelled.values() for t in tokens(lines)})
-        held = texts.select(F.array_intersect(F.split(F.lower("text"), r"[^\p{L}]+"), F.array(*[F.lit(t) for t in vocabulary])).alias("held"))
+        held = texts.select(F.array_intersect(F.split(F.regexp_replace(F.lower("text"), r"[^\x00-\x7f\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff]+", ""), r"[^\p{L}]+"), F.array(*[F.lit(t) for t in vocabulary])).alias("held"))
         counted = held.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
         n = texts.where(F.length("text") > 0).count()
         rows = {r[0]: r[1] for r in counted.collect()}  # at most the exemplars' vocabulary
