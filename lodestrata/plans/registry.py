@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +28,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Importing a module of plans registers its queries."""
+    for name in ("crawl", "retrieval"):
+        import_module(f"lodestrata.plans.{name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    _load()
+    return _QUERIES["hybrid_rrf"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
