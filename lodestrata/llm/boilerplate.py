@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import furniture as K
 from lodestrata.llm.codepoints import map_text
 from lodestrata.llm.garbled import legacy_reading, utf8_readings
-from lodestrata.llm.repeated_lines import repeated_lines, site_of
+from lodestrata.llm.repeated_lines import site_of, standing_numbers, with_standing_lines
 from lodestrata.llm.residue import SCRIPT, Exemplars
 
 #: Fewer characters of article than this beside a script notice, and the notice stands in its place.
@@ -43,19 +43,29 @@ class Classifier:
     def __init__(self, exemplars: Exemplars) -> None:
         self.exemplars = exemplars
         self._kinds: dict[str, tuple[str, str | None]] = {}
+        self._residue: dict[str, str | None] = {}
 
     def _kind(self, line: str) -> tuple[str, str | None]:
         found = self._kinds.get(line)
         if found is None:
             if len(self._kinds) > 100_000:
                 self._kinds.clear()
-            k, r = K.kind(line), self.exemplars.best(line)
+            k, r = K.kind(line), self.residue(line)
             if k in (K.SHORT, K.GOOD, K.COMMENT) and r is None and not line.isascii() and len(line) < 400:
                 k = next((other for new in _readings(line) if (other := K.BAD if K.is_breadcrumb(new, None) else K.kind(new)) in (K.BAD, K.HEAD, K.COMMENT_HEAD)), k)
             found = (k, r)
             self._kinds[line] = found
         return found
 
+    def residue(self, line: str) -> str | None:
+        """The kind of residue a line is, if it is any."""
+        found = self._residue.get(line, self)
+        if found is self:
+            if len(self._residue) > 100_000:
+                self._residue.clear()
+            found = self._residue[line] = self.exemplars.best(line)
+        return found
+
     def label(self, lines: list[str], title: str | None, host: str | None, standing: set[int]) -> list[bool | None]:
         """For each line whether it belongs to the article; None for blank ones. ``standing`` holds the numbers, from 1, of the lines the site repeats."""
         n = len(lines)
@@ -118,22 +128,22 @@ def line_labels(pages: DataFrame, *, id_col: str = "id", url_col: str = "normali
     table gives an empty result.
     """
     exemplars = exemplars or Exemplars.fit(pages.select(F.col(text_col).alias("text")))
-    standing = repeated_lines(pages, id_col=id_col, url_col=url_col, text_col=text_col).groupBy("page_id").agg(F.collect_set("line_no").alias("standing"))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("host"), F.col(title_col).alias("title"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
+    base = with_standing_lines(base).where(F.length("text") > 0)
     classifier = Classifier(exemplars)
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         at, no, article = [], [], []
-        columns = [block.column(c).to_pylist() for c in ("host", "title", "text", "standing")]
-        for k, (host, title, text, standing_) in enumerate(zip(*columns, strict=True)):
-            for i, good in enumerate(classifier.label(text.split("\n"), title, host, set(standing_ or ()))):
+        host, title, text = (block.column(c).to_pylist() for c in ("site", "title", "text"))
+        for k, own in enumerate(standing_numbers(text, block.column("hot"))):
+            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], host[k], own)):
                 if good is not None:
                     at.append(k)
                     no.append(i + 1)
                     article.append(good)
         return pa.RecordBatch.from_arrays([block.column("page_id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(article, pa.bool_())], ["page_id", "line_no", "article"])
 
-    return map_text(base.join(standing, "page_id", "left"), run, "page_id long, line_no int, article boolean", "text")
+    return map_text(base, run, "page_id long, line_no int, article boolean", "text")
 
 
 def furniture_lines(pages: DataFrame, **columns: str) -> DataFrame:

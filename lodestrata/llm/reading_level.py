@@ -167,12 +167,17 @@ class LevelModel:
             raise ValueError("graded samples of at least two levels are needed")
         graded = cls.vocabulary(samples)
         every = [features(p, Vocabulary(graded)) for _, p in samples]
-        # a word's own text must not vouch for it: held-out vocabulary features, in five parts
+        # a word's own text must not vouch for it: held-out vocabulary features, in five parts of all levels
+        met: dict[int, int] = {}
+        fold = []
+        for k, _ in samples:
+            fold.append(met.get(k, 0) % 5)
+            met[k] = met.get(k, 0) + 1
         for part in range(5):
-            rest = cls.vocabulary([s for i, s in enumerate(samples) if i % 5 != part])
-            v = Vocabulary(rest)
-            for i in range(part, len(samples), 5):
-                every[i] = features(samples[i][1], v)
+            v = Vocabulary(cls.vocabulary([s for s, f in zip(samples, fold, strict=True) if f != part]))
+            for i, f in enumerate(fold):
+                if f == part:
+                    every[i] = features(samples[i][1], v)
         stacked = np.concatenate(every)[:, :-1]
         mean, scale = stacked.mean(0), stacked.std(0) + 1e-9
         x = [(f[:, :-1] - mean) / scale for f in every]

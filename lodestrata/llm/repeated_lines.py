@@ -97,16 +97,11 @@ def _page_chunks(block: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(row[new])), pa.array(chunk[new])], ["site", "chunk"])
 
 
-def _candidates(block: pa.RecordBatch) -> pa.RecordBatch:
-    """The lines of each page all of whose chunks are in the row's array ``hot``."""
-    lines = Lines(block.column("text").to_pylist())
-    line, chunk = lines.chunks()
-    row = lines.row[line]
-    hot = block.column("hot")
-    values, offsets = np.asarray(hot.flatten()), np.asarray(hot.offsets) - hot.offsets[0].as_py()
+def _held(row: np.ndarray, value: np.ndarray, arrays: pa.ListArray) -> np.ndarray:
+    """Whether each value is in the array of its row, by one sort."""
+    values, offsets = np.asarray(arrays.flatten()), np.asarray(arrays.offsets) - arrays.offsets[0].as_py()
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    # membership of (row, chunk) among (row, hot), by one sorted array
-    both_row, both = np.concatenate([owner, row]), np.concatenate([values, chunk])
+    both_row, both = np.concatenate([owner, row]), np.concatenate([values, value])
     order = np.lexsort((np.arange(len(both)), both, both_row))
     sr, sv = both_row[order], both[order]
     new = np.ones(len(sr), np.bool_)
@@ -114,10 +109,17 @@ def _candidates(block: pa.RecordBatch) -> pa.RecordBatch:
     group = np.cumsum(new) - 1
     known = np.zeros(group[-1] + 1 if len(group) else 0, np.bool_)
     known[group[order < len(owner)]] = True
-    is_hot = np.empty(len(both), np.bool_)
-    is_hot[order] = known[group]
+    out = np.empty(len(both), np.bool_)
+    out[order] = known[group]
+    return out[len(owner):]
+
+
+def _candidates(block: pa.RecordBatch) -> pa.RecordBatch:
+    """The lines of each page all of whose chunks are in the row's array ``hot``."""
+    lines = Lines(block.column("text").to_pylist())
+    line, chunk = lines.chunks()
     every = np.ones(len(lines.row), np.bool_)
-    np.logical_and.at(every, line, is_hot[len(owner):])
+    np.logical_and.at(every, line, _held(lines.row[line], chunk, block.column("hot")))
     at = np.flatnonzero(every)
     rows, hashes = lines.row[at], lines.hash[at]
     # whether the page has this line for the first time
@@ -133,6 +135,40 @@ def _candidates(block: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _page_lines(block: pa.RecordBatch) -> pa.RecordBatch:
+    """site, line: each line once for a page."""
+    lines = Lines(block.column("text").to_pylist())
+    order = np.lexsort((lines.hash, lines.row))
+    row, line = lines.row[order], lines.hash[order]
+    new = np.ones(len(row), np.bool_)
+    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+    return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(row[new])), pa.array(line[new])], ["site", "line"])
+
+
+def with_standing_lines(texts: DataFrame, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
+    """``texts`` (page_id, site, text, ...) with ``hot``: the hashes of the whole lines that the row's site repeats, null where there are none.
+
+    For operators that only ask whether a line of theirs is one of the site's: one pass counts whole lines, without
+    chunks and without gathering the cases.
+    """
+    sited = texts.where(F.col("site").isNotNull())
+    totals = sited.groupBy("site").agg(F.count("*").alias("site_rows"))
+    lines = map_text(sited.where(F.length("text") >= 3).select("site", "text"), _page_lines, "site string, line long", "text")
+    hot = _hot(lines.groupBy("site", "line").agg(F.count("*").alias("n")), totals, "line", min_pages, min_share).groupBy("site").agg(F.collect_list("line").alias("hot"))
+    left, right = _salted(texts, hot, totals)
+    return left.join(right, ["site", "salt"], "left").drop("salt")
+
+
+def standing_numbers(texts: list[str | None], hot: pa.ListArray) -> list[set[int]]:
+    """For each text of a block the numbers of its lines that are in the row's array."""
+    lines = Lines(texts)
+    out: list[set[int]] = [set() for _ in texts]
+    held = _held(lines.row, lines.hash, hot)
+    for row, no in zip(lines.row[held].tolist(), lines.no[held].tolist(), strict=True):
+        out[row].add(no)
+    return out
+
+
 def _hot(counted: DataFrame, totals: DataFrame, what: str, min_pages: int, min_share: float) -> DataFrame:
     """(site, what) on enough pages of the site."""
     often = counted.where(F.col("n") >= min_pages).join(totals, "site")

@@ -12,6 +12,7 @@ number is bounded by the exemplars.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import log
 
 import pyarrow as pa
@@ -177,9 +178,15 @@ class Exemplars:
     @classmethod
     def fit(cls, texts: DataFrame, labelled: dict[str, str] = EXEMPLARS) -> Exemplars:
         """With weights from the document frequencies over all rows of the column ``text``."""
-        vocabulary = sorted({t for lines in labelled.values() for t in tokens(lines)})
-        held = texts.select(F.array_intersect(F.split(F.regexp_replace(F.lower("text"), r"[^\x00-\x7f\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff]+", ""), r"[^\p{L}]+"), F.array(*[F.lit(t) for t in vocabulary])).alias("held"))
-        counted = held.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        vocabulary = {t for lines in labelled.values() for t in tokens(lines)}
+
+        def count(block: pa.RecordBatch) -> pa.RecordBatch:
+            seen: Counter[str] = Counter()
+            for text in block.column("text").to_pylist():
+                seen.update(vocabulary.intersection(_TOKEN.findall(_ACCENTED.sub("", text.lower()))))
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+
+        counted = map_text(texts.select("text").where(F.length("text") > 0), count, "token string, n long", "text").groupBy("token").agg(F.sum("n").alias("n"))
         n = texts.where(F.length("text") > 0).count()
         rows = {r[0]: r[1] for r in counted.collect()}  # at most the exemplars' vocabulary
         return cls(labelled, {t: log((n + 1) / (rows.get(t, 0) + 0.5)) + 0.1 for t in vocabulary})
@@ -244,47 +251,62 @@ def residue_fields(pages: DataFrame, *, id_col: str = "id", url_col: str = "norm
     empty table gives an empty result.
     """
     from lodestrata.llm import furniture as K
-    from lodestrata.llm.boilerplate import Classifier, _headline
-    from lodestrata.llm.repeated_lines import repeated_lines, site_of
+    from lodestrata.llm.boilerplate import LEAST_ARTICLE, Classifier, _headline
+    from lodestrata.llm.repeated_lines import site_of, standing_numbers, with_standing_lines
 
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("host"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
     exemplars = Exemplars.fit(base.select("text"))
-    standing = repeated_lines(pages, id_col=id_col, url_col=url_col, text_col=text_col).groupBy("page_id").agg(F.collect_set("line_no").alias("standing"))
     classifier = Classifier(exemplars)
 
-    def text_kind(text: str, title: str | None, host: str | None, standing_: set[int]) -> str | None:
-        lines = text.split("\n")
-        if placeholders(text) and any(placeholders(x, strict=True) for x in _paragraphs(text)):
-            return PLACEHOLDER
-        kinds = [classifier._kind(x) if x.strip() else (None, None) for x in lines]
-        if not any(r for _, r in kinds):
-            return None
+    def has_placeholder(text: str) -> bool:
+        return bool(placeholders(text)) and any(placeholders(x, strict=True) for x in _paragraphs(text))
+
+    def own_kind(lines: list[str], kinds: list[str | None], title: str | None, host: str | None, standing: set[int]) -> str | None:
         size = {FILLER: 0, ERROR: 0, SCRIPT: 0, PLACEHOLDER: 0}
         rest = 0
-        labels = classifier.label(lines, title, host, standing_)
-        for line, (_, r), good in zip(lines, kinds, labels, strict=True):
+        labels = classifier.label(lines, title, host, standing)
+        for line, r, good in zip(lines, kinds, labels, strict=True):
             if r:
                 size[r] += len(line.strip())
             elif good and not _headline(line):
                 rest += len(line.strip())
         if size[FILLER] + size[ERROR] > rest:
             return FILLER if size[FILLER] >= size[ERROR] else ERROR
-        return SCRIPT if size[SCRIPT] and rest < 60 else None
+        return SCRIPT if size[SCRIPT] and rest < LEAST_ARTICLE else None
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch | None:
         at, fields, found = [], [], []
-        columns = [block.column(c).to_pylist() for c in ("host", "title", "text", "standing")]
-        for k, (host, title, text, standing_) in enumerate(zip(*columns, strict=True)):
-            for field, r in (("title", _field_kind(exemplars, title) if title else None), ("text_content", text_kind(text, title, host, set(standing_ or ())) if text else None)):
-                if r:
+        hosts, titles, texts = (block.column(c).to_pylist() for c in ("site", "title", "text"))
+        in_doubt: dict[int, tuple[list[str], list[str | None]]] = {}
+        for k, (title, text) in enumerate(zip(titles, texts, strict=True)):
+            if title and (r := _field_kind(exemplars, title)):
+                at.append(k)
+                fields.append("title")
+                found.append(r)
+            if not text:
+                continue
+            if has_placeholder(text):
+                at.append(k)
+                fields.append("text_content")
+                found.append(PLACEHOLDER)
+                continue
+            lines = text.split("\n")
+            kinds = [classifier.residue(x) if x else None for x in lines]
+            if any(kinds):
+                in_doubt[k] = lines, kinds
+        if in_doubt:  # only here does it matter what the site adds
+            take = pa.array(list(in_doubt))
+            standing = standing_numbers([texts[k] for k in in_doubt], block.column("hot").take(take))
+            for (k, (lines, kinds)), own in zip(in_doubt.items(), standing, strict=True):
+                if r := own_kind(lines, kinds, titles[k], hosts[k], own):
                     at.append(k)
-                    fields.append(field)
+                    fields.append("text_content")
                     found.append(r)
         if not at:
             return None
         return pa.RecordBatch.from_arrays([block.column("page_id").take(pa.array(at)), pa.array(fields), pa.array(found)], ["page_id", "field_name", "residue_kind"])
 
-    return map_text(base.where(F.col("text").isNotNull() | F.col("title").isNotNull()).join(standing, "page_id", "left"), run, "page_id long, field_name string, residue_kind string", "text")
+    return map_text(with_standing_lines(base).where(F.col("text").isNotNull() | F.col("title").isNotNull()), run, "page_id long, field_name string, residue_kind string", "text")
 
 
 def _paragraphs(text: str) -> list[str]:
