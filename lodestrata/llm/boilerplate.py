@@ -18,7 +18,7 @@ from lodestrata.llm import furniture as K
 from lodestrata.llm.codepoints import map_text
 from lodestrata.llm.garbled import legacy_reading, utf8_readings
 from lodestrata.llm.repeated_lines import site_of, standing_numbers, with_standing_lines
-from lodestrata.llm.residue import SCRIPT, Exemplars
+from lodestrata.llm.residue import SCRIPT, Exemplars, placeholders
 
 #: Fewer characters of article than this beside a script notice, and the notice stands in its place.
 LEAST_ARTICLE = 60
@@ -26,8 +26,9 @@ LEAST_ARTICLE = 60
 
 def _readings(line: str) -> list[str]:
     """What a line that is mostly outside ASCII may have been before it was read in a wrong encoding."""
-    high = sum(c > "\x7f" for c in line)
-    if high < 3 or high < 0.3 * sum(map(str.isalpha, line)):
+    plain = line.encode("ascii", "ignore")
+    high = len(line) - len(plain)
+    if high < 3 or high < 0.25 * (len(line) - plain.count(b" ")):
         return []
     out = [new for codec in ("cp1252", "cp1251", "cp437", "mac_roman") for new, n in (utf8_readings(line, codec),) if n]
     if "‚" in line or "ƒ" in line:
@@ -50,7 +51,8 @@ class Classifier:
         if found is None:
             if len(self._kinds) > 100_000:
                 self._kinds.clear()
-            k, r = K.kind(line), self.residue(line)
+            k = K.kind(line)
+            r = self.residue(line) if k in (K.SHORT, K.GOOD, K.COMMENT) or placeholders(line) else None
             if k in (K.SHORT, K.GOOD, K.COMMENT) and r is None and not line.isascii() and len(line) < 400:
                 k = next((other for new in _readings(line) if (other := K.BAD if K.is_breadcrumb(new, None) else K.kind(new)) in (K.BAD, K.HEAD, K.COMMENT_HEAD)), k)
             found = (k, r)

@@ -53,11 +53,13 @@ def _alternatives(labels: str) -> list[str]:
 
 _LABELS = _alternatives("|".join(NAV.values()))
 _LABEL_SET = frozenset(_LABELS)
+_NAV_WORDS = frozenset(x.split()[0] for x in _LABELS)
+_APART = str.maketrans(dict.fromkeys("|/><,.;:*-+#()[]", " "))
 _NAV = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, (x for x in _LABELS if x.isascii()))) + r")(?![a-z0-9])|" + "|".join(map(re.escape, (x for x in _LABELS if not x.isascii()))))
 _TEASER = re.compile("(?:" + "|".join(map(re.escape, _alternatives(TEASER_HEADS))) + r")(?P<inline> ?: .+| ?: ?)?$")
 _COMMENTS = re.compile(COMMENT_HEADS + "$")
 _COMMENT = re.compile(r"^[\w.'’-]+(?: [\w.'’-]+){0,2} (?:wrote|says|said|replied|commented|schrieb|schreibt|sagt|meint|a écrit|crit|dit|escribió|escribi|dice|escreveu|diz|пишет|написал\w*)\b[^:]{0,30}: |^[\w.'’-]+(?: [\w.'’-]+)?(?: ?さん)?[:：] ?\S")
-_COOKIE = re.compile(r"cookie|small files|kleine dateien|traceurs|archivos en su|ficheiros no seu|クッキー|端末に情報|данные на вашем")
+_COOKIE = ("cookie", "small files", "kleine dateien", "traceurs", "archivos en su", "ficheiros no seu", "クッキー", "端末に情報", "данные на вашем")
 _CONSENT = re.compile(r"accept|got it|reject|privacy notice|your settings|by continuing|akzeptieren|ablehnen|einstellungen|datenschutz|accepter|refuser|mes choix|politique|confidentialit|aceptar|aceitar|rechazar|recusar|poltica|poltica|privacid|принять|отклонить|подробнее|настройки|許可|拒否|詳しく|continue|interests|visits|settings|zugriffe|audience|visita|pages are read|keeps working|同意|設定")
 _QUOTED = re.compile(r"[\"“”„«»]")
 _PLAIN = re.compile(
@@ -72,6 +74,7 @@ _PLAIN = re.compile(
 )
 _WIDE = re.compile(r"поделиться|подписаться на|наверх|реклама$|распечатать|.{0,60}все права защищены|.{2,60}не нес[её]т ответственности|теги: |метки: |この記事を共有|会報に登録|.{0,30}無断転載|.{0,40}責任を負い|上に戻る|トップへ|ページの先頭|広告$|印刷|タグ[:：]|страница \d+ из \d+|[‹«] ")
 _TAGS = re.compile(r"#+ ?[^\W\d_][\w'’-]*(?: [\w'’-]+)?(?:, ?[^\W\d_][\w'’-]*(?: [\w'’-]+)?)+$")
+_NUMBERS = re.compile(r"[\d .…‹›<>|-]*\d[\d .…‹›<>|-]*")
 _CRUMB = re.compile(r"\s*(?:[/>›»→]|вЂє|Â»|â€º|\s-\s)\s*")
 _SIGN = re.compile(r"^\s*(?:©|\(c\)|Â©|В©|┬⌐|¬©|┬®|╘|ﾂｩ)\s*\d{4}")
 
@@ -80,7 +83,7 @@ def is_navigation(s: str) -> bool:
     """Whether a skeleton holds little else than labels of navigation."""
     if s in _LABEL_SET:
         return True
-    if len(s) >= 400 or not _NAV.search(s):
+    if len(s) >= 400 or s.isascii() and _NAV_WORDS.isdisjoint(s.translate(_APART).split()) or not _NAV.search(s):
         return False
     return sum(map(str.isalpha, _NAV.sub("", s))) <= 0.12 * sum(map(str.isalpha, s))
 
@@ -112,35 +115,38 @@ def kind(line: str) -> str:
     stripped = " ".join(line.split())
     s = skeleton(stripped)
     bare = s.lstrip("*-+ ").strip()
-    if len(s) < 300 and _COOKIE.search(s) and _CONSENT.search(s) and not _QUOTED.search(stripped[:200]):
+    if len(s) < 300 and [x for x in _COOKIE if x in s] and _CONSENT.search(s) and not _QUOTED.search(stripped[:200]):
         return BAD
-    if m := _TEASER.match(bare):
-        return BAD if m.group("inline") and len(m.group("inline")) > 3 else HEAD
-    if _COMMENTS.match(bare):
-        return COMMENT_HEAD
-    if _PLAIN.match(bare) or _SIGN.match(stripped):
+    ascii_, size = stripped.isascii(), len(stripped)
+    if size < 160:
+        if m := _TEASER.match(bare):
+            return BAD if m.group("inline") and len(m.group("inline")) > 3 else HEAD
+        if size < 40 and _COMMENTS.match(bare):
+            return COMMENT_HEAD
+    if _PLAIN.match(bare) or not ascii_ and _SIGN.match(stripped):
         return BAD
-    if len(stripped) >= 60 and stripped[-1] in ".?!" and stripped.isascii() and not _COMMENT.match(stripped) and s[0] not in "#|":
+    ends = stripped[-1] in ".?!"
+    comment = size < 60 or ":" in stripped[:60] or "：" in stripped[:60]
+    comment = comment and bool(_COMMENT.match(stripped))
+    if size >= 60 and ends and ascii_ and not comment and s[0] not in "#|":
         return GOOD
-    if _TAGS.match(s) or is_navigation(bare.strip("|/ ")):
+    if s[0] == "#" and _TAGS.match(s) or is_navigation(bare.strip("|/ ")):
         return BAD
-    if not stripped.isascii() and (_WIDE.match(s) or _WIDE.match(stripped.lower())):
+    if not ascii_ and (_WIDE.match(s) or _WIDE.match(stripped.lower())):
         return BAD
-    if re.fullmatch(r"#+ ?[a-z]+", s) or re.fullmatch(r"[\d .…‹›<>|-]*\d[\d .…‹›<>|-]*", stripped) and len(re.findall(r"\d+", stripped)) >= 4:
+    if s[0] == "#" and re.fullmatch(r"#+ ?[a-z]+", s) or size < 80 and _NUMBERS.fullmatch(stripped) and len(re.findall(r"\d+", stripped)) >= 4:
         return BAD
     if is_byline(stripped):
         return BAD
-    words = s.split()
-    if len(stripped) >= 40 and not _COMMENT.match(stripped):
+    if size >= 40 and not comment:
         if stripped.endswith((".", "?", "!", "。", "…", ".”", '."')):
             return GOOD
-        if len(stripped) >= 110 and sum(w.strip(".,;:!?\"'()") in STOP for w in words) >= 0.18 * len(words):
+        words = s.split()
+        if size >= 110 and sum(w.strip(".,;:!?\"'()") in STOP for w in words) >= 0.18 * len(words):
             return GOOD
-    if stripped.endswith(("。", "！", "？")) and len(stripped) >= 12:
+    if size >= 12 and stripped.endswith(("。", "！", "？")):
         return GOOD
-    if _COMMENT.match(stripped):
-        return COMMENT
-    return SHORT
+    return COMMENT if comment else SHORT
 
 
 def is_breadcrumb(line: str, title: str | None) -> bool:
