@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions import text as T
 from lodestrata.operators import dedup, evidence, graph, retrieval
@@ -121,3 +122,47 @@ def pages_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, docs = tables(spark, sf_dir, "crawled_pages", "knowledge_documents")
     eligible = pages.where("crawl_status = 'COMPLETED' AND duplicate_of_page_id IS NULL AND length(trim(coalesce(text_content, ''))) > 0").select("id")
     return dedup.absent(eligible, docs.select(F.col("crawled_page_id").alias("id")), ["id"])
+
+
+@query(r"""
+WITH t AS (SELECT id, research_job_id, lower(rtrim(trim(regexp_replace(title, '\s+', ' ', 'g')), '. ')) AS form FROM knowledge_documents WHERE title IS NOT NULL AND regexp_full_match(title, '[\x00-\x7f]*'))
+SELECT research_job_id, form, min(id) AS kept, count(*) AS members FROM t GROUP BY ALL""")
+def claim_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of a job with the same normal form are one; the first stands for all."""
+    t = table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL AND length(title) = octet_length(title)")
+    return t.groupBy("research_job_id", T.normalize_claim(F.col("title")).alias("form")).agg(F.min("id").alias("kept"), F.count("*").alias("members"))
+
+
+@query("SELECT document_id, count(*) AS pieces, string_agg(CAST(chunk_id AS VARCHAR), ' ' ORDER BY chunk_index, id) AS passages FROM knowledge_chunk_sources GROUP BY document_id")
+def document_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document in order; their number is bounded by the document's length."""
+    s = table(spark, sf_dir, "knowledge_chunk_sources")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "id", "chunk_id")))
+    return s.groupBy("document_id").agg(F.count("*").alias("pieces"), F.array_join(F.transform(ordered, lambda x: x["chunk_id"].cast("string")), " ").alias("passages"))
+
+
+@query("SELECT crawl_job_id, count(*) FILTER (WHERE crawl_status = 'COMPLETED') AS completed, count(*) FILTER (WHERE crawl_status = 'FAILED') AS failed, count(*) FILTER (WHERE crawl_status = 'QUEUED') AS queued, count(*) FILTER (WHERE crawl_status = 'SKIPPED') AS skipped FROM crawled_pages GROUP BY crawl_job_id")
+def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["COMPLETED", "FAILED", "QUEUED", "SKIPPED"]
+    p = table(spark, sf_dir, "crawled_pages").groupBy("crawl_job_id").pivot("crawl_status", names).agg(F.count("id"))
+    return p.select("crawl_job_id", *[F.coalesce(F.col(n), F.lit(0)).alias(n.lower()) for n in names])
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, ts, CASE WHEN date_diff('second', lag(ts) OVER w, ts) <= 43200 THEN 0 ELSE 1 END AS starts FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session, ts FROM g)
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY ALL""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of events without a pause of more than twelve hours; Spark's session windows merge them without a sort of a whole user."""
+    e = table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    # a window is open at its end, so a pause of exactly the gap still belongs to it
+    w = F.session_window("ts", "12 hours 1 second")
+    s = e.groupBy("user_id", w).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("first_ts"))
+    return s.select("user_id", n.cast("long").alias("session"), "events", "first_ts", "last_ts")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("hour"), "events", "total")
