@@ -149,7 +149,7 @@ def fit(fields: DataFrame, rarest: float = RAREST) -> Model:
 
 
 def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
-    """(start, end) of the maximum-scoring segments of ``text``, widened to whole words."""
+    """(start, end) of the maximum-scoring segments of ``text``, widened to whole words and parted at line feeds: lines are damaged one by one."""
     points = to_array(text).astype(np.int64)
     high = points > 0x7F
     if not high.any():
@@ -188,7 +188,7 @@ def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
             out[-1] = (out[-1][0], max(j, out[-1][1]))
         else:
             out.append((i, j))
-    return out
+    return [(m.start(), m.end()) for i, j in out for m in _LINE.finditer(text, i, j)]
 
 
 @cache
@@ -289,7 +289,7 @@ def restored(run: str, before: str, after: str, model: Model) -> str | None:
                 if new is not None and new != text and all(c.isprintable() or c.isspace() for c in new):
                     gain = model.usual(before + new + after) - old
                     rank = gain * sum(c > "\x7f" for c in new)
-                    if gain > _LEGACY_GAIN and (best is None or rank > best[0]):
+                    if gain > _LEGACY_GAIN + 8 / sum(c > "\x7f" for c in text) and (best is None or rank > best[0]):
                         best = (rank, new)
         if best is None:
             break
