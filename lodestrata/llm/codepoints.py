@@ -7,20 +7,22 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled at once inside a task; bounds memory, changes no result.
 BLOCK_CHARS = 1_000_000
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows whose texts hold about ``most`` bytes together."""
+    """The batches cut into runs of rows whose texts hold about ``most`` bytes together; a longer text makes a run of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(batch.column(batch.schema.get_field_index(text)).nbytes // max(1, batch.num_rows))
-        step = max(1, int(most // max(1, int(sizes))))
-        for i in range(0, batch.num_rows, step):
-            yield batch.slice(i, step)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        run = (np.cumsum(sizes, dtype=np.int64) - 1) // most
+        starts = np.append(0, np.flatnonzero(np.diff(run)) + 1)
+        for i, j in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
+            yield batch.slice(i, j - i)
 
 
 def to_array(text: str) -> np.ndarray:

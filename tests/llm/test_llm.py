@@ -22,6 +22,19 @@ def pages(spark, rows):
 ODD = [(1, None, None, None), (2, "https://a.example/1", "", ""), (3, "not a url", "t", "one line"), (4, "https://a.example/1", "t", "\n\n \t\n"), (4, "https://a.example/1", "t", "\n\n \t\n"), (5, "https://a.example/2", "t", "long " * 60_000)]
 
 
+def test_blocks_keep_every_row_once():
+    import pyarrow as pa
+
+    from lodestrata.llm.codepoints import blocks
+
+    rng = random.Random(1)
+    texts = [None if rng.random() < 0.1 else "x" * rng.choice([0, 5, 40, 900]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts, pa.string())], ["i", "text"])
+    cut = list(blocks(iter([batch, batch.slice(0, 0)]), "text", 500))
+    assert [i for b in cut for i in b.column("i").to_pylist()] == list(range(300))
+    assert all(sum(len(t or "") for t in b.column("text").to_pylist()) <= 500 + 900 for b in cut)
+
+
 # --- repeated lines
 
 def brute_repeated(rows):
