@@ -23,18 +23,21 @@ def query_terms(queries: DataFrame, *, id_col: str, text_col: str, group_col: st
     return queries.select(F.col(id_col).alias("query_id"), F.col(group_col).alias("grp"), F.explode(tokens).alias("token"))
 
 
-def bm25(passages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, passage_id, score) of ``passages`` (passage_id, grp, body) for the terms of queries of the same group.
+def term_hits(passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(passage_id, grp, length, distinct, token, tf): the tokens of ``passages`` (passage_id, grp, body) that some query of their group holds.
 
-    Statistics are those of the group the query may search. Passages are tokenized once, tokens are pre-aggregated to
-    term frequencies in their passage, and only terms that some query of the group holds are shuffled.
+    Tokens are met with the few that are asked for before they are shuffled, and counted in part on the way.
     """
-    tokenized = passages.select("passage_id", "grp", text.tokens(F.col("body")).alias("tokens"))
-    sizes = tokenized.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    tokens = text.tokens(F.col("body"))
+    each = passages.select("passage_id", "grp", tokens.alias("tokens")).select("passage_id", "grp", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), F.explode("tokens").alias("token"))
     asked = terms.select("grp", "token").distinct()
-    wanted = asked.groupBy("grp").agg(F.collect_set("token").alias("wanted"))
-    held = tokenized.join(wanted, "grp").select("passage_id", "grp", F.size("tokens").alias("length"), F.expr("filter(tokens, t -> array_contains(wanted, t))").alias("hits")).where(F.size("hits") > 0)
-    tf = held.select("passage_id", "grp", "length", F.explode(F.expr("transform(array_distinct(hits), t -> struct(t AS token, size(filter(hits, u -> u = t)) AS tf))")).alias("h")).select("passage_id", "grp", "length", "h.token", "h.tf")
+    return each.join(asked, ["grp", "token"]).groupBy("passage_id", "grp", "length", "distinct", "token").agg(F.count("*").alias("tf"))
+
+
+def bm25(passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, passage_id, score) of the passages for the terms of queries of the same group, by the statistics of what the group may search."""
+    sizes = passages.select("grp", F.size(text.tokens(F.col("body"))).alias("size")).groupBy("grp").agg(F.count("*").alias("n"), F.avg("size").alias("mean_length"))
+    tf = term_hits(passages, terms)
     df = tf.groupBy("grp", "token").agg(F.count("*").alias("df"))
     weighted = tf.join(df, ["grp", "token"]).join(sizes, "grp").withColumn("w", scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length")))
     return weighted.join(terms, ["grp", "token"]).groupBy("query_id", "passage_id").agg(F.sum("w").alias("score"))
@@ -42,12 +45,9 @@ def bm25(passages: DataFrame, terms: DataFrame) -> DataFrame:
 
 def term_cosine(passages: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, passage_id, similarity): cosine of the sets of tokens; stands in for a model's vectors, which may be plugged in instead."""
-    wanted = terms.groupBy("grp").agg(F.collect_set("token").alias("wanted"))
     size_q = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
-    sets = passages.select("passage_id", "grp", F.array_distinct(text.tokens(F.col("body"))).alias("tokens"))
-    hits = sets.join(wanted, "grp").select("passage_id", "grp", F.size("tokens").alias("nd"), F.explode(F.array_intersect("tokens", "wanted")).alias("token"))
-    shared = hits.join(terms, ["grp", "token"]).groupBy("query_id", "passage_id", "nd").agg(F.count("*").alias("shared"))
-    return shared.join(size_q, "query_id").select("query_id", "passage_id", (F.col("shared") / F.sqrt(F.col("nq") * F.col("nd"))).alias("similarity"))
+    shared = term_hits(passages, terms).join(terms, ["grp", "token"]).groupBy("query_id", "passage_id", "distinct").agg(F.count("*").alias("shared"))
+    return shared.join(size_q, "query_id").select("query_id", "passage_id", (F.col("shared") / F.sqrt(F.col("nq") * F.col("distinct"))).alias("similarity"))
 
 
 def hybrid(passages: DataFrame, terms: DataFrame, documents: DataFrame, *, candidates: int = 50, cap: int = 2, k: int = 8, rrf_k: int = 60) -> DataFrame:

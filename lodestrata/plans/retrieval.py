@@ -11,7 +11,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import dedup, retrieval
 from lodestrata.operators.ranking import top
 from lodestrata.plans.registry import query
-from lodestrata.sources.tables import table
+from lodestrata.sources.tables import spread, table
 
 _TOK = r"'[\p{L}\p{N}_]+(?:[-.][\p{L}\p{N}_]+)*'"
 _BM25 = rf"""
@@ -31,7 +31,7 @@ dn AS (SELECT qt.query_id, ps.passage_id, count(*) / sqrt(any_value(nq.nq) * any
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "knowledge_chunks").where("research_job_id IS NOT NULL")
-    return chunks.select(F.col("id").alias("passage_id"), F.col("research_job_id").alias("grp"), "document_id", F.concat_ws(" ", "heading", "text").alias("body"))
+    return spread(chunks.select(F.col("id").alias("passage_id"), F.col("research_job_id").alias("grp"), "document_id", F.concat_ws(" ", "heading", "text").alias("body")))
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
