@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import boilerplate, garbled, leakage, packing, reading_level, repeated_lines, residue, splitting
-from lodestrata.sources.tables import table
+from lodestrata.sources.tables import spread
+from lodestrata.sources.tables import table as _table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of one small file over all cores; larger ones as they are stored."""
+    return spread(_table(spark, sf_dir, name))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
