@@ -12,6 +12,10 @@ INSTRUCTION = r"(?i)\b(?:ignore (?:all )?(?:previous|prior) instructions|mark co
 YEAR = r"\b((?:19|20)\d{2})\b"
 DATASET = r"(\bdataset\s+[\p{L}\p{N}_.-]+)"
 VERSION = r"(\bversion\s+[\p{L}\p{N}_.-]+)"
+#: White space of all scripts, as Unicode and the reference have it.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+_FOLDED = [(c, c.casefold()) for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold()]
 
 
 def squeeze(text: Column) -> Column:
@@ -19,9 +23,24 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def squeeze_all(text: Column) -> Column:
+    """As ``squeeze``, for the white space of all scripts."""
+    return F.trim(F.regexp_replace(text, SPACE, " "))
+
+
+def casefold(text: Column) -> Column:
+    """Unicode's full case folding: lower case, then the letters that fold further, of which ASCII has none."""
+    low = F.lower(text)
+    one = [(c, f) for c, f in _FOLDED if len(f) == 1]
+    more = F.array(*[F.lit(c + f) for c, f in _FOLDED if len(f) > 1])
+    moved = F.translate(low, "".join(c for c, _ in one), "".join(f for _, f in one))
+    folded = F.aggregate(more, moved, lambda t, x: F.replace(t, F.substring(x, 1, 1), F.substring(x, 2, 9)))
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(folded)
+
+
 def content_hash(text: Column) -> Column:
-    """SHA-256 of the squeezed text in lower case."""
-    return F.sha2(F.lower(squeeze(text)), 256)
+    """SHA-256 of the case-folded text with single blanks for white space."""
+    return F.sha2(casefold(squeeze_all(text)), 256)
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -30,7 +49,7 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def normalize_claim(text: Column) -> Column:
-    return F.lower(F.rtrim(squeeze(text), F.lit(". ")))
+    return casefold(F.rtrim(squeeze_all(text), F.lit(". ")))
 
 
 def stable_key(*parts: Column) -> Column:

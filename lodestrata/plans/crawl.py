@@ -52,11 +52,18 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, sha256(lower(trim(regexp_replace(text_content, '\\s+', ' ', 'g')))) AS hash FROM crawled_pages WHERE text_content IS NOT NULL AND regexp_full_match(text_content, '[\\x00-\\x7f]*')")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the ASCII texts: engines differ on what is white space elsewhere."""
+    """The ASCII part of ``content_hashes_all``, which SQL can say: engines differ on what is white space elsewhere."""
     pages = table(spark, sf_dir, "crawled_pages").where(F.length("text_content") == F.octet_length("text_content"))
     return pages.select("id", T.content_hash(F.col("text_content")).alias("hash"))
 
 
+@query()
+def content_hashes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, of whatever script."""
+    pages = table(spark, sf_dir, "crawled_pages").where("text_content IS NOT NULL")
+    return pages.select("id", T.content_hash(F.col("text_content")).alias("hash"))
+
+
 @query("""
 WITH f AS (SELECT crawl_job_id, content_hash, min(id) AS first_id FROM crawled_pages WHERE content_hash IS NOT NULL GROUP BY ALL)
 SELECT p.id, CASE WHEN f.first_id < p.id THEN f.first_id END AS duplicate_of FROM crawled_pages p LEFT JOIN f USING (crawl_job_id, content_hash)""")

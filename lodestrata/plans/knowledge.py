@@ -124,5 +124,13 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, sha256(coalesce(title, '') || chr(10) || coalesce(source_url, '')) AS fingerprint, lower(rtrim(trim(regexp_replace(title, '\\s+', ' ', 'g')), '. ')) AS claim_form FROM knowledge_documents WHERE regexp_full_match(coalesce(title, ''), '[\\x00-\\x7f]*')")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ASCII part of ``document_fingerprints_all``, which SQL can say."""
     docs = table(spark, sf_dir, "knowledge_documents").where(F.coalesce(F.length("title"), F.lit(0)) == F.coalesce(F.octet_length("title"), F.lit(0)))
     return docs.select("id", T.fingerprint(F.col("title"), F.col("source_url")).alias("fingerprint"), T.normalize_claim(F.col("title")).alias("claim_form"))
+
+
+@query()
+def document_fingerprints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whatever the script of its title."""
+    docs = table(spark, sf_dir, "knowledge_documents")
+    return docs.select("id", T.fingerprint(F.col("title"), F.col("source_url")).alias("fingerprint"), T.normalize_claim(F.col("title")).alias("claim_form"))

@@ -128,8 +128,17 @@ def pages_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT id, research_job_id, lower(rtrim(trim(regexp_replace(title, '\s+', ' ', 'g')), '. ')) AS form FROM knowledge_documents WHERE title IS NOT NULL AND regexp_full_match(title, '[\x00-\x7f]*'))
 SELECT research_job_id, form, min(id) AS kept, count(*) AS members FROM t GROUP BY ALL""")
 def claim_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of a job with the same normal form are one; the first stands for all."""
-    t = table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL AND length(title) = octet_length(title)")
+    """The ASCII part of ``claim_dedup_all``, which SQL can say."""
+    return _claim_groups(table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL AND length(title) = octet_length(title)"))
+
+
+@query()
+def claim_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of a job with the same normal form, in any script, are one; the first stands for all."""
+    return _claim_groups(table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL"))
+
+
+def _claim_groups(t: DataFrame) -> DataFrame:
     return t.groupBy("research_job_id", T.normalize_claim(F.col("title")).alias("form")).agg(F.min("id").alias("kept"), F.count("*").alias("members"))
 
 
