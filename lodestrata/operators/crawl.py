@@ -32,35 +32,41 @@ def schedule_links(links: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def _frontier(links: DataFrame) -> DataFrame:
-    known = links.where("normalized_target_url IS NOT NULL AND relevance_score IS NOT NULL")
-    return known.groupBy("crawl_job_id", F.col("normalized_target_url").alias("url")).agg(F.min("target_depth").alias("depth"), F.max("relevance_score").alias("score"), F.min("id").alias("discovery"))
+    """A target without any score waits with 0."""
+    known = links.where("normalized_target_url IS NOT NULL")
+    return known.groupBy("crawl_job_id", F.col("normalized_target_url").alias("url")).agg(F.min("target_depth").alias("depth"), F.coalesce(F.max("relevance_score"), F.lit(0.0)).alias("score"), F.min("id").alias("discovery"))
 
 
 def frontier_ranks(links: DataFrame) -> DataFrame:
-    """(crawl_job_id, url, best_first, worst_first, frontier): both orders in which a frontier may be left.
+    """(crawl_job_id, url, best_first, worst_first, discovered, frontier): the orders in which a frontier may be left.
 
-    Ranked in slices of the score, so that no task has to sort the whole frontier of one job.
+    Ranked in slices of the score or of discovery, so that no task has to sort the whole frontier of one job.
     """
     slices = _frontier(links).withColumn("slice", F.floor(F.col("score") * 64))
     best = positions(slices, ["crawl_job_id"], F.col("slice"), [F.col("score").desc(), "depth", "discovery", "url"], "best_first", descending=True)
     both = positions(best, ["crawl_job_id"], F.col("slice"), ["score", "depth", "discovery", "url"], "worst_first", total="frontier")
-    return both.select("crawl_job_id", "url", "best_first", "worst_first", "frontier")
+    found = positions(both, ["crawl_job_id"], F.floor(F.col("discovery") / 4096), ["discovery"], "discovered")
+    return found.select("crawl_job_id", "url", "best_first", "worst_first", "discovered", "frontier")
 
 
-def frontier_order(links: DataFrame, exploration_rate: float) -> DataFrame:
+def frontier_order(links: DataFrame, exploration_rate: float, jobs: DataFrame | None = None) -> DataFrame:
     """(crawl_job_id, position, url, explore): the order in which a fixed frontier is left.
 
     Every k-th step, k = 1 / rate rounded half to even, explores: it takes the least relevant URL left, as long as more
     than one is. In closed form the step p takes the rank p / k from below or p - (p - 1) / k from above.
+    With ``jobs``, those whose mode is not *intelligent* leave theirs by discovery and never explore.
     """
     k = max(1, round(1 / exploration_rate)) if exploration_rate > 0 else 1 << 30
-    ranks = frontier_ranks(links)
-    sizes = ranks.groupBy("crawl_job_id").agg(F.max("frontier").alias("frontier"))
-    steps = sizes.select("crawl_job_id", "frontier", F.explode(F.sequence(F.lit(1).cast("long"), F.col("frontier"))).alias("position"))
-    explore = (F.col("position") % k == 0) & (F.col("position") < F.col("frontier"))
-    rank = F.when(explore, F.floor(F.col("position") / k)).otherwise(F.col("position") - F.floor((F.col("position") - 1) / k))
+    ranks = frontier_ranks(links).withColumn("scored", F.lit(True))
+    if jobs is not None:
+        modes = jobs.select(F.col("id").alias("crawl_job_id"), (F.col("crawl_mode") == "intelligent").alias("mode"))
+        ranks = ranks.join(modes, "crawl_job_id", "left").withColumn("scored", F.coalesce("mode", F.lit(False)))
+    sizes = ranks.groupBy("crawl_job_id").agg(F.max("frontier").alias("frontier"), F.first("scored").alias("scored"))
+    steps = sizes.select("crawl_job_id", "frontier", "scored", F.explode(F.sequence(F.lit(1).cast("long"), F.col("frontier"))).alias("position"))
+    explore = F.col("scored") & (F.col("position") % k == 0) & (F.col("position") < F.col("frontier"))
+    rank = F.when(explore, F.floor(F.col("position") / k)).when(F.col("scored"), F.col("position") - F.floor((F.col("position") - 1) / k)).otherwise(F.col("position"))
     steps = steps.select("crawl_job_id", "position", explore.alias("explore"), rank.cast("long").alias("rank"))
-    both = ranks.select("crawl_job_id", "url", F.explode(F.array(F.struct(F.lit(False).alias("explore"), F.col("best_first").cast("long").alias("rank")), F.struct(F.lit(True).alias("explore"), F.col("worst_first").cast("long").alias("rank")))).alias("r")).select("crawl_job_id", "url", "r.explore", "r.rank")
+    both = ranks.select("crawl_job_id", "url", F.explode(F.array(F.struct(F.lit(False).alias("explore"), F.when(F.col("scored"), F.col("best_first")).otherwise(F.col("discovered")).cast("long").alias("rank")), F.struct(F.lit(True).alias("explore"), F.col("worst_first").cast("long").alias("rank")))).alias("r")).select("crawl_job_id", "url", "r.explore", "r.rank")
     return steps.join(both, ["crawl_job_id", "explore", "rank"]).select("crawl_job_id", "position", "url", "explore")
 
 

@@ -92,6 +92,16 @@ WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth)
 r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS hi, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS lo, count(*) OVER (PARTITION BY crawl_job_id) AS n FROM q)
 SELECT crawl_job_id, url, hi AS best_first, lo AS worst_first, n AS frontier FROM r""")
 def frontier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the scored links only, as the SQL has it; ``frontier_ranks_all`` takes every link."""
+    ranks = crawl.frontier_ranks(table(spark, sf_dir, "discovered_links").where("relevance_score IS NOT NULL"))
+    return ranks.select("crawl_job_id", "url", "best_first", "worst_first", "frontier")
+
+
+@query("""
+WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, coalesce(max(relevance_score), 0) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL)
+SELECT crawl_job_id, url, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS best_first, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS worst_first,
+  row_number() OVER (PARTITION BY crawl_job_id ORDER BY discovery) AS discovered, count(*) OVER (PARTITION BY crawl_job_id) AS frontier FROM q""")
+def frontier_ranks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.frontier_ranks(table(spark, sf_dir, "discovered_links"))
 
 
@@ -102,7 +112,21 @@ p AS (SELECT crawl_job_id, n, unnest(range(1, n + 1)) AS pos FROM (SELECT DISTIN
 w AS (SELECT *, pos % 5 = 0 AND pos < n AS explore, CASE WHEN pos % 5 = 0 AND pos < n THEN pos // 5 ELSE pos - (pos - 1) // 5 END AS rank FROM p)
 SELECT w.crawl_job_id, CAST(w.pos AS BIGINT) AS position, r.url, w.explore FROM w JOIN r ON r.crawl_job_id = w.crawl_job_id AND CASE WHEN w.explore THEN r.lo ELSE r.hi END = w.rank""")
 def frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.frontier_order(table(spark, sf_dir, "discovered_links"), exploration_rate=0.2)
+    """Of the scored links only and best first in every job, as the SQL has it; ``frontier_order_all`` takes every link."""
+    return crawl.frontier_order(table(spark, sf_dir, "discovered_links").where("relevance_score IS NOT NULL"), exploration_rate=0.2)
+
+
+@query("""
+WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, coalesce(max(relevance_score), 0) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL),
+r AS (SELECT q.*, coalesce(j.crawl_mode = 'intelligent', false) AS scored, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS hi, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS lo,
+  row_number() OVER (PARTITION BY crawl_job_id ORDER BY discovery) AS found, count(*) OVER (PARTITION BY crawl_job_id) AS n FROM q LEFT JOIN crawl_jobs j ON j.id = q.crawl_job_id),
+p AS (SELECT crawl_job_id, n, unnest(range(1, n + 1)) AS pos FROM (SELECT DISTINCT crawl_job_id, n FROM r WHERE scored)),
+w AS (SELECT *, pos % 5 = 0 AND pos < n AS explore, CASE WHEN pos % 5 = 0 AND pos < n THEN pos // 5 ELSE pos - (pos - 1) // 5 END AS rank FROM p)
+SELECT w.crawl_job_id, CAST(w.pos AS BIGINT) AS position, r.url, w.explore FROM w JOIN r ON r.crawl_job_id = w.crawl_job_id AND CASE WHEN w.explore THEN r.lo ELSE r.hi END = w.rank
+UNION ALL SELECT crawl_job_id, found, url, false FROM r WHERE NOT scored""")
+def frontier_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link; jobs in fifo mode by discovery."""
+    return crawl.frontier_order(table(spark, sf_dir, "discovered_links"), exploration_rate=0.2, jobs=table(spark, sf_dir, "crawl_jobs"))
 
 
 @query("""

@@ -115,9 +115,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY first) AS
 d AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id, host ORDER BY score DESC, url) AS rd FROM c QUALIFY rd <= 2)
 SELECT crawl_job_id, url, round(score, 6) AS score, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, url) AS position FROM d QUALIFY position <= 10""")
 def seed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best targets of each crawl, at most two of one host, by similarity and order of discovery."""
-    links = table(spark, sf_dir, "discovered_links").where("normalized_target_url IS NOT NULL AND relevance_score IS NOT NULL")
-    s = links.groupBy("crawl_job_id", F.col("normalized_target_url").alias("url")).agg(F.max("relevance_score").alias("similarity"), F.min("id").alias("first"))
+    """Of the scored links only, as the SQL has it; ``seed_selection_all`` takes every link."""
+    return _seeds(table(spark, sf_dir, "discovered_links").where("relevance_score IS NOT NULL"))
+
+
+@query("""
+WITH s AS (SELECT l.crawl_job_id, l.normalized_target_url AS url, coalesce(max(l.relevance_score), 0) AS similarity, min(l.id) AS first FROM discovered_links l WHERE normalized_target_url IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY first) AS rank FROM s), c AS (SELECT crawl_job_id, url, round(0.85 * (similarity + 1) / 2 + 0.15 / log2(rank + 1), 9) AS score, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM r),
+d AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id, host ORDER BY score DESC, url) AS rd FROM c QUALIFY rd <= 2)
+SELECT crawl_job_id, url, round(score, 6) AS score, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, url) AS position FROM d QUALIFY position <= 10""")
+def seed_selection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seeds(table(spark, sf_dir, "discovered_links"))
+
+
+def _seeds(links: DataFrame) -> DataFrame:
+    """The ten best targets of each crawl, at most two of one host, by similarity, 0 where there is none, and order of discovery."""
+    known = links.where("normalized_target_url IS NOT NULL")
+    s = known.groupBy("crawl_job_id", F.col("normalized_target_url").alias("url")).agg(F.coalesce(F.max("relevance_score"), F.lit(0.0)).alias("similarity"), F.min("id").alias("first"))
     from lodestrata.operators.ranking import positions
 
     ranked = positions(s, ["crawl_job_id"], F.floor(F.col("first") / 4096), ["first"], "rank")
