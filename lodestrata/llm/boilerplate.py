@@ -2,10 +2,11 @@
 
 Two passes over the lines of a page. The first classifies each line by itself: running text by its length and density
 of stop words; furniture by how much of it is link labels and by the openings such lines have; and lines that the site
-adds to many of its pages, which are counted across the site. Short lines stay undecided. In the second pass they
-inherit the label of their nearest decided neighbour, where a heading over a list of other articles or over comments
-passes its label down to the short lines that follow it, and other furniture, which stands for itself alone, passes
-none.
+adds to many of its pages, which are counted across the site. Short lines stay undecided. In the second pass a heading
+over a list of other articles or over comments passes its label down to the short lines that follow it. Navigation
+passes its label to a short line worded like a link whose nearest decided lines, before and after, are both
+navigation. Every other short line is article: most short lines between other furniture are headings, list items
+and wrapped lines.
 """
 
 from __future__ import annotations
@@ -101,6 +102,23 @@ class Classifier:
                 label[i] = False
             else:
                 label[i], under = True, None
+        # undecided lines worded like links, whose nearest decided lines on both sides are navigation
+        open_ = [i for i, k in enumerate(kinds) if k == K.SHORT and label[i] and residue[i] is None]
+        if open_ and any(x is False for x in label):
+            waiting = set(open_)
+            before: list[int | None] = [None] * n
+            after: list[int | None] = [None] * n
+            for beside, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+                last: int | None = None
+                for i in order:
+                    if i in waiting:
+                        beside[i] = last
+                    elif label[i] is not None:
+                        last = i
+            for i in open_:
+                a, b = before[i], after[i]
+                if a is not None and b is not None and label[a] is False and label[b] is False and _like_link(lines[i]) and _navigation(lines[a]) and _navigation(lines[b]):
+                    label[i] = False
         # a script notice beside a full article is furniture
         notices = [i for i in range(n) if residue[i] == SCRIPT]
         if notices:
@@ -117,6 +135,17 @@ def _own(line: str) -> bool:
     return line.startswith(("    ", "\t")) or s.startswith(("#", "- ", "* ", "• ", "[", "Q:", "A:", "Figure ", ">")) or s.count("|") >= 2 or s[:3].rstrip(".)").isdigit() and s[:4].rstrip().endswith((")", ".")) or s.endswith((")", "(", "{", "}", ";", ":"))
 
 
+def _navigation(line: str) -> bool:
+    return any(K.is_navigation(K.skeleton(x).strip("*-+|/ ")) for x in (line, *_readings(line)))
+
+
+def _like_link(line: str) -> bool:
+    """Length, stop words and marks of a link: up to four words and 40 characters, none of them common, no mark at the end."""
+    s = line.strip()
+    words = s.lower().split()
+    return len(s) <= 40 and len(words) <= 4 and K.STOP.isdisjoint(words) and s[-1].isalnum() and not _own(line)
+
+
 def _headline(line: str) -> bool:
     s = line.strip()
     return len(s) < 100 and not s.endswith((".", "!", "。")) and s.count("|") < 2 and not s.startswith(("- ", "* ", "• "))
