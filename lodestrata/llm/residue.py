@@ -183,7 +183,7 @@ class Exemplars:
         def count(block: pa.RecordBatch) -> pa.RecordBatch:
             seen: Counter[str] = Counter()
             for text in block.column("text").to_pylist():
-                seen.update(vocabulary.intersection(_TOKEN.findall(_ACCENTED.sub("", text.lower()))))
+                seen.update(vocabulary.intersection(tokens(text)))
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
         counted = map_text(texts.select("text").where(F.length("text") > 0), count, "token string, n long", "text").groupBy("token").agg(F.sum("n").alias("n"))

@@ -1,5 +1,9 @@
 """Parts of the named methods that were missing."""
 
+from math import log
+
+import pytest
+
 from lodestrata.llm import boilerplate, residue
 
 ARTICLE = "The editor reads the report before the next visit, because the readers asked for it. It was not easy."
@@ -16,3 +20,10 @@ def test_short_line_in_a_menu_inherits():
 def test_short_line_beside_other_furniture_is_article():
     assert _labels(f"Home\nMinor checklist\nPrint this page\n{ARTICLE}\nWidget Finder\nContact") == [False, True, False, True, True, False]
     assert _labels(f"Home\nThe weather of the week\n- one item\nname | size | age\nContact\n{ARTICLE}") == [False, True, True, True, False, True]
+
+
+def test_pairs_of_japanese_are_counted(spark):
+    texts = ["本文を入力してください。", "入力した本文", "Page not found", None]
+    fitted = residue.Exemplars.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    weight = lambda n: log((3 + 1) / (n + 0.5)) + 0.1
+    assert [fitted.weights[t] for t in ("入力", "して", "found", "アク")] == pytest.approx([weight(2), weight(1), weight(1), weight(0)])
