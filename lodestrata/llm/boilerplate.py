@@ -1,180 +1,205 @@
 """The main body of pages whose text also holds menus, notices, teasers and footers.
 
-Two passes over the lines of a page. The first classifies each line by itself: running text by its length and density
-of stop words; furniture by how much of it is link labels and by the openings such lines have; and lines that the site
-adds to many of its pages, which are counted across the site. Short lines stay undecided. In the second pass a heading
-over a list of other articles or over comments passes its label down to the short lines that follow it. Navigation
-passes its label to a short line worded like a link whose nearest decided lines, before and after, are both
-navigation. Every other short line is article: most short lines between other furniture are headings, list items
-and wrapped lines.
+Two passes over the lines of a page. The first classifies each line by itself. It is furniture if its site repeats it,
+if labels make up half of it (its link density), if it opens like such lines or ends with the page's title after other
+parts; it is article if it is long enough and dense enough in common words, or has the marks of a heading, a list item
+or a table row. In the second pass the lines left undecided inherit the label of the nearest decided lines on both
+sides; where these differ, a short line without any common word is worded like a link and goes with the furniture, and
+any other with the article. A page whose article has not begun keeps its short lines: they are its headings.
+
+The labels are learned from the crawl (see ``furniture``): one pass counts lines and their parts by site, its result is
+written to the shared folder and gives both the repeated lines of each site and the labels of the whole crawl.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import furniture as K
 from lodestrata.llm.codepoints import map_text
-from lodestrata.llm.garbled import legacy_reading, utf8_readings
-from lodestrata.llm.repeated_lines import site_of, standing_numbers, with_standing_lines
-from lodestrata.llm.residue import SCRIPT, Exemplars, placeholders
-
-#: Fewer characters of article than this beside a script notice, and the notice stands in its place.
-LEAST_ARTICLE = 60
-
-
-def _readings(line: str) -> list[str]:
-    """What a line that is mostly outside ASCII may have been before it was read in a wrong encoding."""
-    plain = line.encode("ascii", "ignore")
-    high = len(line) - len(plain)
-    if high < 3 or high < 0.25 * (len(line) - plain.count(b" ")):
-        return []
-    out = [new for codec in ("cp1252", "cp1251", "cp437", "mac_roman") for new, n in (utf8_readings(line, codec),) if n]
-    if "‚" in line or "ƒ" in line:
-        out.append(legacy_reading(line, "cp1252", "shift_jis") or "")
-    elif not out:
-        out.append(legacy_reading(line, "koi8_r", "cp1251") or "")
-    return [x for x in out if x]
+from lodestrata.llm.repeated_lines import Lines, site_of, standing_numbers, with_arrays
+from lodestrata.llm.residue import SCRIPT, Exemplars
+from lodestrata.sources.checkpoints import cut
+
+#: Fewer characters of article than this (about two sentences) beside a notice or message, and that stands in its place.
+LEAST_ARTICLE = 160
+#: A line is repeated by its site if it is on so many of its pages, and on this share of its rows.
+MIN_PAGES, MIN_SHARE = 5, 0.05
+#: Repeated lines that an opening or shape must be found on.
+LEAST_LINES = 5
+
+#: What is counted: whole lines, parts by pages, openings and shapes by lines, leading words by pages.
+LINE, PART, SINGLE, LEAD = 0, 1, 2, 3
+
+
+def _page_features(block: pa.RecordBatch) -> pa.RecordBatch:
+    """site, sort, line, feature: each once for a page; leading words are counted apart from their lines."""
+    texts = block.column("text").to_pylist()
+    forms = [K.normal(t).split("\n") for t in texts]
+    lines = Lines(texts)
+    at: list[int] = []
+    sorts: list[int] = []
+    hashes: list[int] = []
+    found: list[int] = []
+    known: dict[str, tuple[list[int], list[int], list[int]]] = {}
+    page, seen, leads = -1, set(), set()
+    for row, no, h in zip(lines.row.tolist(), lines.no.tolist(), lines.hash.tolist(), strict=True):
+        if row != page:
+            page, seen, leads = row, set(), set()
+        if h in seen:
+            continue
+        seen.add(h)
+        form = forms[row][no - 1].strip(" ")
+        own = known.get(form)
+        if own is None:
+            own = known[form] = K.features(form)
+        a, b, c = own
+        c = [k for k in c if k not in leads]
+        leads.update(c)
+        n, m = len(a), len(b)
+        at += [row] * (1 + n + m + len(c))
+        sorts += [LINE] + [PART] * n + [SINGLE] * m + [LEAD] * len(c)
+        hashes += [h] * (1 + n + m) + [0] * len(c)
+        found += [0, *a, *b, *c]
+    return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(at, pa.int64())), pa.array(sorts, pa.int8()), pa.array(hashes, pa.int64()), pa.array(found, pa.int64())], ["site", "sort", "line", "feature"])
+
+
+class Crawl:
+    """What the whole crawl says of lines: ``hot`` (site, line) of repeated lines, ``totals`` (site, site_rows), and the labels."""
+
+    def __init__(self, base: DataFrame) -> None:
+        sited = base.where(F.col("site").isNotNull())
+        self.totals = sited.groupBy("site").agg(F.count("*").alias("site_rows"))
+        counted = map_text(sited.where(F.length("text") >= 3).select("site", "text"), _page_features, "site string, sort byte, line long, feature long", "text")
+        counted = counted.groupBy("site", "sort", "line", "feature").agg(F.count("*").alias("n"))
+        repeated = (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("site_rows"))
+        stats = cut(counted.join(self.totals, "site").select("site", "sort", "line", "feature", "n", repeated.alias("repeated")))
+        self.hot = stats.where((F.col("sort") == LINE) & F.col("repeated")).select("site", "line")
+        weight = F.when(F.col("sort") == SINGLE, F.lit(1).cast("long")).otherwise(F.col("n"))
+        by = stats.where(F.col("sort") != LINE).groupBy("sort", "feature").agg(F.sum(weight).alias("uses"), F.sum(F.when(F.col("repeated"), weight).otherwise(0)).alias("on_repeated"))
+        total = by.agg(F.sum("uses")).scalar()
+        rate = F.when(F.col("sort") == PART, K.RATE["part"]).when(F.col("sort") == LEAD, K.RATE["lead"]).otherwise(K.RATE["opening"])
+        good = (F.col("uses") >= K.LABEL_SHARE * total) & (F.col("uses") >= 2) & (F.col("on_repeated") >= rate * F.col("uses")) & (F.col("on_repeated") >= F.when(F.col("sort") == SINGLE, LEAST_LINES).otherwise(1))
+        rows = by.where(good).select("feature").toArrow()  # at most 1 / LABEL_SHARE rows
+        self.labels = K.Labels(rows["feature"].to_numpy() if rows.num_rows else np.empty(0, np.int64))
 
 
 class Classifier:
     """Labels of a page's lines; remembers what it found for lines it has met."""
 
-    def __init__(self, exemplars: Exemplars) -> None:
-        self.exemplars = exemplars
-        self._kinds: dict[str, tuple[str, str | None]] = {}
-        self._residue: dict[str, str | None] = {}
-
-    def _kind(self, line: str) -> tuple[str, str | None]:
-        found = self._kinds.get(line)
-        if found is None:
-            if len(self._kinds) > 100_000:
-                self._kinds.clear()
-            k = K.kind(line)
-            r = self.residue(line) if k in (K.SHORT, K.GOOD, K.COMMENT) or placeholders(line) else None
-            if k in (K.SHORT, K.GOOD, K.COMMENT) and r is None and not line.isascii() and len(line) < 400:
-                k = next((other for new in _readings(line) if (other := K.BAD if K.is_breadcrumb(new, None) else K.kind(new)) in (K.BAD, K.HEAD, K.COMMENT_HEAD)), k)
-            found = (k, r)
-            self._kinds[line] = found
-        return found
-
-    def residue(self, line: str) -> str | None:
-        """The kind of residue a line is, if it is any."""
-        found = self._residue.get(line, self)
-        if found is self:
-            if len(self._residue) > 100_000:
-                self._residue.clear()
-            found = self._residue[line] = self.exemplars.best(line)
-        return found
-
-    def label(self, lines: list[str], title: str | None, host: str | None, standing: set[int]) -> list[bool | None]:
+    def __init__(self, exemplars: Exemplars, labels: K.Labels) -> None:
+        self.exemplars, self.labels = exemplars, labels
+
+    def label(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None) -> list[bool | None]:
         """For each line whether it belongs to the article; None for blank ones. ``standing`` holds the numbers, from 1, of the lines the site repeats."""
+        return [None if w is None else good for good, w in self.reasons(lines, title, standing, residue)]
+
+    def reasons(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None) -> list[tuple[bool | None, str | None]]:
+        """(article, what decided it) of each line."""
         n = len(lines)
+        residue = self.exemplars.of_lines(lines) if residue is None else residue
+        forms = [x.strip(" ") for x in K.normal("\n".join(lines)).split("\n")]
+        headline = K.skeleton(K.normal(title or "").strip(" ")).strip(" .,:;*-+#|/>()[]!?•·\"'")
         kinds: list[str | None] = [None] * n
-        residue: list[str | None] = [None] * n
-        for i, line in enumerate(lines):
-            if not line.strip():
+        why: list[str | None] = [None] * n
+        for i, form in enumerate(forms):
+            if not form.strip():
                 continue
-            k, r = self._kind(line)
-            residue[i] = r
-            if k in (K.SHORT, K.COMMENT, K.GOOD) and (K.is_breadcrumb(line, title) or K.is_site_name(line, host)):
-                k = K.BAD
-            if r is not None:
-                k = K.GOOD
-            elif i + 1 in standing and k in (K.SHORT, K.GOOD, K.COMMENT):
-                k = K.BAD
-            kinds[i] = k
-        # second pass: undecided lines after a heading that passes its label down
-        label: list[bool | None] = [None] * n
-        under: str | None = None
+            if residue[i]:
+                kinds[i], why[i] = K.GOOD, "residue"
+            elif i + 1 in standing:
+                kinds[i], why[i] = K.BAD, "repeated by the site"
+            else:
+                kinds[i], why[i], s = self.labels.first_pass(form)
+                if kinds[i] not in (K.BAD, K.NEAR) and headline and why[i] != "structure" and (t := K.title_part(s, headline)):
+                    kinds[i], why[i] = (K.GOOD, "the title") if t == "whole" else (K.BAD, "trail to the title")
+                elif kinds[i] in (K.SHORT, K.LINK, K.NEAR) and lines[i].startswith(("    ", "\t")):
+                    kinds[i], why[i] = K.GOOD, "structure"
+        self._notices(lines, kinds, why, residue)
+        return self._inherit(lines, forms, kinds, why)
+
+    @staticmethod
+    def _notices(lines: list[str], kinds: list[str | None], why: list[str | None], residue: list[str | None]) -> None:
+        """A script notice beside a full article is furniture."""
+        notices = [i for i, r in enumerate(residue) if r == SCRIPT]
+        if notices and sum(len(lines[i].strip()) for i, k in enumerate(kinds) if k == K.GOOD and residue[i] != SCRIPT and not headlike(lines[i])) >= LEAST_ARTICLE:
+            for i in notices:
+                kinds[i], why[i] = K.BAD, "notice"
+
+    @staticmethod
+    def _inherit(lines: list[str], forms: list[str], kinds: list[str | None], why: list[str | None]) -> list[tuple[bool | None, str | None]]:
+        n = len(lines)
+        before: list[str | None] = [None] * n
+        after: list[str | None] = [None] * n
+        later = [False] * n  # whether article follows
+        for beside, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+            last: str | None = None
+            body = False
+            for i in order:
+                beside[i] = last
+                if beside is after:
+                    later[i] = body
+                if kinds[i] in (K.GOOD, K.BAD):
+                    last = kinds[i]
+                    body = body or last == K.GOOD
+        out: list[tuple[bool | None, str | None]] = []
+        begun = False
         for i, k in enumerate(kinds):
             if k is None:
+                out.append((None, None))
                 continue
-            if k in (K.HEAD, K.COMMENT_HEAD):
-                label[i], under = False, k
-            elif k == K.BAD:
-                label[i] = False
-            elif under == K.COMMENT_HEAD and (k == K.COMMENT or K._COMMENT.match(" ".join(lines[i].split()))):
-                label[i] = False
-            elif under == K.HEAD and k in (K.SHORT, K.COMMENT) and not _own(lines[i]):
-                label[i] = False
+            if k in (K.GOOD, K.BAD):
+                good = k == K.GOOD
+            elif i and out[i - 1][0] and lines[i].lstrip()[:1].islower() and not forms[i - 1].endswith(K.END):
+                good = True  # a wrapped line goes on
             else:
-                label[i], under = True, None
-        # undecided lines worded like links, whose nearest decided lines on both sides are navigation
-        open_ = [i for i, k in enumerate(kinds) if k == K.SHORT and label[i] and residue[i] is None]
-        if open_ and any(x is False for x in label):
-            waiting = set(open_)
-            before: list[int | None] = [None] * n
-            after: list[int | None] = [None] * n
-            for beside, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-                last: int | None = None
-                for i in order:
-                    if i in waiting:
-                        beside[i] = last
-                    elif label[i] is not None:
-                        last = i
-            for i in open_:
-                a, b = before[i], after[i]
-                if a is not None and b is not None and label[a] is False and label[b] is False and _like_link(lines[i]) and _navigation(lines[a]) and _navigation(lines[b]):
-                    label[i] = False
-        # a script notice beside a full article is furniture
-        notices = [i for i in range(n) if residue[i] == SCRIPT]
-        if notices:
-            rest = sum(len(lines[i].strip()) for i in range(n) if label[i] and residue[i] != SCRIPT and not _headline(lines[i]))
-            if rest >= LEAST_ARTICLE:
-                for i in notices:
-                    label[i] = False
-        return label
-
-
-def _own(line: str) -> bool:
-    """A short line that cannot be a teaser: a marked heading, a list item, code, a table row, a caption, a question."""
-    s = line.strip()
-    return line.startswith(("    ", "\t")) or s.startswith(("#", "- ", "* ", "• ", "[", "Q:", "A:", "Figure ", ">")) or s.count("|") >= 2 or s[:3].rstrip(".)").isdigit() and s[:4].rstrip().endswith((")", ".")) or s.endswith((")", "(", "{", "}", ";", ":"))
-
+                sides = {x for x in (before[i], after[i]) if x}
+                if len(sides) == 1:
+                    good = sides != {K.BAD} or k == K.SHORT and before[i] is not None and not begun and later[i]
+                else:
+                    good = not sides or k != K.LINK
+            begun = begun or k == K.GOOD
+            out.append((good, why[i]))
+        return out
 
-def _navigation(line: str) -> bool:
-    return any(K.is_navigation(K.skeleton(x).strip("*-+|/ ")) for x in (line, *_readings(line)))
 
-
-def _like_link(line: str) -> bool:
-    """Length, stop words and marks of a link: up to four words and 40 characters, none of them common, no mark at the end."""
+def headlike(line: str) -> bool:
     s = line.strip()
-    words = s.lower().split()
-    return len(s) <= 40 and len(words) <= 4 and K.STOP.isdisjoint(words) and s[-1].isalnum() and not _own(line)
+    return len(s) < 100 and not s.endswith((".", "!", "。")) and s.count("|") < 2 and not s.startswith(("- ", "* ", "• "))
 
 
-def _headline(line: str) -> bool:
-    s = line.strip()
-    return len(s) < 100 and not s.endswith((".", "!", "。")) and s.count("|") < 2 and not s.startswith(("- ", "* ", "• "))
+def judged(pages: DataFrame, *, id_col: str = "id", url_col: str = "normalized_url", title_col: str = "title", text_col: str = "text_content") -> tuple[DataFrame, Classifier]:
+    """The pages (page_id, site, title, text, hot: the lines their site repeats), and the classifier of the crawl."""
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
+    crawl = Crawl(base)
+    classifier = Classifier(Exemplars.fit(base.select("text")), crawl.labels)
+    return with_arrays(base, crawl.hot, crawl.totals, "line"), classifier
 
 
-def line_labels(pages: DataFrame, *, id_col: str = "id", url_col: str = "normalized_url", title_col: str = "title", text_col: str = "text_content", exemplars: Exemplars | None = None) -> DataFrame:
+def line_labels(pages: DataFrame, **columns: str) -> DataFrame:
     """(page_id, line_no, article) of every non-blank line.
 
     Null and empty texts have no lines; lines are parted by line feeds and numbered from 1, blank ones included;
     a text of one very long line is one line; repeated rows are judged each; further columns are ignored; an empty
     table gives an empty result.
     """
-    exemplars = exemplars or Exemplars.fit(pages.select(F.col(text_col).alias("text")))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
-    base = with_standing_lines(base).where(F.length("text") > 0)
-    classifier = Classifier(exemplars)
+    rows, classifier = judged(pages, **columns)
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         at, no, article = [], [], []
-        host, title, text = (block.column(c).to_pylist() for c in ("site", "title", "text"))
+        title, text = (block.column(c).to_pylist() for c in ("title", "text"))
         for k, own in enumerate(standing_numbers(text, block.column("hot"))):
-            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], host[k], own)):
+            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], own)):
                 if good is not None:
                     at.append(k)
                     no.append(i + 1)
                     article.append(good)
         return pa.RecordBatch.from_arrays([block.column("page_id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(article, pa.bool_())], ["page_id", "line_no", "article"])
 
-    return map_text(base, run, "page_id long, line_no int, article boolean", "text")
+    return map_text(rows.where(F.length("text") > 0).select("page_id", "title", "text", "hot"), run, "page_id long, line_no int, article boolean", "text")
 
 
 def furniture_lines(pages: DataFrame, **columns: str) -> DataFrame:
@@ -182,10 +207,26 @@ def furniture_lines(pages: DataFrame, **columns: str) -> DataFrame:
     return line_labels(pages, **columns).where(~F.col("article")).select("page_id", "line_no")
 
 
-def articles(pages: DataFrame, *, id_col: str = "id", url_col: str = "normalized_url", title_col: str = "title", text_col: str = "text_content") -> DataFrame:
-    """(page_id, text, removed_lines): each page's text with the lines of its article only; null texts stay null."""
-    cases = furniture_lines(pages, id_col=id_col, url_col=url_col, title_col=title_col, text_col=text_col)
-    drop = cases.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("text"))
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(drop, i + 1)), '\\n')")
-    return base.join(drop, "page_id", "left").select("page_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("removed_lines"))
+def articles(pages: DataFrame, **columns: str) -> DataFrame:
+    """(page_id, text, removed_lines): each page's text with the lines of its article only; null texts stay null.
+
+    Lines are judged and cut in the same task, row by row: rows that share an id stay apart.
+    """
+    rows, classifier = judged(pages, **columns)
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch:
+        title, text = (block.column(c).to_pylist() for c in ("title", "text"))
+        kept: list[str | None] = []
+        removed: list[int] = []
+        for k, own in enumerate(standing_numbers(text, block.column("hot"))):
+            if text[k] is None:
+                kept.append(None)
+                removed.append(0)
+                continue
+            lines = text[k].split("\n")
+            labels = classifier.label(lines, title[k], own)
+            kept.append("\n".join(x for x, good in zip(lines, labels, strict=True) if good is not False))
+            removed.append(sum(good is False for good in labels))
+        return pa.RecordBatch.from_arrays([block.column("page_id"), pa.array(kept, pa.string()), pa.array(removed, pa.int32())], ["page_id", "text", "removed_lines"])
+
+    return map_text(rows.select("page_id", "title", "text", "hot"), run, "page_id long, text string, removed_lines int", "text")

@@ -1,27 +1,22 @@
-"""What kind of line a page's line is, judged by its own words.
+"""What a line of a page looks like: its form, the parts of it that may be links, its length and its common words.
 
-Matching is done on a line's skeleton: its ASCII characters in lower case with single blanks. Accents, and letters
-that were read in a wrong encoding, fall away alike, so damage does not hide a line. Lines without ASCII letters
-(Cyrillic, Japanese) keep their own characters.
+Pages come as text, without their links, so the labels that menus, footers and notices are made of are learned from the
+crawl itself. A line that a site repeats on many of its pages is furniture; what such lines are made of (their parts
+between separators, the words short lines open with, the shapes of their dates and numbers) is counted over all sites,
+on repeated lines and on others. A part found on repeated lines often enough is a *label*, and the share of a line
+that labels make up stands for its link density, also on sites of a few pages and in lines that are not repeated.
+
+Matching is done on the ASCII skeleton of a line where that has letters: accents, and what a wrong encoding made of
+them, fall away alike.
 """
 
 from __future__ import annotations
 
 import re
 
-# Labels of navigation and legal links, by language.
-NAV = {
-    "en": "home|about us|our team|contact|support|pricing|careers|press|docs|guides|blog|archive|topics|community|partners|events calendar|shop|downloads|sign in|my account|terms of use|privacy|imprint|accessibility statement|site map|press room|log in|register|help|news|products|services|search|menu|faq",
-    "de": "startseite|themen|über uns|kontakt|ratgeber|preise|hilfe|merkliste|anmelden|archiv|karriere|presse|impressum|datenschutz|agb|produkte|suche",
-    "fr": "accueil|thèmes|archives|nous écrire|se connecter|équipe|aide|à propos|tarifs|boutique|presse|guides|mentions légales|confidentialité|recherche",
-    "es": "inicio|temas|archivo|contacto|ayuda|precios|quiénes somos|tienda|guías|prensa|iniciar sesión|aviso legal|privacidad|buscar",
-    "pt": "início|temas|arquivo|contato|ajuda|preços|sobre nós|loja|guias|entrar|imprensa|termos de uso|privacidade",
-    "ru": "главная|темы|архив|контакты|помощь|цены|о нас|войти|статьи|правила|конфиденциальность|магазин|блог",
-    "ja": "ホーム|話題|料金|ガイド|ヘルプ|ログイン|お問い合わせ|私たちについて|利用規約|個人情報",
-}
-# Headings over lists of other articles, and over comments.
-TEASER_HEADS = "most read this week|keep reading|related articles|more from this section|you may also like|read next|see also|recommended for you|das könnte sie auch interessieren|mehr zum thema|meistgelesen|weiterlesen|à lire aussi|sur le même sujet|les plus lus|artículos relacionados|lo más leído|le puede interesar|mais lidas|leia também|artigos relacionados|похожие статьи|читайте также|самое читаемое|よく読まれている記事|関連記事|あわせて読みたい"
-COMMENT_HEADS = r"(?:what readers say|comments? ?\(\d+\)|\d+ comments?|\d+ kommentare?|kommentare ?\(\d+\)|\d+ commentaires?|\d+ comentarios?|\d+ comentrios?|\d+ comentários?|комментарии: ?\d+|комментарии|コメント ?\d+ ?件)"
+import numpy as np
+import xxhash
+
 # Common words, for the stop-word density of running text.
 STOP = frozenset("the of and to in a is that it for was on are as with his they at be this have from or had by but not what all were when we there can an your which their if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may long little very after words called just where most know and our you i he because often every also during without "
     "der die das und in zu den mit von für auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ihre des "
@@ -30,142 +25,167 @@ STOP = frozenset("the of and to in a is that it for was on are as with his they
     "o os e da do em um uma no na que com não mais as dos como mas foi ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela entre depois "
     "и в не на я что тот быть с а весь это как она по но они к у ты из мы за вы так же от сказать этот который мочь человек о один еще бы такой только себя свое какой когда уже для вот кто да говорить год в во до без после том".split())
 
-_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mär|mai|okt|dez|fév|avr|juin|juil|août|déc|ene|abr|ago|dic|fev|set|out)[a-zéû]*\.?"
-_DATE = re.compile(rf"\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b|\b\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}\b|\b\d{{1,2}}\.? (?:de )?{_MONTH} (?:de )?\d{{4}}\b|\b{_MONTH} \d{{1,2}}, \d{{4}}\b|\d{{4}}年\d{{1,2}}月\d{{1,2}}日|\(?\b\d+ min(?:uten|utes|utos)?\b(?: read| de lecture| de leitura| lesezeit)?\)?|\(?\d+ ?分\)?", re.I)
-_BY = re.compile(r"^(?:by|von|par|por|written by|posted on|posted by|posted|published on|published|text|autor|auteur|author|автор|著者|veröffentlicht am|publié le|publicado el|publicado em)\b:?[ ]*|^(?:автор|著者):? *", re.I)
-_DIGIT = re.compile(r"\d")
-
-
-_LETTERS = re.compile("[a-z][^a-z]*[a-z]")
-
-
-def skeleton(line: str) -> str:
-    """The ASCII characters of ``line`` in lower case with single blanks; the line itself if these hold hardly a letter."""
-    s = " ".join(line.encode("ascii", "ignore").decode().lower().split())
-    if not _LETTERS.search(s):
-        s = " ".join(line.lower().split())
-    return s
-
-
-def _alternatives(labels: str) -> list[str]:
-    return sorted({skeleton(x) for x in labels.split("|")}, key=len, reverse=True)
-
-
-_LABELS = _alternatives("|".join(NAV.values()))
-_LABEL_SET = frozenset(_LABELS)
-_NAV_WORDS = frozenset(x.split()[0] for x in _LABELS)
-_APART = str.maketrans(dict.fromkeys("|/><,.;:*-+#()[]", " "))
-_NAV = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, (x for x in _LABELS if x.isascii()))) + r")(?![a-z0-9])|" + "|".join(map(re.escape, (x for x in _LABELS if not x.isascii()))))
-_TEASER = re.compile("(?:" + "|".join(map(re.escape, _alternatives(TEASER_HEADS))) + r")(?P<inline> ?: .+| ?: ?)?$")
-_COMMENTS = re.compile(COMMENT_HEADS + "$")
-_COMMENT = re.compile(r"^[\w.'’-]+(?: [\w.'’-]+){0,2} (?:wrote|says|said|replied|commented|schrieb|schreibt|sagt|meint|a écrit|crit|dit|escribió|escribi|dice|escreveu|diz|пишет|написал\w*)\b[^:]{0,30}: |^[\w.'’-]+(?: [\w.'’-]+)?(?: ?さん)?[:：] ?\S")
-_COOKIE = ("cookie", "small files", "kleine dateien", "traceurs", "archivos en su", "ficheiros no seu", "クッキー", "端末に情報", "данные на вашем")
-_CONSENT = re.compile(r"accept|got it|reject|privacy notice|your settings|by continuing|akzeptieren|ablehnen|einstellungen|datenschutz|accepter|refuser|mes choix|politique|confidentialit|aceptar|aceitar|rechazar|recusar|poltica|poltica|privacid|принять|отклонить|подробнее|настройки|許可|拒否|詳しく|continue|interests|visits|settings|zugriffe|audience|visita|pages are read|keeps working|同意|設定")
-_QUOTED = re.compile(r"[\"“”„«»]")
-_PLAIN = re.compile(
-    # legal lines and footers
-    r"\(c\) ?\d{4}|copyright\b.{0,60}$|(?:\d{4} )?[\w .,'-]{2,60}all rights reserved|.{0,60}alle rechte vorbehalten|.{0,60}tous droits r|.{0,60}todos (?:los|os) d|.{0,80}is published by the |reproduction (?:of this material|interdite)|nachdruck nur mit|the information on .{2,60} is given without|.{0,20}alle angaben ohne|.{2,60} d?c?line toute responsabilit|.{2,60} no se hace responsable|.{2,60} no se responsabiliza|.{2,60} n?o se responsabiliza|powered by |made with (?:care|love)|proudly "
-    # sharing, signing up, advertising
-    r"|follow us\b|join \d+ readers|join our |sign up for |subscribe\b.{0,80}$|print this page|save for later|share (?:this|on)\b.{0,60}$|listen to this article|download our app|like what you read|was this (?:page |article )?helpful|\d+ people (?:shared|like)|advertisement$|anzeige$|sponsored\b.{0,30}$|leave a comment|back to top|if you enjoyed this |our free (?:letter|newsletter)|this story belongs to our .{2,60} desk|members read .{2,80} without ads|newsletter abonnieren|artikel drucken|diesen beitrag teilen|artikel teilen|beitrag teilen|nach oben|publicit|imprimer la page|partager |abonnez-vous|haut de page|compartir |imprimir|suscrbase|volver arriba|partilhar |assine |voltar ao topo|publicidad|(?:hot|trending|popular) (?:right )?now ?:|trending ?:"
-    # page numbers
-    r"|(?:page|seite|pgina|page) \d+ (?:of|von|sur|de) \d+$|previous \d|(?:previous|next)(?: \d+)*$|go to page"
-    # tags
-    r"|(?:tags?|filed under|schlagwrter|stichworte|mots-cls|tiquettes|etiquetas|categories|kategorien|topics) ?: "
-)
-_WIDE = re.compile(r"поделиться|подписаться на|наверх|реклама$|распечатать|.{0,60}все права защищены|.{2,60}не нес[её]т ответственности|теги: |метки: |この記事を共有|会報に登録|.{0,30}無断転載|.{0,40}責任を負い|上に戻る|トップへ|ページの先頭|広告$|印刷|タグ[:：]|страница \d+ из \d+|[‹«] ")
-_TAGS = re.compile(r"#+ ?[^\W\d_][\w'’-]*(?: [\w'’-]+)?(?:, ?[^\W\d_][\w'’-]*(?: [\w'’-]+)?)+$")
-_NUMBERS = re.compile(r"[\d .…‹›<>|-]*\d[\d .…‹›<>|-]*")
-_CRUMB = re.compile(r"\s*(?:[/>›»→]|вЂє|Â»|â€º|\s-\s)\s*")
-_SIGN = re.compile(r"^\s*(?:©|\(c\)|Â©|В©|┬⌐|¬©|┬®|╘|ﾂｩ)\s*\d{4}")
-
-
-def is_navigation(s: str) -> bool:
-    """Whether a skeleton holds little else than labels of navigation."""
-    if s in _LABEL_SET:
+#: Longest line that is taken apart, longest line whose opening and shape count, in characters of the normal form.
+PART_CHARS, SHORT_CHARS = 100, 60
+#: Least share of all counted parts that one needs to become a label: there are at most 100,000 labels.
+LABEL_SHARE = 1e-5
+#: Least share of a label's occurrences on repeated lines, by its sort; a site repeats a leading word that half its uses lie in.
+RATE = {"part": 0.2, "lead": 0.5, "opening": 0.1, "shape": 0.1}
+
+_LETTERS = re.compile("[A-Za-z][^A-Za-z]*[A-Za-z]")
+_DIGITS, _BLANKS = re.compile("[0-9]+"), re.compile("[ \t\r]+")
+_PARTS = re.compile(r"\s*[|>/:]+\s*|\s+-+\s+|(?<=[.!?]) ")
+_MARKS = str.maketrans(dict.fromkeys("•·›»→", "|") | dict.fromkeys("–—", "-") | {"：": ":"})
+_EDGE = " .,:;*-+#|/>()[]!?•·\"'"
+_WORD = re.compile(r"[^\W\d_]+")
+_KANA = re.compile("[぀-ヿ]")
+END = (".", "!", "?", "。", "！", "？", "…", '."', ".”", ".)", '!"', '?"', "!”", "?”", "！」", "。」")
+#: Headings, list items, quotations, captions, references, questions and answers, by the marks they begin with.
+_STRUCTURE = re.compile(r"\s*(?:#{1,6} |[-*•+] |\d+[.)] |\[|[qa]: ?|>|figure \d|table \d)", re.I)
+_ATTRIBUTED = re.compile(r"\S{3,}(?: \S+){0,5}: ")
+_CRUMB = re.compile(r"[|>/]")
+
+
+def normal(text: str) -> str:
+    """Lower case, one sign for each run of digits, one blank for each run of blanks; line feeds stay."""
+    return _BLANKS.sub(" ", _DIGITS.sub("0", text.lower()))
+
+
+def skeleton(form: str) -> str:
+    """The ASCII characters of a form, or the form itself if these hold hardly a letter; separators of any script become ``|``, dashes ``-``."""
+    if form.isascii():
+        return form
+    form = form.translate(_MARKS)
+    s = " ".join(form.encode("ascii", "ignore").decode().split())
+    return s if _LETTERS.search(s) else form
+
+
+def parts(s: str) -> list[str]:
+    """The parts of a skeleton between separators and sentence ends."""
+    return [x for x in (y.strip(_EDGE) for y in _PARTS.split(s)) if x]
+
+
+def is_structure(form: str) -> bool:
+    """A line with the marks of a heading, list item, table row, quotation, caption, reference or question; tags, as lists of single words without common ones, are none."""
+    if form.count("|") >= 2:
         return True
-    if len(s) >= 400 or s.isascii() and _NAV_WORDS.isdisjoint(s.translate(_APART).split()) or not _NAV.search(s):
-        return False
-    return sum(map(str.isalpha, _NAV.sub("", s))) <= 0.12 * sum(map(str.isalpha, s))
-
-
-def is_byline(line: str) -> bool:
-    """A name with a date or reading time, or after a word such as *by*."""
-    text = " ".join(line.split())
-    if not 3 <= len(text) <= 90 or not (_DIGIT.search(text) or _BY.match(text)):
-        return False
-    undated, dates = _DATE.subn(" ", text)
-    rest, by = _BY.subn("", undated.strip(" ·|,–—-()"))
-    if not (dates or by):
-        return False
-    if dates:
-        rest = re.sub(r"(?i)(?:^|[ ·|,–-])(?:by|von|par|por|am|on|le|el|em|автор|著者|posted|updated|published)(?=[ :·|,–-]|$):?", " ", rest)
-    words = re.findall(r"[^\W\d_][\w'’.-]*", re.sub(r"[·|,–—()\-:]|В·|Â·|â€“|вЂ“", " ", rest))
-    words = [w for w in words if len(w) > 1 or w.isascii()]
-    if len(words) > 4 or any(w.lower() in STOP for w in words):
-        return False
-    return bool(dates) or (1 <= len(words) <= 3 and not text.endswith((".", "?", "!")))
-
-
-#: What ``kind`` says of a line.
-BAD, HEAD, COMMENT_HEAD, COMMENT, GOOD, SHORT = "bad", "teaser head", "comment head", "comment", "good", "short"
-
-
-def kind(line: str) -> str:
-    """``bad`` furniture, a ``teaser head`` or ``comment head``, a possible ``comment``, ``good`` running text, or an undecided ``short`` line."""
-    stripped = " ".join(line.split())
-    s = skeleton(stripped)
-    bare = s.lstrip("*-+ ").strip()
-    if len(s) < 300 and [x for x in _COOKIE if x in s] and _CONSENT.search(s) and not _QUOTED.search(stripped[:200]):
-        return BAD
-    ascii_, size = stripped.isascii(), len(stripped)
-    if size < 160:
-        if m := _TEASER.match(bare):
-            return BAD if m.group("inline") and len(m.group("inline")) > 3 else HEAD
-        if size < 40 and _COMMENTS.match(bare):
-            return COMMENT_HEAD
-    if _PLAIN.match(bare) or not ascii_ and _SIGN.match(stripped):
-        return BAD
-    ends = stripped[-1] in ".?!"
-    comment = size < 60 or ":" in stripped[:60] or "：" in stripped[:60]
-    comment = comment and bool(_COMMENT.match(stripped))
-    if size >= 60 and ends and ascii_ and not comment and s[0] not in "#|":
-        return GOOD
-    if s[0] == "#" and _TAGS.match(s) or is_navigation(bare.strip("|/ ")):
-        return BAD
-    if not ascii_ and (_WIDE.match(s) or _WIDE.match(stripped.lower())):
-        return BAD
-    if s[0] == "#" and re.fullmatch(r"#+ ?[a-z]+", s) or size < 80 and _NUMBERS.fullmatch(stripped) and len(re.findall(r"\d+", stripped)) >= 4:
-        return BAD
-    if is_byline(stripped):
-        return BAD
-    if size >= 40 and not comment:
-        if stripped.endswith((".", "?", "!", "。", "…", ".”", '."')):
-            return GOOD
-        words = s.split()
-        if size >= 110 and sum(w.strip(".,;:!?\"'()") in STOP for w in words) >= 0.18 * len(words):
-            return GOOD
-    if size >= 12 and stripped.endswith(("。", "！", "？")):
-        return GOOD
-    return COMMENT if comment else SHORT
-
-
-def is_breadcrumb(line: str, title: str | None) -> bool:
-    """Parts that begin with a label of navigation, or end with the page's title."""
-    if len(line) > 300 or line.isascii() and "/" not in line and ">" not in line and " - " not in line:
-        return False
-    parts = [p for p in _CRUMB.split(line.strip()) if p]
-    if len(parts) < 2:
-        return False
-    if skeleton(parts[0]).strip("*- ") in _LABEL_SET and len(parts[0]) < 40:
-        return not line.rstrip().endswith(".") or len(parts) > 2
-    tail = skeleton(parts[-1])
-    return len(parts) >= 3 and bool(title) and len(tail) > 8 and skeleton(title).startswith(tail)
-
-
-def is_site_name(line: str, host: str | None) -> bool:
-    """A line of one to three words whose first is part of the host."""
-    words = line.split() if host and len(line) < 80 else []
-    if not 1 <= len(words) <= 3:
+    m = _STRUCTURE.match(form)
+    if not m:
         return False
-    first = re.sub(r"[^a-z]", "", words[0].lower())
-    return len(first) >= 5 and re.split(r"[.-]", re.sub(r"^(?:www|blog|docs|news)\.", "", host.lower()))[0] in (first, "".join(w.lower() for w in words)) and (len(words) == 1 or all(w[0].isupper() or w.islower() for w in words))
+    return not ("," in form and "0" not in form and STOP.isdisjoint(form.translate(_COMMAS).split()))
+
+
+_COMMAS = str.maketrans(",#", "  ")
+
+
+def key(sort: str, value: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{sort} {value}") - (1 << 63)
+
+
+def opening_of(s: str, form: str) -> list[int]:
+    """Keys of what a short line without an end mark opens with: its first two words, and its first if that is a common word (before a name, as in a byline)."""
+    if len(form) > SHORT_CHARS or form.endswith(END):
+        return []
+    words = s.strip(_EDGE).split(" ")
+    out = [key("opening", " ".join(words[:2]))] if len(words) > 1 else []
+    return out + [key("opening", words[0])] if words[0] in STOP else out
+
+
+def shape_of(s: str, form: str) -> list[int]:
+    """Key of where a short line has its words, digits and marks."""
+    return [key("shape", _WORD.sub("w", s.strip(_EDGE)))] if "0" in form and len(form) <= SHORT_CHARS and form.count("|") < 2 else []
+
+
+def lead_of(s: str, form: str) -> list[int]:
+    """Key of the words before a colon that a line opens with."""
+    i = s.find(": ")
+    return [key("lead", s[:i].strip(_EDGE))] if 2 < i <= 40 and not is_structure(form) else []
+
+
+def features(form: str) -> tuple[list[int], list[int], list[int]]:
+    """Keys of the parts, of opening and shape, and of the leading words of a line; nothing of lines beyond ``PART_CHARS``."""
+    if not form or len(form) > PART_CHARS:
+        return [], [], []
+    s = skeleton(form)
+    whole = s.strip(_EDGE)
+    own = {key("part", x) for x in (whole, *parts(s)) if len(x) > 1 or x > "　"}
+    return sorted(own), [*opening_of(s, form), *shape_of(s, form)], lead_of(s, form)
+
+
+#: What the first pass says of a line.
+BAD, GOOD, SHORT, LINK, NEAR = "furniture", "article", "short", "short and worded like a link", "attributed"
+
+
+class Labels:
+    """The labels of a crawl, and the first pass over a line by them."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(np.asarray(keys, np.int64))
+        self._set: frozenset[int] | None = None
+        self._seen: dict[str, tuple[str, str, str]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "_set": None, "_seen": {}}
+
+    def __contains__(self, k: int) -> bool:
+        if self._set is None:
+            self._set = frozenset(self.keys.tolist())
+        return k in self._set
+
+    def density(self, s: str, split: list[str]) -> float:
+        """The share of a line's characters that labels and lone numbers make up."""
+        if key("part", s.strip(_EDGE)) in self:
+            return 1.0
+        total = sum(map(len, split))
+        return sum(len(x) for x in split if x == "0" or key("part", x) in self) / total if total else 0.0
+
+    def first_pass(self, form: str) -> tuple[str, str, str]:
+        """(class, reason, skeleton) of a line by itself, without its page's title and its site's repeated lines."""
+        found = self._seen.get(form)
+        if found is None:
+            if len(self._seen) > 100_000:
+                self._seen.clear()
+            s = skeleton(form)
+            found = self._seen[form] = (*self._judge(form, s), s)
+        return found
+
+    def _judge(self, form: str, s: str) -> tuple[str, str]:
+        split = parts(s)
+        if split and self.density(s, split) >= 0.5:
+            return BAD, "link density"
+        structure = is_structure(form)
+        if len(split) > 1 and not structure:
+            crumbs = len(split) > 2 and len(_CRUMB.findall(s)) > 1
+            if (crumbs or len(form) <= 120 and ": " in s) and key("part", split[0]) in self:
+                return BAD, "led by a label"
+            if ": " in s and any(k in self for k in lead_of(s, form)) and STOP.isdisjoint(w.strip(_EDGE) for w in s.split(": ", 1)[1].split()):
+                return BAD, "list after a label"
+        if not structure and (any(k in self for k in opening_of(s, form)) or any(k in self for k in shape_of(s, form))):
+            return BAD, "opening or shape"
+        words = form.split(" ")
+        density = sum(w.strip(".,;:!?\"'()“”«»") in STOP for w in words) / len(words)
+        kana = len(_KANA.findall(form)) / max(1, len(form))
+        density = max(density, 0.3 if kana > 0.25 else 0.1 if kana > 0.1 else 0.0)
+        end = form.endswith(END)
+        if structure:
+            return GOOD, "structure"
+        if end and _ATTRIBUTED.match(form):
+            return NEAR, "inherited"
+        if end and (density >= 0.1 or len(form) > 80) or len(form) >= 75 and density >= 0.15:
+            return GOOD, "stop-word density"
+        return (LINK if density == 0 and len(form) <= SHORT_CHARS else SHORT), "inherited"
+
+
+def title_part(s: str, title: str) -> str | None:
+    """``whole`` if a line is the page's title, ``trail`` if it ends with it after other parts, else None; both as skeletons without marks at their ends."""
+    line = s.strip(_EDGE)
+    if len(line) < 5 or len(title) < 5:
+        return None
+    if title.startswith(line):
+        return "whole"
+    if len(line) <= 300:
+        for m in _PARTS.finditer(line):
+            tail = line[m.end():].strip(_EDGE)
+            if len(tail) > 4 and title.startswith(tail) and m.end() > 1:
+                return "trail"
+    return None

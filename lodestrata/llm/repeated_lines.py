@@ -9,8 +9,7 @@ all of its chunks repeated at least as often, so the candidates hold every true
 
 Skew: chunk counts are pre-aggregated before they are shuffled. What a site repeats is short (a chunk that is on 5
 percent of a site's pages leaves room for at most 20 such chunks per chunk of a page), so it goes back to the pages
-as one array per site; the pages of sites that hold more than a thousandth of all rows are spread over salts, of
-which there are at most a thousand sites.
+as one array per site: to all tasks while the arrays are small in all, else by a join in which large sites are sliced.
 """
 
 from __future__ import annotations
@@ -23,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.codepoints import hash_segments, map_text, rolling, table_of, to_array
+from lodestrata.sources.checkpoints import cut
 
 WINDOW, MASK = 16, 63
-#: A site with more than this share of all rows is spread over salts.
-BIG_SITE_SHARE = 0.001
+#: Hashes of repeated chunks or lines of all sites together that may go to every task (16 MB).
+MOST_BROADCAST = 1_000_000
+#: Rows of a site that are joined with its array in one slice, where arrays are not broadcast.
+SLICE_ROWS = 50_000
 
 _DIGITS, _BLANKS = re.compile("[0-9]+"), re.compile("[ \t\r]+")
 
@@ -115,48 +117,18 @@ def _held(row: np.ndarray, value: np.ndarray, arrays: pa.ListArray) -> np.ndarra
 
 
 def _candidates(block: pa.RecordBatch) -> pa.RecordBatch:
-    """The lines of each page all of whose chunks are in the row's array ``hot``."""
+    """site, line: the lines of each page all of whose chunks are in the row's array ``hot``, once for a page."""
     lines = Lines(block.column("text").to_pylist())
     line, chunk = lines.chunks()
     every = np.ones(len(lines.row), np.bool_)
     np.logical_and.at(every, line, _held(lines.row[line], chunk, block.column("hot")))
     at = np.flatnonzero(every)
     rows, hashes = lines.row[at], lines.hash[at]
-    # whether the page has this line for the first time
-    order = np.lexsort((at, hashes, rows))
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
     new = np.ones(len(at), np.bool_)
-    new[1:] = (rows[order][1:] != rows[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
-    first = np.empty(len(at), np.bool_)
-    first[order] = new
-    take = pa.array(rows)
-    return pa.RecordBatch.from_arrays(
-        [block.column("site").take(take), block.column("salt").take(take), block.column("page_id").take(take), pa.array(lines.no[at].astype(np.int32)), pa.array(hashes), pa.array(first)],
-        ["site", "salt", "page_id", "line_no", "line", "first"],
-    )
-
-
-def _page_lines(block: pa.RecordBatch) -> pa.RecordBatch:
-    """site, line: each line once for a page."""
-    lines = Lines(block.column("text").to_pylist())
-    order = np.lexsort((lines.hash, lines.row))
-    row, line = lines.row[order], lines.hash[order]
-    new = np.ones(len(row), np.bool_)
-    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-    return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(row[new])), pa.array(line[new])], ["site", "line"])
-
-
-def with_standing_lines(texts: DataFrame, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
-    """``texts`` (page_id, site, text, ...) with ``hot``: the hashes of the whole lines that the row's site repeats, null where there are none.
-
-    For operators that only ask whether a line of theirs is one of the site's: one pass counts whole lines, without
-    chunks and without gathering the cases.
-    """
-    sited = texts.where(F.col("site").isNotNull())
-    totals = sited.groupBy("site").agg(F.count("*").alias("site_rows"))
-    lines = map_text(sited.where(F.length("text") >= 3).select("site", "text"), _page_lines, "site string, line long", "text")
-    hot = _hot(lines.groupBy("site", "line").agg(F.count("*").alias("n")), totals, "line", min_pages, min_share).groupBy("site").agg(F.collect_list("line").alias("hot"))
-    left, right = _salted(texts, hot, totals)
-    return left.join(right, ["site", "salt"], "left").drop("salt")
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(rows[new])), pa.array(hashes[new])], ["site", "line"])
 
 
 def standing_numbers(texts: list[str | None], hot: pa.ListArray) -> list[set[int]]:
@@ -184,44 +156,63 @@ def repeated_lines(pages: DataFrame, *, id_col: str = "id", url_col: str = "norm
     without a host have no site and no case; equal rows count each; an empty table gives an empty result. Further
     columns are ignored, whatever their names.
     """
-    base = pages.select(F.col(id_col).alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where(F.col("site").isNotNull())
-    totals = pages.select(site_of(F.col(url_col)).alias("site")).where(F.col("site").isNotNull()).groupBy("site").agg(F.count("*").alias("site_rows"))
-    texts = base.where(F.length("text") >= 3)
+    base = _sited(pages, id_col, url_col, text_col)
+    often, totals = _often(base, min_pages, min_share)
 
-    chunks = map_text(texts.select("site", "text"), _page_chunks, "site string, chunk long", "text")
-    hot = _hot(chunks.groupBy("site", "chunk").agg(F.count("*").alias("n")), totals, "chunk", min_pages, min_share).groupBy("site").agg(F.collect_list("chunk").alias("hot"))
+    def run(block: pa.RecordBatch) -> pa.RecordBatch:
+        lines = Lines(block.column("text").to_pylist())
+        at = np.flatnonzero(_held(lines.row, lines.hash, block.column("hot")))
+        return pa.RecordBatch.from_arrays([block.column("page_id").take(pa.array(lines.row[at])), pa.array(lines.no[at].astype(np.int32))], ["page_id", "line_no"])
 
-    salted, spread = _salted(texts, hot, totals)
-    found = map_text(salted.join(spread, ["site", "salt"]), _candidates, "site string, salt int, page_id long, line_no int, line long, first boolean", "text")
+    rows = with_arrays(base.where(F.col("site").isNotNull() & (F.length("text") >= 3)), often, totals, "line")
+    return map_text(rows.where(F.col("hot").isNotNull()).select("page_id", "text", "hot"), run, "page_id long, line_no int", "text")
 
-    often = _hot(found.groupBy("site", "line").agg(F.sum(F.col("first").cast("long")).alias("n")), totals, "line", min_pages, min_share).groupBy("site").agg(F.collect_list("line").alias("lines"))
-    cases = found.groupBy("site", "salt", "page_id").agg(F.collect_list(F.struct("line_no", "line")).alias("own"))
-    spread = often.join(_salts(totals), "site", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
-    both = cases.join(spread.select("site", "salt", "lines"), ["site", "salt"])
-    return both.select("page_id", F.explode(F.expr("transform(filter(own, x -> array_contains(lines, x.line)), x -> x.line_no)")).alias("line_no"))
 
+def _sited(pages: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
 
-def _salts(totals: DataFrame) -> DataFrame:
-    """(site, salts) of the sites with more than a thousandth of all rows: at most a thousand rows, so they are broadcast."""
-    every = totals.agg(F.sum("site_rows")).scalar()
-    share = F.col("site_rows") / every
-    return F.broadcast(totals.where(share > BIG_SITE_SHARE).select("site", F.ceil(share / BIG_SITE_SHARE).cast("int").alias("salts")))
 
+def _often(base: DataFrame, min_pages: int, min_share: float) -> tuple[DataFrame, DataFrame]:
+    """((site, line) of the lines repeated excessively, (site, site_rows)): candidates by chunks, then counted as whole lines."""
+    sited = base.where(F.col("site").isNotNull())
+    totals = sited.groupBy("site").agg(F.count("*").alias("site_rows"))
+    texts = sited.where(F.length("text") >= 3).select("site", "text")
+    chunks = map_text(texts, _page_chunks, "site string, chunk long", "text")
+    hot = cut(_hot(chunks.groupBy("site", "chunk").agg(F.count("*").alias("n")), totals, "chunk", min_pages, min_share))
+    rows = with_arrays(texts, hot, totals, "chunk").where(F.col("hot").isNotNull())
+    found = map_text(rows.select("site", "text", "hot"), _candidates, "site string, line long", "text")
+    return cut(_hot(found.groupBy("site", "line").agg(F.count("*").alias("n")), totals, "line", min_pages, min_share)), totals
+
+
+def with_arrays(texts: DataFrame, values: DataFrame, totals: DataFrame, what: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``texts`` with ``hot``: the values (site, ``what``) of the row's site as an array, null where there are none.
 
-def _salted(texts: DataFrame, hot: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    big = _salts(totals)
-    left = texts.join(big, "site", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    right = hot.join(big, "site", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
-    return left, right.select("site", "salt", "hot")
+    Up to ``most_broadcast`` values (16 bytes each) go to all tasks, and no text is moved. Beyond that texts and arrays
+    are joined by site, sites of more than ``SLICE_ROWS`` rows in slices.
+    """
+    arrays = values.groupBy("site").agg(F.collect_list(what).alias("hot"))
+    if values.count() <= most_broadcast:
+        return texts.join(F.broadcast(arrays), "site", "left")
+    big = totals.where(F.col("site_rows") > SLICE_ROWS).select("site", F.ceil(F.col("site_rows") / SLICE_ROWS).cast("int").alias("slices"))
+    left = texts.join(big, "site", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("slices"))).cast("int")).drop("slices")
+    right = arrays.join(big, "site", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1))).drop("slices")
+    return left.join(right, ["site", "slice"], "left").drop("slice")
 
 
 def without_repeated_lines(pages: DataFrame, *, id_col: str = "id", url_col: str = "normalized_url", text_col: str = "text_content", min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
     """(page_id, text, removed_lines): each page's text without the lines its site repeats excessively.
 
-    A text that is null stays null; a text of nothing but repeated lines becomes empty.
+    A text that is null stays null; a text of nothing but repeated lines becomes empty. Lines are cut row by row where
+    they are found: rows that share an id stay apart.
     """
-    cases = repeated_lines(pages, id_col=id_col, url_col=url_col, text_col=text_col, min_pages=min_pages, min_share=min_share)
-    drop = cases.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(text_col).alias("text"))
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(drop, i + 1)), '\\n')")
-    return base.join(drop, "page_id", "left").select("page_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("removed_lines"))
+    base = _sited(pages, id_col, url_col, text_col)
+    often, totals = _often(base, min_pages, min_share)
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch:
+        texts = block.column("text").to_pylist()
+        drop = standing_numbers(texts, block.column("hot"))
+        kept = [t if not d else "\n".join(x for i, x in enumerate(t.split("\n"), 1) if i not in d) for t, d in zip(texts, drop, strict=True)]
+        return pa.RecordBatch.from_arrays([block.column("page_id"), pa.array(kept, pa.string()), pa.array([len(d) for d in drop], pa.int32())], ["page_id", "text", "removed_lines"])
+
+    rows = with_arrays(base, often, totals, "line")
+    return map_text(rows.select("page_id", "text", "hot"), run, "page_id long, text string, removed_lines int", "text")

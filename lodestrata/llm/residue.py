@@ -1,9 +1,10 @@
 """Template residue, filler, error messages and script notices in the place of content.
 
-Labelled exemplars of residue are kept in an inverted index from token to exemplar. Each line of a text is a passage:
-the exemplars that share its rarer tokens are retrieved, and the passage's TF-IDF weight that the best of them
-contains is its coverage. Placeholders are single tokens of their own, whatever name stands in them. A passage of
-high coverage is residue; quoted residue, as in an article about it, is not.
+Labelled exemplars of residue are kept in an inverted index from token to exemplar. Passages are windows: a sentence, or
+up to four sentences in a row, also over line ends within a paragraph. The exemplars that share a window's tokens are
+retrieved, and the part of the window's TF-IDF weight that the best of them contains is its coverage; an exemplar must
+itself be contained for the larger part. A window of high coverage is residue; quoted residue, as in an article about
+it, is not. An unfilled placeholder is a token of its own class, whatever name stands in it, and comes from the same index.
 
 Weights of tokens come from the document frequencies over all pages, for the exemplars' own tokens alone: their
 number is bounded by the exemplars.
@@ -22,158 +23,293 @@ from pyspark.sql import functions as F
 from lodestrata.llm.codepoints import map_text
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
-COVERAGE = 0.7
-
-# Labelled exemplars, as public software and pages show them.
+#: Least share of a window's weight in one exemplar, and of an exemplar's weight in the window.
+COVERAGE, HELD = 0.7, 0.55
+#: Or the one exemplar has this share of the window, and all exemplars of its kind that were retrieved have the second.
+HALF, TOGETHER = 0.5, 0.85
+#: Sentences of the longest window.
+WINDOW = 4
+
+# Labelled exemplars, the stock wording of public software and of its translations.
 EXEMPLARS = {
-    SCRIPT: """Please enable JavaScript to view this page.
-You need to turn on scripts to run this app.
-You need to enable JavaScript to run this app.
-Loading… If nothing happens, allow scripts and reload.
-JavaScript is disabled. Enable it in your browser settings to continue.
-This site works best with JavaScript switched on. Your browser seems to block it.
-This website requires JavaScript. Your browser does not support JavaScript.
+    # unfilled expressions of Jinja, Handlebars, Liquid, shell, ERB, Mustache, Windows, Ant, Python and form letters
+    PLACEHOLDER: """{{ name }}
+{% name %}
+${name}
+#{name}
+[[name]]
+<%= name %>
+%%name%%
+@@name@@
+__NAME__
+[your name]
+<title>
+<name goes here>
+TODO: write text
+TBD
+[object Object]""",
+    # Create React App, Vue CLI, Angular, Stack Exchange, Cloudflare, Disqus, WordPress, Discourse, Mastodon, Jira, AWS documentation, Microsoft support, and their translations
+    SCRIPT: """You need to enable JavaScript to run this app.
+You need to turn on scripts to use this page.
+We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.
+Please enable JavaScript to continue using this application.
+This site works best with JavaScript enabled.
+Works best with JavaScript turned on.
+JavaScript is switched off or blocked by your browser.
+Your browser seems to be blocking JavaScript.
+Your browser seems to have JavaScript disabled.
+Your browser does not support JavaScript.
+Enable JavaScript and cookies to continue
+Please enable JavaScript to view the comments powered by Disqus.
+Please enable JavaScript to view this site.
+Please enable JavaScript to view this page.
+JavaScript is disabled. Please enable it in your browser settings to continue.
+This site requires JavaScript.
+To use this website, JavaScript must be enabled.
+JavaScript is not available. We've detected that JavaScript is disabled in this browser.
+Loading... Please wait. If nothing happens, enable scripts and reload the page.
+Allow scripts and reload the page.
+Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite zu sehen.
+Für diese Anwendung wird JavaScript benötigt.
 Diese Anwendung benötigt Skripte.
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.
+Veuillez activer JavaScript pour utiliser cette application.
 Veuillez activer JavaScript pour afficher cette page.
-Active JavaScript para ver esta página.
-Habilite JavaScript para continuar.
+Por favor, active JavaScript para ver esta página.
+Habilite JavaScript en su navegador para continuar.
 Ative o JavaScript para ver esta página.
-Включите JavaScript, чтобы открыть страницу.
-JavaScriptを有効にしてください。""",
+Habilite o JavaScript no seu navegador para continuar.
+Для работы этого приложения необходимо включить JavaScript.
+Пожалуйста, включите JavaScript, чтобы открыть эту страницу.
+JavaScriptを有効にしてください。
+このアプリを実行するには、JavaScriptを有効にしてください。
+このページを表示するにはJavaScriptを有効にしてください。""",
+    # Apache, nginx, IIS, Squid, Heroku, Rails, Django, Laravel, Symfony, WordPress, Drupal, Joomla, MediaWiki, phpBB, Moodle, Discourse, YouTube, Cloudflare, reCAPTCHA, and their translations
     ERROR: """404 Not Found
+Not Found
 Page not found
-Error code 404
+404 Page not found
 Error 404
-Oops! Something went wrong on our side.
-Oops
+Error code 404
+HTTP Error 404
+The requested URL was not found on this server.
+The page you were looking for could not be found.
+The page you requested could not be found.
+The page you are looking for doesn't exist or has been moved.
+Sorry, this page no longer exists or has moved.
+Oops! That page can't be found.
+It looks like nothing was found at this location.
+410 Gone
+The requested resource is no longer available on this server.
 Error
-Internal Server Error
+Oops
 500 Internal Server Error
-Internal server error. Our engineers were told; reference 3fbab20858.
-Time: 00:21, client 55f1f5
-Go back to www.site.example
-Accès refusé. Référence c0f0c0.
-503 Service Unavailable
+Internal Server Error
+Our engineers have been notified.
+Our engineers have been told.
+Reference number
+The server encountered an internal error and was unable to complete your request.
+Oops! Something went wrong.
+Oops! Something went wrong on our end.
+We're sorry, but something went wrong.
+There has been a critical error on this website.
 502 Bad Gateway
+Bad gateway: the server received no response in time from the upstream server.
+The upstream host did not answer in time.
+503 Service Unavailable
+Service temporarily unavailable. Please try again in a few minutes.
+The server is temporarily unable to service your request. Please try again later.
+504 Gateway Timeout
+Gateway timeout
+Application error
+Error establishing a database connection
+Database connection failed
+Connection timed out
+timeout after 30 s
+403 Forbidden
+Forbidden
 Access Denied
 Access denied. You do not have permission to view this resource.
-Forbidden
-403 Forbidden
-404 – the page you were looking for could not be found.
-Service temporarily unavailable. Please try again in 5 minutes.
-Database connection failed: timeout after 30 s
-Page under construction, come back soon.
-Site maintenance
-This content is not available in your country.
-We could not load this article. Reload the page or come back later.
-Sorry, this page has moved or no longer exists.
-Your session has expired, please log in again.
-Bad gateway: the upstream host did not answer in time.
-Checking your browser before you continue. Ray 8b90afd5ec
+You don't have permission to access this resource.
+You are not authorized to access this page.
+401 Unauthorized
+429 Too Many Requests
+Too many requests from your address.
+Our systems have detected unusual traffic from your computer network.
+Request id
+Checking your browser before accessing this site.
+Checking your browser before you continue. Ray ID
 Just a moment...
-Too many requests from your address. Request id 4f2a.
-Please verify you are a human to continue
-Fehler 404: Die Seite wurde nicht gefunden.
+Please verify you are a human
+Verify you are human by completing the action below.
+Please complete the security check to continue
+Your session has expired. Please log in again.
+This content is not available in your country or region.
+Sorry, this content isn't available right now.
+We could not load this article. Please reload the page or come back later.
+Site maintenance
+Site under maintenance
+Briefly unavailable for scheduled maintenance. Check back in a minute.
+This page is under construction. Come back soon.
+Under construction
+Fehler 404
 Fehler 500
+Fehler
 Seite nicht gefunden
-Dieser Inhalt ist derzeit nicht verfügbar. Bitte später erneut versuchen.
-Zugriff verweigert.
-Erreur 404 : cette page est introuvable.
-Page introuvable
+Die Seite wurde nicht gefunden.
+Die angeforderte Seite konnte nicht gefunden werden.
+Dieser Inhalt ist derzeit nicht verfügbar.
+Bitte versuchen Sie es später erneut.
+Bitte später erneut versuchen.
+Zugriff verweigert
+Interner Serverfehler
+Wartungsarbeiten
+Erreur 404
 Erreur
-Service momentanément indisponible, réessayez dans 5 minutes.
-Accès refusé.
-Error 404: página no encontrada.
+Page introuvable
+Page non trouvée
+Cette page est introuvable.
+La page demandée est introuvable.
+Service momentanément indisponible. Réessayez dans quelques minutes.
+Service temporairement indisponible, réessayez plus tard.
+Accès refusé
+Référence
+Erreur interne du serveur
+Error 404: página no encontrada
 Página no encontrada
-Acceso denegado (1689697118).
-Servicio no disponible por el momento, inténtelo más tarde.
-Erro 404: página não encontrada.
+Acceso denegado
+Servicio no disponible por el momento. Inténtelo de nuevo más tarde.
+Error interno del servidor
+Erro 404: página não encontrada
+Erro
 Página não encontrada
-Acesso negado.
-Serviço indisponível no momento, tente mais tarde.
-Ошибка 404: страница не найдена.
+Acesso negado
+Serviço indisponível no momento. Tente novamente mais tarde.
+Erro interno do servidor
+Ошибка 404: страница не найдена
+Ошибка
 Страница не найдена
-Доступ запрещён.
-Сервис временно недоступен.
-404 ページが見つかりません。
-ページが見つかりません
+Доступ запрещён
+Сервис временно недоступен. Попробуйте позже.
+Внутренняя ошибка сервера
+404 ページが見つかりません
+お探しのページが見つかりません
+ページが見つかりませんでした。
 ただいまアクセスできません。しばらくお待ちください。
-アクセスが拒否されました。""",
+しばらくしてからもう一度お試しください。
+アクセスが拒否されました
+サービスは一時的に利用できません""",
+    # Cicero's filler as typesetters use it, HTML editors' default titles, sample texts of page builders, the metasyntactic variables, and their like in other languages
     FILLER: """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae semper rutrum congue mollis porta justo felis massa augue tellus turpis dictum urna lacus
-This is a sample paragraph. Replace this with your own words. Sample text.
-Body copy for the headline block will be added by the editor.
+This is a sample paragraph. Replace this text with your own words.
+Sample text. Replace with your own content.
+Body copy will be added by the editor.
+Headline text block goes here.
 Your text goes here. Add your content here.
-foo bar foo baz qwer asdf test xxx bla qwerty
+foo bar baz qux qwer asdf qwerty test xxx bla
 Untitled Document
 Hier steht Blindtext. Dies ist ein Typoblindtext.
 Ceci est un texte de remplissage. Votre texte ici.
 Este es un texto de relleno. Su texto aquí.
 Este é um texto de exemplo. Seu texto aqui.
-Здесь будет текст. Это пример текста.
+Здесь будет ваш текст. Это пример текста.
 ここに本文を入力してください。これはダミーテキストです。""",
 }
 
-_PLACEHOLDER = re.compile(
-    r"\{\{\s*[\w.|]+(?: [\w.|]+)*\s*\}\}|\$\{\s*[\w.]+\s*\}|\[\[\s*[\w.]+\s*\]\]|<%=?\s*[\w.]+\s*%>|%%\s*[\w.]+\s*%%|@@\s*[\w.]+\s*@@|__[A-Z]+(?:_[A-Z]+)*__|\[(?:insert|your|add|enter) [\w ]{2,40}\]|(?:&lt;|<)(?:title|headline|author|body|caption|category|date|price|product|section|site|summary|teaser|user|name|company|address|email|phone)(?:&gt;|>)|<[a-z][\w ]{1,30} (?:goes )?here>|<(?:your|insert|enter) [\w ]{2,30}>|\bTODO: ?\w+ \w+|\bTBD\b|\[object Object\]|#\{[\w.]+\}|\{%\s*[\w. ]+\s*%\}"
-    , re.I)
-_CASED = re.compile(r"\bTODO|\bTBD|__[A-Z]")
-_TOKEN = re.compile(r"[^\W\d_]+")
+_FIELDS = "title|headline|author|body|caption|category|date|price|product|section|site|summary|teaser|user|name|company|address|email|phone"
+# The forms of unfilled expressions, one class of tokens each.
+_CLASSES = {
+    "mustache": r"\{\{\s*[\w.|]+(?: [\w.|]+)*\s*\}\}",
+    "tag": r"\{%\s*[\w. ]+\s*%\}",
+    "dollar": r"\$\{\s*[\w.]+\s*\}",
+    "hash": r"#\{[\w.]+\}",
+    "square": r"\[\[\s*[\w.]+\s*\]\]",
+    "erb": r"<%=?\s*[\w.]+\s*%>",
+    "percent": r"%%\s*[\w.]+\s*%%",
+    "at": r"@@\s*[\w.]+\s*@@",
+    "dunder": r"__(?-i:[A-Z]+(?:_[A-Z]+)*)__",
+    "form": r"\[(?:insert|your|add|enter) [\w ]{2,40}\]|<(?:your|insert|enter) [\w ]{2,30}>",
+    "field": rf"(?:&lt;|<)(?:{_FIELDS})(?:&gt;|>)",
+    "here": r"<[a-z][\w ]{1,30} (?:goes )?here>",
+    "todo": r"\b(?-i:TODO): ?\w+ \w+",
+    "tbd": r"\b(?-i:TBD)\b",
+    "object": r"\[object Object\]",
+}
+_UNFILLED = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _CLASSES.items()), re.I)
+_MAYBE = re.compile(r"[{\[<%@_&]|TODO|TBD")
+#: Words of letters alone: identifiers and request numbers, which hold digits, are no words.
+_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
 _WIDE = re.compile(r"[぀-ヿ一-鿿]+")
 #: Neither ASCII nor Cyrillic, kana or ideographs.
-_ACCENTED = re.compile(r"[^\x00-\x7f\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff]+")
+_ACCENTED = re.compile(r"[^\x00-\x7fЀ-ӿ぀-ヿ一-鿿]+")
 _QUOTES = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|「[^」\n]*」")
+_ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
 
-def tokens(text: str) -> list[str]:
-    """Words in lower case, without accented letters or what a wrong encoding made of them; of Japanese, pairs of characters."""
+_ENDINGS = re.compile("(?<=...)(?:ing|ed|es|s|e)$")
+
+
+class _Stems(dict):
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        stem = self[word] = _ENDINGS.sub("", word)
+        return stem
+
+
+_STEMS = _Stems()
+
+
+def _words(text: str) -> list[str]:
+    """Words in lower case without their commonest endings, without accented letters or what a wrong encoding made of them; of Japanese, pairs of characters."""
     if text.isascii():
-        return _TOKEN.findall(text.lower())
+        return [_STEMS[w] for w in _TOKEN.findall(text.lower())]
     found = _TOKEN.findall(_ACCENTED.sub("", text.lower()))
     if not _WIDE.search(text):
-        return found
+        return [_STEMS[w] for w in found]
     out: list[str] = []
     for w in found:
         if _WIDE.search(w):
             out += [w[i:i + 2] for i in range(max(1, len(w) - 1))]
         else:
-            out.append(w)
+            out.append(_STEMS[w])
     return out
 
 
-def placeholders(text: str, strict: bool = False) -> list[re.Match[str]]:
-    """Unfilled placeholders of ``text``; with ``strict`` only those outside quotation marks."""
-    if not any(c in text for c in "{[<%@_&") and "TODO" not in text and "TBD" not in text:
-        return []
-    found = [m for m in _PLACEHOLDER.finditer(text) if not m.group()[:4].lower() in ("todo", "tbd") or _CASED.match(m.group())]
-    if not strict or not found:
-        return found
-    quoted = [m.span() for m in _QUOTES.finditer(text)]
-    return [m for m in found if not any(a <= m.start() and m.end() <= b for a, b in quoted)]
+def tokens(text: str) -> list[str]:
+    """Words as ``_words`` has them, and a token ``<class>`` for each unfilled expression."""
+    if not _MAYBE.search(text):
+        return _words(text)
+    unfilled = [f"<{m.lastgroup}>" for m in _UNFILLED.finditer(text)]
+    return unfilled + _words(_UNFILLED.sub(" ", text)) if unfilled else _words(text)
 
 
 class Exemplars:
     """The inverted index of labelled residue, with the weight of each token."""
 
-    def __init__(self, labelled: dict[str, str] = EXEMPLARS, weights: dict[str, float] | None = None) -> None:
+    def __init__(self, labelled: dict[str, str] = EXEMPLARS, weights: dict[str, float] | None = None, other: float = 1.0) -> None:
         self.kinds: list[str] = []
         self.sets: list[frozenset[str]] = []
-        self.bags: list[bool] = []
         for name, lines in labelled.items():
             for line in lines.split("\n"):
-                own = frozenset(tokens(line))
                 self.kinds.append(name)
-                self.sets.append(own)
-                self.bags.append(name == FILLER)
+                self.sets.append(frozenset(tokens(line)))
+        #: Filler is a bag of words in any order and number; no part of the bag has to be complete.
+        self.bags = [name == FILLER for name in self.kinds]
         self.index: dict[str, list[int]] = {}
         for k, own in enumerate(self.sets):
             for t in own:
                 self.index.setdefault(t, []).append(k)
         self.weights = weights or {}
-        known = sorted(self.weights.values())
-        #: Weight of a token no exemplar has: that of a usual word of the exemplars.
-        self.other = known[len(known) // 2] if known else 1.0
-        self.totals = [sum(self.weights.get(t, self.other) for t in own) for own in self.sets]
+        #: Weight of a token no exemplar has.
+        self.other = other
+        self.totals = [sum(self.weight(t) for t in own) for own in self.sets]
+        self._units: dict[str, tuple[tuple[list[str], int, str | None], ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_units": {}}
+
+    def weight(self, token: str) -> float:
+        return self.weights.get(token, self.other)
 
     @classmethod
     def fit(cls, texts: DataFrame, labelled: dict[str, str] = EXEMPLARS) -> Exemplars:
@@ -184,50 +320,116 @@ class Exemplars:
             seen: Counter[str] = Counter()
             for text in block.column("text").to_pylist():
                 seen.update(vocabulary.intersection(tokens(text)))
+                seen[""] += 1
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
         counted = map_text(texts.select("text").where(F.length("text") > 0), count, "token string, n long", "text").groupBy("token").agg(F.sum("n").alias("n"))
-        n = texts.where(F.length("text") > 0).count()
         rows = {r[0]: r[1] for r in counted.collect()}  # at most the exemplars' vocabulary
-        return cls(labelled, {t: log((n + 1) / (rows.get(t, 0) + 0.5)) + 0.1 for t in vocabulary})
+        n = rows.get("", 0)
+        return cls.weighted(labelled, rows, n)
 
-    def best(self, line: str) -> str | None:
-        """The kind of the exemplar that covers enough of the passage, if one does."""
-        text = line.strip()
-        if not text:
-            return None
-        if placeholders(text):
-            bare = _PLACEHOLDER.sub(" ", text)
-            if len(re.sub(r"^\W*\w+\s*:", "", bare).split()) <= 1 and placeholders(text, strict=True):
-                return PLACEHOLDER
-        own = tokens(text)
-        if not own:
-            return None
+    @classmethod
+    def weighted(cls, labelled: dict[str, str], rows: dict[str, int], n: int) -> Exemplars:
+        """Weights from how many of ``n`` texts hold each token; a token no exemplar has weighs like the median of those the texts hold at all."""
+        weights = {t: log((n + 1) / (rows.get(t, 0) + 0.5)) + 0.1 for lines in labelled.values() for t in tokens(lines)}
+        met = sorted(w for t, w in weights.items() if rows.get(t))
+        return cls(labelled, weights, met[len(met) // 2] if met else 1.0)
+
+    def match(self, own: list[str]) -> str | None:
+        """The kind of the exemplar that covers enough of a window's tokens, if one does."""
         held = [t for t in own if t in self.index]
-        known = sum([self.weights.get(t, self.other) for t in held])
-        if known < COVERAGE * (known + self.other * (len(own) - len(held))):
+        known = sum([self.weight(t) for t in held])
+        total = known + self.other * (len(own) - len(held))
+        if not held or known < COVERAGE * total:
             return None
         shared: dict[int, float] = {}
-        total = 0.0
         seen: set[str] = set()
-        for t in own:
-            w = self.weights.get(t, self.other)
-            total += w
+        for t in held:
+            w = self.weight(t)
             first = t not in seen
             seen.add(t)
-            for k in self.index.get(t, ()):
+            for k in self.index[t]:
                 if first or self.bags[k]:
                     shared[k] = shared.get(k, 0.0) + w
-        if not shared:
-            return None
         found, share = None, 0.0
+        least = COVERAGE
+        for name in {self.kinds[k] for k in shared}:
+            if sum([self.weight(t) for t in held if any(self.kinds[k] == name for k in self.index[t])]) >= TOGETHER * total:
+                least = HALF
         for k, w in shared.items():
             cover = w / total
-            if cover > share and (self.bags[k] and (len(own) >= 4 or cover == 1.0 and len(seen) >= min(2, len(self.sets[k]))) or not self.bags[k] and sum(self.weights.get(t, self.other) for t in seen & self.sets[k]) >= 0.55 * self.totals[k]):
+            if cover > share and (self.bags[k] and (len(own) >= 4 or cover == 1.0 and len(seen) >= min(2, len(self.sets[k]))) or not self.bags[k] and sum([self.weight(t) for t in seen & self.sets[k]]) >= HELD * self.totals[k]):
                 found, share = k, cover
-        if found is None or share < COVERAGE:
-            return None
-        return self.kinds[found]
+        return self.kinds[found] if found is not None and share >= least else None
+
+    def unfilled(self, text: str) -> list[re.Match[str]]:
+        """The windows of one token that an exemplar of a placeholder contains, but for those in quotation marks."""
+        if not _MAYBE.search(text):
+            return []
+        found = [m for m in _UNFILLED.finditer(text) if self.match([f"<{m.lastgroup}>"]) == PLACEHOLDER]
+        if not found:
+            return []
+        quoted = [m.span() for m in _QUOTES.finditer(text)]
+        return [m for m in found if not any(a <= m.start() and m.end() <= b for a, b in quoted)]
+
+    def _sentences(self, line: str) -> tuple[tuple[list[str], int, str | None], ...]:
+        """(tokens, characters, kind by itself) of each sentence of a line."""
+        known = self._units.get(line)
+        if known is None:
+            if len(self._units) > 100_000:
+                self._units.clear()
+            out = []
+            for s in _ENDS.split(line):
+                if s.strip():
+                    own = tokens(s)
+                    out.append((own, len(s.strip()), self.match(own)))
+            known = self._units[line] = tuple(out)
+        return known
+
+    def _hopeful(self, own: list[str]) -> bool:
+        """Whether all exemplars together hold enough of a sentence for it to be a part of a window."""
+        known = sum([self.weight(t) for t in own if t in self.index])
+        return bool(own) and known >= COVERAGE * (known + self.other * sum(t not in self.index for t in own))
+
+    def of_lines(self, lines: list[str]) -> list[str | None]:
+        """The kind of residue each line is, if windows of residue cover most of it; windows do not go over blank lines."""
+        out: list[str | None] = [None] * len(lines)
+        run: list[tuple[int, list[str], int, str | None]] = []
+
+        def close() -> None:
+            if not run:
+                return
+            kinds = [r[3] for r in run]
+            if len(run) > 1 and any(k is None for k in kinds):
+                for size in range(2, WINDOW + 1):
+                    for a in range(len(run) - size + 1):
+                        if any(k is None for k in kinds[a:a + size]) and (k := self.match([t for r in run[a:a + size] for t in r[1]])):
+                            kinds[a:a + size] = [x or k for x in kinds[a:a + size]]
+            covered: dict[int, Counter[str]] = {}
+            for (i, _, size, _), k in zip(run, kinds, strict=True):
+                if k:
+                    covered.setdefault(i, Counter())[k] += size
+            for i, by in covered.items():
+                k, _ = by.most_common(1)[0]
+                if sum(by.values()) >= COVERAGE * sum(u[1] for u in self._sentences(lines[i])):
+                    out[i] = k
+            run.clear()
+
+        for i, line in enumerate(lines):
+            units = self._sentences(line)
+            if not units:
+                close()
+            for own, size, k in units:
+                if k or self._hopeful(own):
+                    run.append((i, own, size, k))
+                else:
+                    close()
+        close()
+        return out
+
+    def best(self, text: str) -> str | None:
+        """The kind of residue a single line is, if it is any."""
+        return self.of_lines([text])[0]
 
 
 _SUFFIX = re.compile(r"\s+(?:[|–—-]|â€“|â€”|ÔÇô|ÔÇö|‚Äì|‚Äî|вЂ“)\s+[^|–—-]{2,40}$")
@@ -237,46 +439,41 @@ def _field_kind(exemplars: Exemplars, title: str) -> str | None:
     t = title.strip()
     if not t:
         return None
-    if placeholders(t, strict=True):
+    if exemplars.unfilled(t):
         return PLACEHOLDER
     return exemplars.best(t) or exemplars.best(_SUFFIX.sub("", t))
 
 
-def residue_fields(pages: DataFrame, *, id_col: str = "id", url_col: str = "normalized_url", title_col: str = "title", text_col: str = "text_content") -> DataFrame:
+def residue_fields(pages: DataFrame, **columns: str) -> DataFrame:
     """(page_id, field_name, residue_kind) of every field that is to be left out.
 
     A placeholder outside quotation marks is enough. Otherwise the field's own content, site furniture aside, must be
-    residue for the larger part; a script notice counts only where no article stands beside it. Null and empty fields
+    residue for the larger part, or too short beside it for an article; a script notice counts only in the second case. Null and empty fields
     have no case; repeated rows are judged each; very long texts are read whole; further columns are ignored; an
     empty table gives an empty result.
     """
-    from lodestrata.llm import furniture as K
-    from lodestrata.llm.boilerplate import LEAST_ARTICLE, Classifier, _headline
-    from lodestrata.llm.repeated_lines import site_of, standing_numbers, with_standing_lines
-
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
-    exemplars = Exemplars.fit(base.select("text"))
-    classifier = Classifier(exemplars)
+    from lodestrata.llm.boilerplate import LEAST_ARTICLE, headlike, judged
+    from lodestrata.llm.repeated_lines import standing_numbers
 
-    def has_placeholder(text: str) -> bool:
-        return bool(placeholders(text)) and any(placeholders(x, strict=True) for x in _paragraphs(text))
+    rows, classifier = judged(pages, **columns)
+    exemplars = classifier.exemplars
 
-    def own_kind(lines: list[str], kinds: list[str | None], title: str | None, host: str | None, standing: set[int]) -> str | None:
+    def own_kind(lines: list[str], kinds: list[str | None], title: str | None, standing: set[int]) -> str | None:
         size = {FILLER: 0, ERROR: 0, SCRIPT: 0, PLACEHOLDER: 0}
         rest = 0
-        labels = classifier.label(lines, title, host, standing)
+        labels = classifier.label(lines, title, standing, kinds)
         for line, r, good in zip(lines, kinds, labels, strict=True):
             if r:
                 size[r] += len(line.strip())
-            elif good and not _headline(line):
+            elif good and not headlike(line):
                 rest += len(line.strip())
-        if size[FILLER] + size[ERROR] > rest:
+        if (size[FILLER] or size[ERROR]) and (size[FILLER] + size[ERROR] > rest or rest < LEAST_ARTICLE):
             return FILLER if size[FILLER] >= size[ERROR] else ERROR
         return SCRIPT if size[SCRIPT] and rest < LEAST_ARTICLE else None
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch | None:
         at, fields, found = [], [], []
-        hosts, titles, texts = (block.column(c).to_pylist() for c in ("site", "title", "text"))
+        titles, texts = (block.column(c).to_pylist() for c in ("title", "text"))
         in_doubt: dict[int, tuple[list[str], list[str | None]]] = {}
         for k, (title, text) in enumerate(zip(titles, texts, strict=True)):
             if title and (r := _field_kind(exemplars, title)):
@@ -285,20 +482,20 @@ def residue_fields(pages: DataFrame, *, id_col: str = "id", url_col: str = "norm
                 found.append(r)
             if not text:
                 continue
-            if has_placeholder(text):
+            if _MAYBE.search(text) and any(exemplars.unfilled(x) for x in _paragraphs(text)):
                 at.append(k)
                 fields.append("text_content")
                 found.append(PLACEHOLDER)
                 continue
             lines = text.split("\n")
-            kinds = [classifier.residue(x) if x else None for x in lines]
+            kinds = exemplars.of_lines(lines)
             if any(kinds):
                 in_doubt[k] = lines, kinds
         if in_doubt:  # only here does it matter what the site adds
             take = pa.array(list(in_doubt))
             standing = standing_numbers([texts[k] for k in in_doubt], block.column("hot").take(take))
             for (k, (lines, kinds)), own in zip(in_doubt.items(), standing, strict=True):
-                if r := own_kind(lines, kinds, titles[k], hosts[k], own):
+                if r := own_kind(lines, kinds, titles[k], own):
                     at.append(k)
                     fields.append("text_content")
                     found.append(r)
@@ -306,7 +503,7 @@ def residue_fields(pages: DataFrame, *, id_col: str = "id", url_col: str = "norm
             return None
         return pa.RecordBatch.from_arrays([block.column("page_id").take(pa.array(at)), pa.array(fields), pa.array(found)], ["page_id", "field_name", "residue_kind"])
 
-    return map_text(with_standing_lines(base).where(F.col("text").isNotNull() | F.col("title").isNotNull()), run, "page_id long, field_name string, residue_kind string", "text")
+    return map_text(rows.where(F.col("text").isNotNull() | F.col("title").isNotNull()).select("page_id", "title", "text", "hot"), run, "page_id long, field_name string, residue_kind string", "text")
 
 
 def _paragraphs(text: str) -> list[str]:
