@@ -25,7 +25,7 @@ def test_between_article_and_furniture_common_words_decide():
 
 
 def test_wrapped_lines_go_on():
-    assert _labels(f"{ARTICLE[:-30]}\nasked. Fine\nPrint this page") == [True, True, False]
+    assert _labels(f"{ARTICLE} {ARTICLE[:-30]}\nasked. Fine\nPrint this page") == [True, True, False]
 
 
 def test_pairs_of_japanese_are_counted(spark):
