@@ -8,8 +8,10 @@ inverse mappings tested: the characters go back to the bytes of the encoding the
 read as what they should have been. A mapping is taken if its result is more usual in the corpus than what stood
 there; it is tried again on its own result, for text damaged twice.
 
-Only pairs with a character outside ASCII are counted. Pairs rarer than a two-millionth of these count as unseen, so
-the model has at most two million entries however large the corpus is.
+Only pairs with a character outside ASCII are counted. The model is that of two million such pairs: counts of a larger
+corpus are scaled down to that many, and a pair then met less than once is one that two million pairs would not have
+shown. Judgements are thus alike at every size above, and the model has at most two million entries. How often each
+character begins or ends a pair is summed over all pairs, before any is left out.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.codepoints import map_text, to_array
+from lodestrata.sources.checkpoints import cut
 
-#: A pair with a smaller share of all counted pairs is treated as unseen; bounds the model.
+#: The share of all counted pairs that is one count of the model; bounds it.
 RAREST = 5e-7
 #: Mutual information (natural logarithm) of usual pairs.
 BAND = (-1.5, 0.8)
 #: What a pair within ASCII adds to a segment.
 PLAIN = -0.7
 DROP = 4.0
+#: What each pair of a field gains once damage is proven in it: its improbable runs become wider and more.
+DOUBT = 2.5
 
 #: Encodings in which UTF-8 is wrongly read; single bytes without a character there stand for themselves.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866")
@@ -78,21 +83,21 @@ def bytes_of(codec: str) -> dict[str, tuple[int, ...]]:
 class Model:
     """Pair counts, sorted by key ``a << 21 | b``, and what follows from them."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int) -> None:
-        order = np.argsort(keys)
-        self.keys, self.counts, self.total = keys[order], counts[order], max(1, total)
-        a, b = self.keys >> 21, self.keys & 0x1FFFFF
-        self.left_of, at = np.unique(a, return_inverse=True)
-        self.left = np.bincount(at, self.counts, len(self.left_of))
-        self.right_of, at = np.unique(b, return_inverse=True)
-        self.right = np.bincount(at, self.counts, len(self.right_of))
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], total: float) -> None:
+        (self.keys, self.counts), (self.left_of, self.left), (self.right_of, self.right) = (self._sorted(*x) for x in (pairs, left, right))
+        self.total = max(1.0, total)
         #: Mean logarithm of counts below which a whole run may stand in another legacy encoding.
         self.rare = log(self.total) - USUAL
-        self._known: dict[int, float] | None = None
+        self._known: dict[int, float] = {}
         self._chars: dict[int, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": None, "_chars": {}}
+        return self.__dict__ | {"_known": {}, "_chars": {}}
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], counts[order]
 
     @staticmethod
     def _find(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -107,24 +112,27 @@ class Model:
         expected = (self._find(self.left_of, self.left, a) + 0.5) * (self._find(self.right_of, self.right, b) + 0.5) / self.total
         return np.log(n / (expected + 0.5))
 
-    def _load(self) -> None:
-        if self._known is None:
-            self._known = dict(zip(self.keys.tolist(), self.counts.tolist(), strict=True))
-            self._chars = dict(zip(self.left_of.tolist(), self.left.tolist(), strict=True))
-            for c, n in zip(self.right_of.tolist(), self.right.tolist(), strict=True):
-                self._chars[c] = max(n, self._chars.get(c, 0.0))
-
     def pair(self, a: str, b: str) -> float:
-        """Logarithm of the pair's count."""
-        return log(self._known.get((ord(a) << 21) | ord(b), 0.0) + 0.5)
+        """Logarithm of the pair's count; what a task asks for is remembered, the model is not copied."""
+        k = (ord(a) << 21) | ord(b)
+        found = self._known.get(k)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            found = self._known[k] = log(float(self._find(self.keys, self.counts, np.array([k]))[0]) + 0.5)
+        return found
 
     def char(self, c: str) -> float:
         """Logarithm of how often a character outside ASCII is met."""
-        return log(self._chars.get(ord(c), 0.0) + 0.5)
+        found = self._chars.get(ord(c))
+        if found is None:
+            k = np.array([ord(c)])
+            n = max(self._find(self.left_of, self.left, k)[0], self._find(self.right_of, self.right, k)[0])
+            found = self._chars[ord(c)] = log(float(n) + 0.5)
+        return found
 
     def usual(self, text: str, without: set[int] = frozenset()) -> float:
         """Mean of ``pair`` over the pairs of ``text`` that hold a character outside ASCII, but for those that begin at ``without``."""
-        self._load()
         values = [self.pair(text[i], text[i + 1]) for i in range(len(text) - 1) if i not in without and (text[i] > "\x7f" or text[i + 1] > "\x7f")]
         return sum(values) / len(values) if values else 0.0
 
@@ -140,16 +148,21 @@ def pair_counts(block: pa.RecordBatch) -> pa.RecordBatch:
 
 def fit(fields: DataFrame, rarest: float = RAREST) -> Model:
     """The model of all texts in the column ``text``."""
-    counted = map_text(fields.select("text"), pair_counts, "pair long, n long", "text").groupBy("pair").agg(F.sum("n").alias("n"))
-    total = counted.agg(F.sum("n")).scalar()
-    rows = counted.withColumn("total", total).where(F.col("n") >= rarest * F.col("total")).toArrow()  # at most 1 / rarest rows
-    if not rows.num_rows:
-        return Model(np.empty(0, np.int64), np.empty(0), 0)
-    return Model(rows["pair"].to_numpy(), rows["n"].to_numpy().astype(float), int(rows["total"][0].as_py()))
+    counted = cut(map_text(fields.select("text"), pair_counts, "pair long, n long", "text").groupBy("pair").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    scale = min(1.0, 1.0 / (rarest * total)) if total else 1.0
+    columns = []
+    for key, part in ((F.col("pair"), counted.where(F.col("n") * scale >= 1)), (F.shiftright("pair", 21), counted), (F.col("pair").bitwiseAND(0x1FFFFF), counted)):
+        rows = part.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 1 / rarest pairs, or the characters there are
+        columns.append((rows["key"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(float) * scale) if rows.num_rows else (np.empty(0, np.int64), np.empty(0)))
+    return Model(*columns, total * scale)
 
 
-def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
-    """(start, end) of the maximum-scoring segments of ``text``, widened to whole words and parted at line feeds: lines are damaged one by one."""
+def improbable_runs(text: str, model: Model, doubt: float = 0.0) -> list[tuple[int, int]]:
+    """(start, end) of the maximum-scoring segments of ``text``, widened to whole words and parted at line feeds: lines are damaged one by one.
+
+    ``doubt`` is added to the score of each pair: what is known of the field beforehand.
+    """
     points = to_array(text).astype(np.int64)
     high = points > 0x7F
     if not high.any():
@@ -159,7 +172,7 @@ def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
     a, b = points[:-1], points[1:]
     at = np.flatnonzero(high[:-1] | high[1:])
     info = model.information(a[at], b[at])
-    score = np.clip(np.maximum(info - BAND[1], BAND[0] - info), -2.0, 4.0)
+    score = np.clip(np.maximum(info - BAND[1], BAND[0] - info) + doubt, -2.0, 4.0)
     score[(a[at] == _LOST) | (b[at] == _LOST)] = 4.0
     runs: list[tuple[int, int]] = []
     total = best = 0.0
@@ -255,7 +268,6 @@ def _gain(model: Model, before: str, run: str, after: str, new: str, sequences:
     Each sequence of bytes is held against the character it makes, by the rarer of its inner pairs; the pairs at its
     ends are held against those of the new text. That the bytes fit together at all speaks for damage.
     """
-    model._load()
     inner: set[int] = set()
     gain = 0.0
     for i, k, char in sequences:
@@ -298,8 +310,11 @@ def restored(run: str, before: str, after: str, model: Model) -> str | None:
 
 
 def repair(text: str, model: Model, memory: dict | None = None) -> tuple[str, int, int]:
-    """(text with the original wording, runs put back, characters lost for good)."""
-    lost = text.count("�")
+    """(text with the original wording, runs put back, characters lost for good).
+
+    Both come from improbable runs alone. If one run is put back, the runs of the field are sought again with less
+    trust in its pairs, first as they stand and then word by word within them.
+    """
     if text.isascii():
         return text, 0, 0
     memory = {} if memory is None else memory
@@ -318,12 +333,14 @@ def repair(text: str, model: Model, memory: dict | None = None) -> tuple[str, in
                 fixed += 1
         return "".join(out) + text[last:], fixed
 
-    new, fixed = over(text, improbable_runs(text, model))
-    if not fixed and not lost:
-        return text, 0, 0
-    # a damaged field: all its lines and words outside ASCII are in doubt
-    by_line, n = over(text, [m.span() for m in _LINE.finditer(text)])
-    by_word, m = over(by_line, [m.span() for m in _WORD.finditer(by_line)])
+    runs = improbable_runs(text, model)
+    lost = sum(text.count("\ufffd", i, j) for i, j in runs)
+    new, fixed = over(text, runs)
+    if not fixed:
+        return new, 0, lost
+    by_run, n = over(text, improbable_runs(text, model, DOUBT))
+    words = [(i + m.start(), i + m.end()) for i, j in improbable_runs(by_run, model, DOUBT) for m in _WORD.finditer(by_run[i:j])]
+    by_word, m = over(by_run, words)
     return (by_word, max(fixed, n + m), lost) if n + m else (new, fixed, lost)
 
 
