@@ -4,7 +4,8 @@ Shortest-pack-first over the length histogram: lengths are placed longest first,
 shortest so far, and only the counts of packing patterns are kept. The histogram has at most ``capacity`` entries and
 leaves at most two patterns per entry, whatever the number of texts, so this step is bounded by the capacity alone.
 Texts then find their place by rank: the r-th text of a length takes the r-th slot for that length. Ranks are counted
-in buckets, so a length that a third of all texts share is ranked in many tasks.
+in buckets, so a length that a third of all texts share is ranked in many tasks. The table of slots is sent to all tasks
+only while it is small; its size is known on the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from lodestrata.llm.codepoints import map_text
 
 #: Largest capacity: bounds the histogram and the patterns on the driver.
 MOST_CAPACITY = 1_000_000
-RANK_BUCKETS = 64
+#: Items of one bucket of ranks on the average; there are 64 buckets at least.
+BUCKET_ITEMS = 500_000
+#: Slots (about 100 bytes each) that may go to every task; more are joined by length and bucket.
+MOST_BROADCAST = 200_000
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -82,15 +86,23 @@ def byte_pieces(text: str, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+def _capacities(containers: DataFrame) -> dict[str, int]:
+    """The capacity of each kind; rows without one are left out."""
+    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").dropna().distinct().limit(1001).collect()]
+    if len(kinds) > 1000 or any(not 4 <= c <= MOST_CAPACITY for _, c in kinds):
+        raise ValueError(f"at most 1000 kinds of containers, of 4 to {MOST_CAPACITY} tokens each")
+    if len(dict(kinds)) < len(kinds):
+        raise ValueError("a kind of containers has two capacities")
+    return dict(kinds)
+
+
 def pack_items(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(container_kind, doc_id, piece_no, n_pieces, first_byte, n_tokens): what has to be placed.
 
     Tokens are those of the byte-level ByT5 tokenizer: one for each UTF-8 byte and a closing one. Only a text with more
     tokens than the capacity is divided. Null texts have no items, empty ones have one token; further columns are ignored.
     """
-    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").dropna().distinct().orderBy("container_kind").limit(1001).collect()]
-    if len(kinds) > 1000 or any(not 4 <= c <= MOST_CAPACITY for _, c in kinds):
-        raise ValueError(f"at most 1000 kinds of containers, of 4 to {MOST_CAPACITY} tokens each")
+    kinds = sorted(_capacities(containers).items())
     schema = "container_kind string, doc_id long, piece_no int, n_pieces int, first_byte long, n_tokens long"
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.octet_length(text_col) + 1).cast("long").alias("n_tokens")).where(F.col("text").isNotNull())
     if not kinds:
@@ -112,30 +124,37 @@ def pack_items(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc_id"
     return small.unionByName(large)
 
 
-def pack(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``pack_items`` with the ``container_no`` of each item, from 0 within its kind; no container holds more tokens than its capacity.
 
+    A kind of two capacities is refused.
+
     Repeated rows are placed each. The same rows get the same containers, whatever the partitions, up to ties
     between equal ids.
     """
     spark = docs.sparkSession
     items = pack_items(docs, containers, id_col=id_col, text_col=text_col)
-    caps = {r[0]: int(r[1]) for r in containers.select("container_kind", "capacity_tokens").dropna().collect()}
+    caps = _capacities(containers)
     histograms: dict[str, dict[int, int]] = {k: {} for k in caps}
     for r in items.groupBy("container_kind", "n_tokens").count().collect():  # at most `capacity` rows of each kind
         histograms[r[0]][int(r[1])] = int(r[2])
     places = [(kind, *s) for kind, h in histograms.items() for s in slots(pack_histogram(h, caps[kind]))]
     table = spark.createDataFrame(places, "kind string, size long, rank_from long, rank_to long, base long, containers long")
 
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(RANK_BUCKETS)))
+    buckets = max(64, sum(sum(h.values()) for h in histograms.values()) // BUCKET_ITEMS)
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)))
     offsets = items.groupBy("container_kind", "n_tokens", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("container_kind", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("container_kind", "n_tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = offsets.select("container_kind", "n_tokens", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("container_kind", "n_tokens", "bucket").orderBy("doc_id", "piece_no")
-    ranked = items.withColumn("k", F.row_number().over(within) - 1).join(offsets, ["container_kind", "n_tokens", "bucket"]).withColumn("rank", F.col("k") + F.col("offset"))
-    # bounded by the capacities (at most two patterns for each length), never by the texts
+    ranked = items.withColumn("k", F.row_number().over(within) - 1).join(offsets.drop("n"), ["container_kind", "n_tokens", "bucket"]).withColumn("rank", F.col("k") + F.col("offset"))
     here = (F.col("kind") == F.col("container_kind")) & (F.col("size") == F.col("n_tokens")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    placed = ranked.join(F.broadcast(table), here)
+    if len(places) <= most_broadcast:
+        placed = ranked.join(F.broadcast(table), here)
+    else:  # each bucket of ranks only meets the slots it reaches into; a length that many texts share is split
+        own = offsets.select(F.col("container_kind").alias("kind"), F.col("n_tokens").alias("size"), F.col("bucket").alias("part"), "offset", (F.col("offset") + F.col("n")).alias("stop"))
+        reached = table.join(own, ["kind", "size"]).where((F.col("rank_from") < F.col("stop")) & (F.col("rank_to") > F.col("offset"))).drop("offset", "stop")
+        placed = ranked.join(reached, here & (F.col("part") == F.col("bucket")))
     number = F.col("base") + F.pmod(F.col("rank") - F.col("rank_from"), F.col("containers"))
     return placed.select("container_kind", number.alias("container_no"), "doc_id", "piece_no", "n_pieces", "first_byte", "n_tokens")
 
