@@ -6,6 +6,10 @@ of every document are looked up in an index of the items' q-grams, counted in ov
 is kept if its count reaches the bound for the item's shortest passage that matters. Kept bands are verified by a
 banded local alignment, and what aligns long enough is checked for a whole run of equal words.
 
+Common q-grams, which stand in many items, would give as many postings for each place they stand at in a document. Rarer
+ones are looked up first, and the common ones only for the items these have brought in. A passage of nothing but common
+q-grams is found by its exact words instead, so nothing is lost.
+
 The items are a stated query set: they are taken in blocks of at most ``block_items``, each of which goes to the
 tasks as one index, and each block runs against all documents in one pass without a shuffle.
 """
@@ -24,6 +28,8 @@ from lodestrata.llm.codepoints import map_text, rolling, table_of, to_array, to_
 
 Q, EDITS, BAND = 16, 1, 8
 RUN_WORDS = 12
+#: A q-gram of more items than this (a stock instruction's) brings in no item by itself.
+COMMON = 64
 #: Items of one index; with it the index is bounded by the longest items, not by their number.
 BLOCK_ITEMS = 4_000
 _MATCH, _MISMATCH, _GAP = 1, -3, -3
@@ -82,11 +88,29 @@ class ItemIndex:
         self.place = np.concatenate(place)[order].astype(np.int32) if grams else np.empty(0, np.int32)
         self.grams, self.first = np.unique(h, return_index=True)
         self.many = np.diff(np.append(self.first, len(h)))
+        self.common = self.many > COMMON
+        self._commons: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: Passages of ``run_words`` words all of whose q-grams are common, with the items that hold them, and the fewest characters of one.
+        self.stock: dict[str, list[int]] = {}
+        if self.common.any():
+            self._find_stock()
+        self.least_stock = min(map(len, self.stock), default=0)
         self.filter = np.zeros(1 << _FILTER_BITS, np.bool_)
         self.filter[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
+    def _find_stock(self) -> None:
+        for k, p in enumerate(self.points):
+            at = np.searchsorted(self.grams, rolling(p, self.q)[self.q - 1:])
+            rare = np.append(0, np.cumsum(~self.common[at]))
+            space = np.flatnonzero(p == 32)
+            begin, end = np.append(0, space + 1), np.append(space, len(p))
+            n = len(begin) - self.run_words + 1
+            for a, b in zip(begin[:n].tolist(), end[self.run_words - 1:].tolist(), strict=True):
+                if b - a >= self.q and rare[b - self.q + 1] == rare[a]:
+                    self.stock.setdefault(to_text(p[a:b]), []).append(k)
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "filter"}
+        return {k: v for k, v in self.__dict__.items() if k != "filter"} | {"_commons": {}}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -102,13 +126,14 @@ class ItemIndex:
         found[found == len(self.grams)] = 0
         hit = self.grams[found] == h[at]
         at, found = at[hit], found[hit]
-        many = self.many[found]
-        total = int(many.sum())
-        posting = np.repeat(self.first[found] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(total)
-        at = np.repeat(at, many)
-        item = self.owner[posting].astype(np.int64)
-        diagonal = at - self.place[posting]
+        rare = ~self.common[found]
+        at, item, place = self._postings(at[rare], found[rare])
         text = np.searchsorted(starts, at, "right") - 1
+        if not rare.all():
+            more = self._common_postings(h, starts, len(points), text, item)
+            at, item, place = (np.concatenate([x, y]) for x, y in zip((at, item, place), more, strict=True))
+            text = np.searchsorted(starts, at, "right") - 1
+        diagonal = at - place
         band = diagonal // BAND
         beside = (diagonal - band * BAND) < self.edits  # belongs to the band before as well: bands overlap
         text, item, band = (np.concatenate([x, x[beside] - d]) for x, d in ((text, 0), (item, 0), (band, 1)))
@@ -121,6 +146,67 @@ class ItemIndex:
         begin = begin[count >= self.bound[item[begin]]]
         return text[begin], item[begin], band[begin] * BAND
 
+    def _postings(self, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the texts, item, place in the item) of each item that holds the q-gram found at each place."""
+        many = self.many[gram]
+        posting = np.repeat(self.first[gram] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
+        return np.repeat(at, many), self.owner[posting].astype(np.int64), self.place[posting].astype(np.int64)
+
+    def _common_postings(self, h: np.ndarray, starts: np.ndarray, size: int, text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_postings``, of the common q-grams, for the pairs of text and item that rarer ones have brought in."""
+        ends = np.append(starts[1:], size)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
+        pair = np.unique(text * len(self.ids) + item)
+        for x in pair.tolist():
+            t, k = divmod(x, len(self.ids))
+            values, place = self._own_common(k)
+            if not len(values):
+                continue
+            a = int(starts[t]) + self.q - 1
+            here = h[a:int(ends[t])]
+            lo, hi = np.searchsorted(values, here, "left"), np.searchsorted(values, here, "right")
+            n = hi - lo
+            which = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+            out.append((np.repeat(np.arange(len(here)) + a, n), np.full(len(which), k, np.int64), place[which]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _own_common(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The common q-grams of an item in order, and where they end in it; remembered by the task."""
+        found = self._commons.get(k)
+        if found is None:
+            own = rolling(self.points[k], self.q)[self.q - 1:]
+            at = np.flatnonzero(self.common[np.searchsorted(self.grams, own)])
+            order = np.argsort(own[at], kind="stable")
+            found = self._commons[k] = own[at][order], (at[order] + self.q - 1).astype(np.int64)
+        return found
+
+    def stock_passages(self, points: np.ndarray, starts: np.ndarray) -> dict[int, set[str]]:
+        """For each text the passages of common q-grams alone that it holds, by their exact words."""
+        found: dict[int, set[str]] = {}
+        if not self.stock:
+            return found
+        h = rolling(points, self.q)
+        at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
+        gram = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
+        at = at[(self.grams[gram] == h[at]) & self.common[gram] & (at >= self.q - 1)]
+        if not len(at):
+            return found
+        new = np.append(True, np.diff(at) > 1)
+        first, last = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+        for a, b in zip((first - self.q + 1).tolist(), (last + 1).tolist(), strict=True):
+            if b - a < self.least_stock:
+                continue
+            t = int(np.searchsorted(starts, a, "right")) - 1
+            while a > starts[t] and points[a - 1] != 32:
+                a -= 1
+            while points[b] not in (32, _BREAK):
+                b += 1
+            w = to_text(points[a:b]).split()
+            held = {x for i in range(len(w) - self.run_words + 1) if (x := " ".join(w[i:i + self.run_words])) in self.stock}
+            if held:
+                found.setdefault(t, set()).update(held)
+        return found
+
     def align(self, points: np.ndarray, item: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Best local alignment score of each item along its band, all candidates at once; ``lo`` and ``hi`` bound the texts."""
         n, width = len(item), BAND + 2 * self.edits
@@ -149,7 +235,8 @@ class ItemIndex:
             return []
         points, starts = normal_points(texts)
         text, item, diagonal = self.candidates(points, starts)
-        if not len(text):
+        stock = self.stock_passages(points, starts)
+        if not len(text) and not stock:
             return []
         ends = np.append(starts[1:], len(points)) - 1
         score = self.align(points, item, diagonal, starts[text], ends[text])
@@ -166,6 +253,11 @@ class ItemIndex:
             if shared:
                 before = found.get((t, k), (0, set()))
                 found[t, k] = (max(s, before[0]), shared | before[1])
+        for t, held in stock.items():
+            for x in held:
+                for k in self.stock[x]:
+                    s, shared = found.get((t, k), (0, set()))
+                    found[t, k] = (max(s, len(x)), shared | {x})
         return [(t, int(self.ids[k]), s, len(shared), len(self.windows[k])) for (t, k), (s, shared) in found.items()]
 
 
