@@ -24,6 +24,8 @@ from lodestrata.llm.codepoints import map_text
 #: Graded samples that are fitted at most; more are refused, not cut off.
 MOST_SAMPLES = 20_000
 WINDOW_WORDS = 40
+#: Texts of other levels that each graded text is compared with at most, evenly spread over them.
+PAIRS_PER_SAMPLE = 60
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: A sentence ends at its mark, or at a line break before a capital where a mark is left out.
@@ -159,8 +161,26 @@ class LevelModel:
             out[w] = (mean * weight, weight)
         return out
 
+    @staticmethod
+    def pairs(level: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(higher, lower) text of each graded pair: every text with at most ``most`` of other levels, evenly spread over these. Memory is in line with the texts."""
+        order = np.argsort(level, kind="stable")
+        begin = np.searchsorted(level[order], level, "left")
+        end = np.searchsorted(level[order], level, "right")
+        a, b = [], []
+        for i in range(len(level)):
+            others = len(level) - int(end[i] - begin[i])
+            n = min(most, others)
+            # a different start for each text, so that all texts are met alike
+            at = ((np.arange(n) * others) // max(1, n) + i * 7919) % max(1, others)
+            at = at + np.where(at >= begin[i], end[i] - begin[i], 0)
+            j = order[at]
+            a.append(np.where(level[j] > level[i], j, i))
+            b.append(np.where(level[j] > level[i], i, j))
+        return np.concatenate(a), np.concatenate(b)
+
     @classmethod
-    def fit(cls, samples: list[tuple[int, str]], ridge: float = 1e-3, rounds: int = 60) -> LevelModel:
+    def fit(cls, samples: list[tuple[int, str]], ridge: float = 1e-3, rounds: int = 60, pairs_per_sample: int = PAIRS_PER_SAMPLE) -> LevelModel:
         """Weights by logistic loss on the differences of graded pairs; calibration on the texts' own median scores."""
         samples = [(k, p) for k, t in samples if k is not None and t and (p := windows(t))]
         if len({k for k, _ in samples}) < 2:
@@ -182,11 +202,11 @@ class LevelModel:
         mean, scale = stacked.mean(0), stacked.std(0) + 1e-9
         x = [(f[:, :-1] - mean) / scale for f in every]
         level = np.array([k for k, _ in samples])
-        a, b = np.nonzero(level[:, None] > level[None, :])
-        if len(a) > 200_000:  # a fixed selection of pairs; every text stays in many of them
-            pick = np.random.Generator(np.random.PCG64(7)).permutation(len(a))[:200_000]
-            a, b = a[pick], b[pick]
-        diff = np.stack([x[i][(i + j) % len(x[i])] - x[j][(i + j) % len(x[j])] for i, j in zip(a, b, strict=True)])
+        a, b = cls.pairs(level, pairs_per_sample)
+        count = np.fromiter(map(len, x), np.int64, len(x))
+        first = np.append(0, np.cumsum(count)[:-1])
+        rows = np.concatenate(x)
+        diff = rows[first[a] + (a + b) % count[a]] - rows[first[b] + (a + b) % count[b]]
         w = np.zeros(diff.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
