@@ -13,6 +13,8 @@ written to the shared folder and gives both the repeated lines of each site and
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import furniture as K
 from lodestrata.llm.codepoints import map_text
 from lodestrata.llm.repeated_lines import Lines, site_of, standing_numbers, with_arrays
-from lodestrata.llm.residue import SCRIPT, Exemplars
+from lodestrata.llm.residue import EXEMPLARS, SCRIPT, Exemplars, surfaces, token_set, tokens
 from lodestrata.sources.checkpoints import cut
 
 #: Fewer characters of article than this (about two sentences) beside a notice or message, and that stands in its place.
@@ -31,21 +33,27 @@ MIN_PAGES, MIN_SHARE = 5, 0.05
 #: Repeated lines that an opening or shape must be found on.
 LEAST_LINES = 5
 
-#: What is counted: whole lines, parts by pages, openings and shapes by lines, leading words by pages.
-LINE, PART, SINGLE, LEAD = 0, 1, 2, 3
+#: What is counted: whole lines, parts by pages, openings and shapes by lines, leading words by pages, tokens of exemplars and texts over all sites.
+LINE, PART, SINGLE, LEAD, TOKEN = 0, 1, 2, 3, 4
+
 
+#: What a task has found for the lines it has met.
+_FEATURES: dict[str, tuple[list[int], list[int], list[int]]] = {}
 
-def _page_features(block: pa.RecordBatch) -> pa.RecordBatch:
-    """site, sort, line, feature: each once for a page; leading words are counted apart from their lines."""
+
+def page_features(block: pa.RecordBatch, vocabulary: dict[str, str]) -> pa.RecordBatch:
+    """site, sort, line, feature, n: the pages of the block that hold each; leading words are counted apart from their lines, tokens apart from sites."""
     texts = block.column("text").to_pylist()
-    forms = [K.normal(t).split("\n") for t in texts]
     lines = Lines(texts)
+    forms = [t.split("\n") for t in lines.normal]
     at: list[int] = []
     sorts: list[int] = []
     hashes: list[int] = []
     found: list[int] = []
-    known: dict[str, tuple[list[int], list[int], list[int]]] = {}
     page, seen, leads = -1, set(), set()
+    known = _FEATURES
+    if len(known) > 200_000:
+        known.clear()
     for row, no, h in zip(lines.row.tolist(), lines.no.tolist(), lines.hash.tolist(), strict=True):
         if row != page:
             page, seen, leads = row, set(), set()
@@ -55,7 +63,9 @@ def _page_features(block: pa.RecordBatch) -> pa.RecordBatch:
         form = forms[row][no - 1].strip(" ")
         own = known.get(form)
         if own is None:
-            own = known[form] = K.features(form)
+            own = K.features(form)
+            if any(own):
+                known[form] = own
         a, b, c = own
         c = [k for k in c if k not in leads]
         leads.update(c)
@@ -64,27 +74,53 @@ def _page_features(block: pa.RecordBatch) -> pa.RecordBatch:
         sorts += [LINE] + [PART] * n + [SINGLE] * m + [LEAD] * len(c)
         hashes += [h] * (1 + n + m) + [0] * len(c)
         found += [0, *a, *b, *c]
-    return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(at, pa.int64())), pa.array(sorts, pa.int8()), pa.array(hashes, pa.int64()), pa.array(found, pa.int64())], ["site", "sort", "line", "feature"])
+    sites = block.column("site").dictionary_encode()
+    code = np.asarray(sites.indices.fill_null(-1))[at] if at else np.empty(0, np.int64)
+    sort, line, feature = (np.array(x, np.int64) for x in (sorts, hashes, found))
+    good = code >= 0
+    code, sort, line, feature = (x[good] for x in (code, sort, line, feature))
+    order = np.lexsort((feature, line, sort, code))
+    code, sort, line, feature = (x[order] for x in (code, sort, line, feature))
+    new = np.ones(len(code), np.bool_)
+    new[1:] = (code[1:] != code[:-1]) | (feature[1:] != feature[:-1]) | (line[1:] != line[:-1]) | (sort[1:] != sort[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(code)))
+    seen_tokens: Counter[str] = Counter({"": sum(map(bool, texts))})
+    for t in texts:
+        if t:
+            seen_tokens.update(token_set(t, vocabulary))
+    extra = len(seen_tokens)
+    columns = [
+        pa.concat_arrays([sites.dictionary.take(pa.array(code[first])), pa.nulls(extra, pa.string())]),
+        pa.array(np.append(sort[first], np.full(extra, TOKEN)).astype(np.int8)),
+        pa.array(np.append(line[first], np.zeros(extra, np.int64))),
+        pa.array(np.append(feature[first], np.fromiter((K.key("token", t) for t in seen_tokens), np.int64, extra))),
+        pa.array(np.append(n, np.fromiter(seen_tokens.values(), np.int64, extra))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["site", "sort", "line", "feature", "n"])
 
 
 class Crawl:
-    """What the whole crawl says of lines: ``hot`` (site, line) of repeated lines, ``totals`` (site, site_rows), and the labels."""
-
-    def __init__(self, base: DataFrame) -> None:
-        sited = base.where(F.col("site").isNotNull())
-        self.totals = sited.groupBy("site").agg(F.count("*").alias("site_rows"))
-        counted = map_text(sited.where(F.length("text") >= 3).select("site", "text"), _page_features, "site string, sort byte, line long, feature long", "text")
-        counted = counted.groupBy("site", "sort", "line", "feature").agg(F.count("*").alias("n"))
+    """What the whole crawl says of lines: ``hot`` (site, line) of repeated lines, ``totals`` (site, site_rows), the labels, and the exemplars with their weights."""
+
+    def __init__(self, base: DataFrame, labelled: dict[str, str] = EXEMPLARS) -> None:
+        stems = {t for lines in labelled.values() for t in tokens(lines)}
+        vocabulary = surfaces(stems)
+        self.totals = base.where(F.col("site").isNotNull()).groupBy("site").agg(F.count("*").alias("site_rows"))
+        counted = map_text(base.where(F.length("text") > 0).select("site", "text"), lambda block: page_features(block, vocabulary), "site string, sort byte, line long, feature long, n long", "text")
+        counted = counted.groupBy("site", "sort", "line", "feature").agg(F.sum("n").alias("n"))
         repeated = (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("site_rows"))
-        stats = cut(counted.join(self.totals, "site").select("site", "sort", "line", "feature", "n", repeated.alias("repeated")))
+        stats = cut(counted.join(self.totals, "site", "left").select("site", "sort", "line", "feature", "n", repeated.alias("repeated")))
         self.hot = stats.where((F.col("sort") == LINE) & F.col("repeated")).select("site", "line")
         weight = F.when(F.col("sort") == SINGLE, F.lit(1).cast("long")).otherwise(F.col("n"))
-        by = stats.where(F.col("sort") != LINE).groupBy("sort", "feature").agg(F.sum(weight).alias("uses"), F.sum(F.when(F.col("repeated"), weight).otherwise(0)).alias("on_repeated"))
+        by = stats.where(F.col("sort").isin(PART, SINGLE, LEAD)).groupBy("sort", "feature").agg(F.sum(weight).alias("uses"), F.sum(F.when(F.col("repeated"), weight).otherwise(0)).alias("on_repeated"))
         total = by.agg(F.sum("uses")).scalar()
         rate = F.when(F.col("sort") == PART, K.RATE["part"]).when(F.col("sort") == LEAD, K.RATE["lead"]).otherwise(K.RATE["opening"])
         good = (F.col("uses") >= K.LABEL_SHARE * total) & (F.col("uses") >= 2) & (F.col("on_repeated") >= rate * F.col("uses")) & (F.col("on_repeated") >= F.when(F.col("sort") == SINGLE, LEAST_LINES).otherwise(1))
         rows = by.where(good).select("feature").toArrow()  # at most 1 / LABEL_SHARE rows
         self.labels = K.Labels(rows["feature"].to_numpy() if rows.num_rows else np.empty(0, np.int64))
+        met = {r[0]: r[1] for r in stats.where(F.col("sort") == TOKEN).select("feature", "n").collect()}  # at most the exemplars' vocabulary
+        self.exemplars = Exemplars.weighted(labelled, {t: met[k] for t in stems if (k := K.key("token", t)) in met}, met.get(K.key("token", ""), 0))
 
 
 class Classifier:
@@ -93,15 +129,15 @@ class Classifier:
     def __init__(self, exemplars: Exemplars, labels: K.Labels) -> None:
         self.exemplars, self.labels = exemplars, labels
 
-    def label(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None) -> list[bool | None]:
+    def label(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None, normal: str | None = None) -> list[bool | None]:
         """For each line whether it belongs to the article; None for blank ones. ``standing`` holds the numbers, from 1, of the lines the site repeats."""
-        return [None if w is None else good for good, w in self.reasons(lines, title, standing, residue)]
+        return [None if w is None else good for good, w in self.reasons(lines, title, standing, residue, normal)]
 
-    def reasons(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None) -> list[tuple[bool | None, str | None]]:
-        """(article, what decided it) of each line."""
+    def reasons(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None, normal: str | None = None) -> list[tuple[bool | None, str | None]]:
+        """(article, what decided it) of each line; ``residue`` and the ``normal`` text are computed if they are not given."""
         n = len(lines)
         residue = self.exemplars.of_lines(lines) if residue is None else residue
-        forms = [x.strip(" ") for x in K.normal("\n".join(lines)).split("\n")]
+        forms = [x.strip(" ") for x in (K.normal("\n".join(lines)) if normal is None else normal).split("\n")]
         headline = K.skeleton(K.normal(title or "").strip(" ")).strip(" .,:;*-+#|/>()[]!?•·\"'")
         kinds: list[str | None] = [None] * n
         why: list[str | None] = [None] * n
@@ -175,7 +211,7 @@ def judged(pages: DataFrame, *, id_col: str = "id", url_col: str = "normalized_u
     """The pages (page_id, site, title, text, hot: the lines their site repeats), and the classifier of the crawl."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), site_of(F.col(url_col)).alias("site"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
     crawl = Crawl(base)
-    classifier = Classifier(Exemplars.fit(base.select("text")), crawl.labels)
+    classifier = Classifier(crawl.exemplars, crawl.labels)
     return with_arrays(base, crawl.hot, crawl.totals, "line"), classifier
 
 
@@ -191,8 +227,9 @@ def line_labels(pages: DataFrame, **columns: str) -> DataFrame:
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         at, no, article = [], [], []
         title, text = (block.column(c).to_pylist() for c in ("title", "text"))
-        for k, own in enumerate(standing_numbers(text, block.column("hot"))):
-            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], own)):
+        lines = Lines(text)
+        for k, own in enumerate(standing_numbers(text, block.column("hot"), lines)):
+            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], own, normal=lines.normal[k])):
                 if good is not None:
                     at.append(k)
                     no.append(i + 1)
@@ -218,13 +255,14 @@ def articles(pages: DataFrame, **columns: str) -> DataFrame:
         title, text = (block.column(c).to_pylist() for c in ("title", "text"))
         kept: list[str | None] = []
         removed: list[int] = []
-        for k, own in enumerate(standing_numbers(text, block.column("hot"))):
+        normal = Lines(text)
+        for k, own in enumerate(standing_numbers(text, block.column("hot"), normal)):
             if text[k] is None:
                 kept.append(None)
                 removed.append(0)
                 continue
             lines = text[k].split("\n")
-            labels = classifier.label(lines, title[k], own)
+            labels = classifier.label(lines, title[k], own, normal=normal.normal[k])
             kept.append("\n".join(x for x, good in zip(lines, labels, strict=True) if good is not False))
             removed.append(sum(good is False for good in labels))
         return pa.RecordBatch.from_arrays([block.column("page_id"), pa.array(kept, pa.string()), pa.array(removed, pa.int32())], ["page_id", "text", "removed_lines"])

@@ -17,6 +17,8 @@ import re
 import numpy as np
 import xxhash
 
+from lodestrata.llm.repeated_lines import normal_text
+
 # Common words, for the stop-word density of running text.
 STOP = frozenset("the of and to in a is that it for was on are as with his they at be this have from or had by but not what all were when we there can an your which their if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may long little very after words called just where most know and our you i he because often every also during without "
     "der die das und in zu den mit von für auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ihre des "
@@ -33,10 +35,10 @@ LABEL_SHARE = 1e-5
 RATE = {"part": 0.2, "lead": 0.5, "opening": 0.1, "shape": 0.1}
 
 _LETTERS = re.compile("[A-Za-z][^A-Za-z]*[A-Za-z]")
-_DIGITS, _BLANKS = re.compile("[0-9]+"), re.compile("[ \t\r]+")
-_PARTS = re.compile(r"\s*[|>/:]+\s*|\s+-+\s+|(?<=[.!?]) ")
-_MARKS = str.maketrans(dict.fromkeys("•·›»→", "|") | dict.fromkeys("–—", "-") | {"：": ":"})
+_PARTS = re.compile(r"[|>/:]+|(?<= )-+(?= )|(?<=[.!?]) ")
+_BARS, _DASHES = re.compile("[•·›»→]"), re.compile("[–—]")
 _EDGE = " .,:;*-+#|/>()[]!?•·\"'"
+_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile("[぀-ヿ]")
 END = (".", "!", "?", "。", "！", "？", "…", '."', ".”", ".)", '!"', '?"', "!”", "?”", "！」", "。」")
@@ -48,20 +50,28 @@ _CRUMB = re.compile(r"[|>/]")
 
 def normal(text: str) -> str:
     """Lower case, one sign for each run of digits, one blank for each run of blanks; line feeds stay."""
-    return _BLANKS.sub(" ", _DIGITS.sub("0", text.lower()))
+    return normal_text(text)
 
 
 def skeleton(form: str) -> str:
     """The ASCII characters of a form, or the form itself if these hold hardly a letter; separators of any script become ``|``, dashes ``-``."""
     if form.isascii():
         return form
-    form = form.translate(_MARKS)
+    form = _DASHES.sub("-", _BARS.sub("|", form)).replace("：", ":")
     s = " ".join(form.encode("ascii", "ignore").decode().split())
     return s if _LETTERS.search(s) else form
 
 
+def is_divided(s: str) -> bool:
+    """Whether a skeleton may have several parts; a quick look that spares most lines the search."""
+    return "|" in s or ": " in s or " -" in s or ". " in s or "/" in s or ">" in s or "! " in s or "? " in s or ":" in s
+
+
 def parts(s: str) -> list[str]:
     """The parts of a skeleton between separators and sentence ends."""
+    if not is_divided(s):
+        whole = s.strip(_EDGE)
+        return [whole] if whole else []
     return [x for x in (y.strip(_EDGE) for y in _PARTS.split(s)) if x]
 
 
@@ -79,7 +89,7 @@ _COMMAS = str.maketrans(",#", "  ")
 
 
 def key(sort: str, value: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{sort} {value}") - (1 << 63)
+    return xxhash.xxh3_64_intdigest(sort + value) - (1 << 63)
 
 
 def opening_of(s: str, form: str) -> list[int]:
@@ -103,12 +113,17 @@ def lead_of(s: str, form: str) -> list[int]:
 
 
 def features(form: str) -> tuple[list[int], list[int], list[int]]:
-    """Keys of the parts, of opening and shape, and of the leading words of a line; nothing of lines beyond ``PART_CHARS``."""
+    """Keys of the parts, of opening and shape, and of the leading words of a line; nothing of lines beyond ``PART_CHARS``, or of one part beyond ``SHORT_CHARS``."""
     if not form or len(form) > PART_CHARS:
         return [], [], []
     s = skeleton(form)
+    if len(form) > SHORT_CHARS and not is_divided(s):
+        return [], [], []
     whole = s.strip(_EDGE)
-    own = {key("part", x) for x in (whole, *parts(s)) if len(x) > 1 or x > "　"}
+    split = parts(s)
+    own = {key("part", x) for x in ((whole, *split) if len(split) > 1 else split) if len(x) > 1 or x > "　"}
+    if is_structure(form):
+        return sorted(own), [], []
     return sorted(own), [*opening_of(s, form), *shape_of(s, form)], lead_of(s, form)
 
 
@@ -128,16 +143,25 @@ class Labels:
         return {"keys": self.keys, "_set": None, "_seen": {}}
 
     def __contains__(self, k: int) -> bool:
+        return k in self.known
+
+    @property
+    def known(self) -> frozenset[int]:
         if self._set is None:
             self._set = frozenset(self.keys.tolist())
-        return k in self._set
+        return self._set
 
     def density(self, s: str, split: list[str]) -> float:
         """The share of a line's characters that labels and lone numbers make up."""
-        if key("part", s.strip(_EDGE)) in self:
+        if len(split) == 1:
+            return float(self.holds(split[0]))
+        if self.holds(s.strip(_EDGE)):
             return 1.0
         total = sum(map(len, split))
-        return sum(len(x) for x in split if x == "0" or key("part", x) in self) / total if total else 0.0
+        return sum([len(x) for x in split if x == "0" or self.holds(x)]) / total if total else 0.0
+
+    def holds(self, part: str) -> bool:
+        return len(part) <= PART_CHARS and key("part", part) in self
 
     def first_pass(self, form: str) -> tuple[str, str, str]:
         """(class, reason, skeleton) of a line by itself, without its page's title and its site's repeated lines."""
@@ -156,19 +180,20 @@ class Labels:
         structure = is_structure(form)
         if len(split) > 1 and not structure:
             crumbs = len(split) > 2 and len(_CRUMB.findall(s)) > 1
-            if (crumbs or len(form) <= 120 and ": " in s) and key("part", split[0]) in self:
+            if (crumbs or len(form) <= 120 and ": " in s) and self.holds(split[0]):
                 return BAD, "led by a label"
             if ": " in s and any(k in self for k in lead_of(s, form)) and STOP.isdisjoint(w.strip(_EDGE) for w in s.split(": ", 1)[1].split()):
                 return BAD, "list after a label"
         if not structure and (any(k in self for k in opening_of(s, form)) or any(k in self for k in shape_of(s, form))):
             return BAD, "opening or shape"
-        words = form.split(" ")
-        density = sum(w.strip(".,;:!?\"'()“”«»") in STOP for w in words) / len(words)
-        kana = len(_KANA.findall(form)) / max(1, len(form))
-        density = max(density, 0.3 if kana > 0.25 else 0.1 if kana > 0.1 else 0.0)
-        end = form.endswith(END)
         if structure:
             return GOOD, "structure"
+        words = form.translate(_APART).split() if form.isascii() else _WORD.findall(form)
+        density = sum(map(STOP.__contains__, words)) / max(1, len(words))
+        if not form.isascii():
+            kana = len(_KANA.findall(form)) / max(1, len(form))
+            density = max(density, 0.3 if kana > 0.25 else 0.1 if kana > 0.1 else 0.0)
+        end = form.endswith(END)
         if end and _ATTRIBUTED.match(form):
             return NEAR, "inherited"
         if end and (density >= 0.1 or len(form) > 80) or len(form) >= 75 and density >= 0.15:
@@ -178,8 +203,10 @@ class Labels:
 
 def title_part(s: str, title: str) -> str | None:
     """``whole`` if a line is the page's title, ``trail`` if it ends with it after other parts, else None; both as skeletons without marks at their ends."""
+    if len(title) < 5 or title[:5] not in s:
+        return None
     line = s.strip(_EDGE)
-    if len(line) < 5 or len(title) < 5:
+    if len(line) < 5:
         return None
     if title.startswith(line):
         return "whole"

@@ -30,7 +30,7 @@ MOST_BROADCAST = 1_000_000
 #: Rows of a site that are joined with its array in one slice, where arrays are not broadcast.
 SLICE_ROWS = 50_000
 
-_DIGITS, _BLANKS = re.compile("[0-9]+"), re.compile("[ \t\r]+")
+_DIGITS, _BLANKS = re.compile("[0-9]+"), re.compile("[ \t\r]{2,}|[\t\r]")
 
 
 def site_of(url: Column) -> Column:
@@ -39,11 +39,17 @@ def site_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def normal_text(text: str) -> str:
+    """Lower case, one sign for each run of digits, one blank for each run of blanks."""
+    low = _DIGITS.sub("0", text.lower())
+    return _BLANKS.sub(" ", low) if "  " in low or "\r" in low or "\t" in low else low
+
+
 class Lines:
-    """The lines of a block of texts: ``row``, ``no`` (from 1), ``hash`` of the normal form, and their chunks."""
+    """The lines of a block of texts: ``row``, ``no`` (from 1), ``hash`` of the normal form, and their chunks; ``normal`` texts, blanks at the ends of lines not yet cut."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        normal = [_BLANKS.sub(" ", _DIGITS.sub("0", t.lower())) if t else "" for t in texts]
+        normal = self.normal = [normal_text(t) if t else "" for t in texts]
         counts = np.fromiter((t.count("\n") + 1 for t in normal), np.int64, len(normal))
         points = to_array("\n".join(normal) + "\n")
         # a space at either end of a line does not count
@@ -131,9 +137,9 @@ def _candidates(block: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([block.column("site").take(pa.array(rows[new])), pa.array(hashes[new])], ["site", "line"])
 
 
-def standing_numbers(texts: list[str | None], hot: pa.ListArray) -> list[set[int]]:
+def standing_numbers(texts: list[str | None], hot: pa.ListArray, lines: Lines | None = None) -> list[set[int]]:
     """For each text of a block the numbers of its lines that are in the row's array."""
-    lines = Lines(texts)
+    lines = lines or Lines(texts)
     out: list[set[int]] = [set() for _ in texts]
     held = _held(lines.row, lines.hash, hot)
     for row, no in zip(lines.row[held].tolist(), lines.no[held].tolist(), strict=True):

@@ -7,7 +7,7 @@ itself be contained for the larger part. A window of high coverage is residue; q
 it, is not. An unfilled placeholder is a token of its own class, whatever name stands in it, and comes from the same index.
 
 Weights of tokens come from the document frequencies over all pages, for the exemplars' own tokens alone: their
-number is bounded by the exemplars.
+number is bounded by the exemplars. They are counted in the pass that counts lines (``boilerplate.Crawl``).
 """
 
 from __future__ import annotations
@@ -235,12 +235,9 @@ _CLASSES = {
     "object": r"\[object Object\]",
 }
 _UNFILLED = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _CLASSES.items()), re.I)
-_MAYBE = re.compile(r"[{\[<%@_&]|TODO|TBD")
-#: Words of letters alone: identifiers and request numbers, which hold digits, are no words.
-_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
-_WIDE = re.compile(r"[぀-ヿ一-鿿]+")
-#: Neither ASCII nor Cyrillic, kana or ideographs.
-_ACCENTED = re.compile(r"[^\x00-\x7fЀ-ӿ぀-ヿ一-鿿]+")
+_MAYBE = re.compile(r"[{$#]\{|\{%|\[\[|\[[A-Za-z]|<[A-Za-z%]|&lt;|%%|@@|__|TODO|TBD")
+_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+_OTHER, _CYRILLIC, _WIDE = re.compile("[Ѐ-ӿ぀-ヿ一-鿿]"), re.compile("[Ѐ-ӿ]+"), re.compile("[぀-ヿ一-鿿]+")
 _QUOTES = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|「[^」\n]*」")
 _ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
@@ -259,28 +256,60 @@ class _Stems(dict):
 _STEMS = _Stems()
 
 
+def _raw(text: str) -> list[str]:
+    """Words in lower case, without accented letters or what a wrong encoding made of them; of Japanese, pairs of characters."""
+    low = text.lower()
+    if low.isascii():
+        return low.translate(_APART).split()
+    out = low.encode("ascii", "ignore").decode().translate(_APART).split()
+    if _OTHER.search(low):
+        out += _CYRILLIC.findall(low)
+        out += [w[i:i + 2] for w in _WIDE.findall(low) for i in range(max(1, len(w) - 1))]
+    return out
+
+
 def _words(text: str) -> list[str]:
-    """Words in lower case without their commonest endings, without accented letters or what a wrong encoding made of them; of Japanese, pairs of characters."""
-    if text.isascii():
-        return [_STEMS[w] for w in _TOKEN.findall(text.lower())]
-    found = _TOKEN.findall(_ACCENTED.sub("", text.lower()))
-    if not _WIDE.search(text):
-        return [_STEMS[w] for w in found]
-    out: list[str] = []
-    for w in found:
-        if _WIDE.search(w):
-            out += [w[i:i + 2] for i in range(max(1, len(w) - 1))]
-        else:
-            out.append(_STEMS[w])
+    """The words of a text without their commonest endings; identifiers and request numbers, which hold digits, are no words."""
+    return [_STEMS[w] for w in _raw(text) if w.isalpha()]
+
+
+def surfaces(stems: frozenset[str] | set[str]) -> dict[str, str]:
+    """The words that have one of these stems, with it: a text's words are looked up in it as they stand."""
+    return {w: t for t in stems for e in ("", "s", "es", "e", "ed", "ing") if _STEMS[w := t + e] == t}
+
+
+def may_be_unfilled(text: str) -> bool:
+    """Whether an unfilled expression may begin somewhere in a text; most texts are told by the first look."""
+    return ("{" in text or "[" in text or "<" in text or "__" in text or "%%" in text or "@@" in text or "&lt;" in text or "TODO" in text or "TBD" in text) and _MAYBE.search(text) is not None
+
+
+def unfilled_expressions(text: str) -> list[re.Match[str]]:
+    """The unfilled expressions of a text, tried only where one may begin."""
+    out: list[re.Match[str]] = []
+    end = 0
+    if not may_be_unfilled(text):
+        return out
+    for at in _MAYBE.finditer(text):
+        if at.start() >= end and (m := _UNFILLED.match(text, at.start())):
+            out.append(m)
+            end = m.end()
+    return out
+
+
+def token_set(text: str, known: dict[str, str]) -> set[str]:
+    """The distinct tokens of a text that are among ``known``, as ``surfaces`` gives them, and its unfilled expressions."""
+    out = {known[w] for w in known.keys() & set(_raw(text))}
+    out.update([f"<{m.lastgroup}>" for m in unfilled_expressions(text)])
     return out
 
 
 def tokens(text: str) -> list[str]:
     """Words as ``_words`` has them, and a token ``<class>`` for each unfilled expression."""
-    if not _MAYBE.search(text):
+    found = unfilled_expressions(text)
+    if not found:
         return _words(text)
-    unfilled = [f"<{m.lastgroup}>" for m in _UNFILLED.finditer(text)]
-    return unfilled + _words(_UNFILLED.sub(" ", text)) if unfilled else _words(text)
+    edges = [0, *(x for m in found for x in m.span()), len(text)]
+    return [f"<{m.lastgroup}>" for m in found] + _words(" ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
 
 
 class Exemplars:
@@ -304,6 +333,19 @@ class Exemplars:
         self.other = other
         self.totals = [sum(self.weight(t) for t in own) for own in self.sets]
         self._units: dict[str, tuple[tuple[list[str], int, str | None], ...]] = {}
+        #: By which exemplars are retrieved: the heaviest tokens of each, without one of which too little of it would be held.
+        self.anchors = surfaces({t for k in range(len(self.sets)) for t in self._rarer(k)})
+
+    def _rarer(self, k: int) -> list[str]:
+        if self.bags[k]:  # any heavy word of the bag
+            return [t for t in self.sets[k] if self.weight(t) >= self.other / 2]
+        out, rest = [], self.totals[k]
+        for t in sorted(self.sets[k], key=self.weight, reverse=True):
+            if rest < HELD * self.totals[k]:
+                break
+            out.append(t)
+            rest -= self.weight(t)
+        return out
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_units": {}}
@@ -311,23 +353,6 @@ class Exemplars:
     def weight(self, token: str) -> float:
         return self.weights.get(token, self.other)
 
-    @classmethod
-    def fit(cls, texts: DataFrame, labelled: dict[str, str] = EXEMPLARS) -> Exemplars:
-        """With weights from the document frequencies over all rows of the column ``text``."""
-        vocabulary = {t for lines in labelled.values() for t in tokens(lines)}
-
-        def count(block: pa.RecordBatch) -> pa.RecordBatch:
-            seen: Counter[str] = Counter()
-            for text in block.column("text").to_pylist():
-                seen.update(vocabulary.intersection(tokens(text)))
-                seen[""] += 1
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-
-        counted = map_text(texts.select("text").where(F.length("text") > 0), count, "token string, n long", "text").groupBy("token").agg(F.sum("n").alias("n"))
-        rows = {r[0]: r[1] for r in counted.collect()}  # at most the exemplars' vocabulary
-        n = rows.get("", 0)
-        return cls.weighted(labelled, rows, n)
-
     @classmethod
     def weighted(cls, labelled: dict[str, str], rows: dict[str, int], n: int) -> Exemplars:
         """Weights from how many of ``n`` texts hold each token; a token no exemplar has weighs like the median of those the texts hold at all."""
@@ -364,9 +389,7 @@ class Exemplars:
 
     def unfilled(self, text: str) -> list[re.Match[str]]:
         """The windows of one token that an exemplar of a placeholder contains, but for those in quotation marks."""
-        if not _MAYBE.search(text):
-            return []
-        found = [m for m in _UNFILLED.finditer(text) if self.match([f"<{m.lastgroup}>"]) == PLACEHOLDER]
+        found = [m for m in unfilled_expressions(text) if self.match([f"<{m.lastgroup}>"]) == PLACEHOLDER]
         if not found:
             return []
         quoted = [m.span() for m in _QUOTES.finditer(text)]
@@ -415,8 +438,16 @@ class Exemplars:
                     out[i] = k
             run.clear()
 
+        text = "\n".join(lines)
+        maybe = may_be_unfilled(text)
+        if not maybe and self.anchors.keys().isdisjoint(_raw(text)):
+            return out
+        held = [bool(line) and (not self.anchors.keys().isdisjoint(_raw(line)) or maybe and may_be_unfilled(line)) for line in lines]
+        if not any(held):
+            return out
+        near = {j for i, x in enumerate(held) if x for j in range(i - WINDOW + 1, i + WINDOW)}
         for i, line in enumerate(lines):
-            units = self._sentences(line)
+            units = self._sentences(line) if i in near else ()
             if not units:
                 close()
             for own, size, k in units:
@@ -482,7 +513,7 @@ def residue_fields(pages: DataFrame, **columns: str) -> DataFrame:
                 found.append(r)
             if not text:
                 continue
-            if _MAYBE.search(text) and any(exemplars.unfilled(x) for x in _paragraphs(text)):
+            if may_be_unfilled(text) and any(exemplars.unfilled(x) for x in _paragraphs(text)):
                 at.append(k)
                 fields.append("text_content")
                 found.append(PLACEHOLDER)

@@ -172,6 +172,47 @@ def test_leaks_against_brute_force(spark):
     assert got == brute_leaks(docs, items) and len(got) > 20
 
 
+def test_leaks_of_items_with_a_stock_opening(spark, monkeypatch):
+    """Stock openings shorter and longer than a passage, in many items and in very long texts."""
+    rng = random.Random(9)
+    sentence = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho", "the", "over", "kappa"]) for _ in range(n))
+    short, long = "Read the text and answer the question in full", "Read the following passage with great care and then answer each of the questions"
+    items = [(i, f"{short if i % 3 else long}. {sentence(14)}") for i in range(400)]
+    docs = [(d, f"{sentence(4)} {rng.choice([short, long, ''])}. {sentence(6)} {' '.join(items[rng.randrange(400)][1].split()[-rng.randrange(9, 16):])} end") for d in range(60)]
+    docs += [(100, f"{short}. " * 3_000), (101, f"x{long}y"), (102, f"{long} " * 300)]
+    index = leakage.ItemIndex(items, leakage.Q, leakage.EDITS, leakage.RUN_WORDS)
+    got = {(docs[t][0], i) for t, i, *_ in index.search([t for _, t in docs])}
+    assert got == brute_leaks(docs, items) and index.common.any() and index.stock
+
+
+def test_leaks_of_4000_items_of_one_opening():
+    opening = "Read the text and answer the question in full with the words of the text"
+    items = [(i, f"{opening[:46]} {i} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(4_000)]
+    index = leakage.ItemIndex(items, leakage.Q, leakage.EDITS, leakage.RUN_WORDS)
+    found = index.search([f"{opening[:46]}, " * 20_000 + items[77][1]])
+    assert {i for _, i, *_ in found} == {77}
+
+
+def test_pairs_of_levels():
+    rng = np.random.default_rng(3)
+    level = rng.integers(1, 6, 20_000)
+    a, b = reading_level.LevelModel.pairs(level, 60)
+    assert (level[a] > level[b]).all() and len(a) <= 60 * 20_000 and len(np.union1d(a, b)) == 20_000
+    few = np.array([1, 1, 2, 3])
+    a, b = reading_level.LevelModel.pairs(few, 60)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
+
+
+def test_slots_by_join_are_those_by_broadcast(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "x" * (7 if i % 3 == 0 else rng.randrange(60))) for i in range(900)], "doc_id long, text string")
+    kinds = spark.createDataFrame([("s", 64), ("l", 256)], "container_kind string, capacity_tokens int")
+    a, b = (sorted(map(tuple, packing.pack(docs, kinds, most_broadcast=n).collect())) for n in (10_000, 0))
+    assert a == b and len(a) == 1800
+    with pytest.raises(ValueError, match="two capacities"):
+        packing.pack(docs, kinds.union(spark.createDataFrame([("s", 65)], kinds.schema)))
+
+
 def test_leaks_of_nothing(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, item_text string")
     assert leakage.leaked_items(docs, items).collect() == []

@@ -30,6 +30,7 @@ def test_wrapped_lines_go_on():
 
 def test_pairs_of_japanese_are_counted(spark):
     texts = ["本文を入力してください。", "入力した本文", "Page not found", None]
-    fitted = residue.Exemplars.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    base = spark.createDataFrame([(None if i else "a.example", t) for i, t in enumerate(texts)], "site string, text string")
+    fitted = boilerplate.Crawl(base).exemplars
     weight = lambda n: log((3 + 1) / (n + 0.5)) + 0.1
     assert [fitted.weights[t] for t in ("入力", "して", "found", "アク")] == pytest.approx([weight(2), weight(1), weight(1), weight(0)])
