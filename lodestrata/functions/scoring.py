@@ -21,6 +21,10 @@ def seed_score(similarity: Column, rank: Column, weight: float = 0.85) -> Column
     return weight * (similarity + 1) / 2 + (1 - weight) / F.log2(rank + 1)
 
 
+def priority(relevance: Column, depth: Column, penalty: float = 0.05) -> Column:
+    return relevance - penalty * depth
+
+
 def bm25(tf: Column, df: Column, n: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))

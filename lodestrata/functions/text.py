@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns of the evidence rules.
+# The patterns and words of the evidence rules.
 NUMBER = r"(?<![\p{L}\p{N}_])[+-]?\d+(?:[.,]\d+)?%?(?![\p{L}\p{N}_])"
 NEGATION = r"\b(no|not|never|without|fails?|decreases?|increases?|less|more)\b"
 INSTRUCTION = r"(?i)\b(?:ignore (?:all )?(?:previous|prior) instructions|mark confidence|system prompt|create the claim|reveal (?:secrets?|environment)|execute (?:this|commands?))\b"
 YEAR = r"\b((?:19|20)\d{2})\b"
 DATASET = r"(\bdataset\s+[\p{L}\p{N}_.-]+)"
 VERSION = r"(\bversion\s+[\p{L}\p{N}_.-]+)"
+CONDITION = r"(\b(?:if|when|under|provided that)\b[^.,;]*)"
+OPPOSITES = (("higher", "lower"), ("faster", "slower"), ("improve", "worsen"))
+MARKED_YEARS = ("2020", "2021", "2022", "2023", "2024", "2025", "2026")
 #: White space of all scripts, as Unicode and the reference have it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
@@ -52,6 +55,16 @@ def normalize_claim(text: Column) -> Column:
     return casefold(F.rtrim(squeeze_all(text), F.lit(". ")))
 
 
+def query_key(text: Column) -> Column:
+    """Queries that differ in case and white space alone have one key."""
+    return casefold(squeeze_all(text))
+
+
+def short_id(*parts: Column) -> Column:
+    """36 characters that depend on the parts alone."""
+    return F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 36)
+
+
 def stable_key(*parts: Column) -> Column:
     """SHA-256 of the parts with a zero character between."""
     return F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.functions.urls import hostname
-from lodestrata.operators.ranking import positions
+from lodestrata.functions.urls import hostname, is_private_host
+from lodestrata.operators.dedup import attach
+from lodestrata.operators.ranking import positions, top
 
 
 def schedule_links(links: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -17,9 +18,9 @@ def schedule_links(links: DataFrame, jobs: DataFrame) -> DataFrame:
     from a sort of all links to one target.
     """
     key = ["crawl_job_id", "normalized_target_url"]
-    first = links.where("normalized_target_url IS NOT NULL").groupBy(*key).agg(F.min("id").alias("first_id"))
+    first = links.where("normalized_target_url IS NOT NULL").groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("_n"))
     limits = jobs.select(F.col("id").alias("crawl_job_id"), "max_depth", "min_relevance_score")
-    joined = links.join(first, key, "left").join(limits, "crawl_job_id")
+    joined = attach(links.select("id", *key, "target_depth", "is_internal", "relevance_score"), first, key, "_n").join(limits, "crawl_job_id")
     outcome = (
         F.when(F.col("normalized_target_url").isNull(), "INVALID_URL")
         .when(F.col("id") > F.col("first_id"), "DUPLICATE_URL")
@@ -31,6 +32,63 @@ def schedule_links(links: DataFrame, jobs: DataFrame) -> DataFrame:
     return joined.select("id", outcome.alias("outcome"))
 
 
+def scopes(jobs: DataFrame) -> DataFrame:
+    """(crawl_job_id, root, allowed): the host a job starts at and the hosts it is allowed, none meaning all."""
+    return jobs.select(F.col("id").alias("crawl_job_id"), hostname(F.col("start_url")).alias("root"), F.from_json("allowed_domains", "array<string>").alias("allowed"))
+
+
+def in_scope(host: Column, root: Column, allowed: Column) -> Column:
+    return (host == root) & ((F.size(allowed) == 0) | F.array_contains(allowed, host))
+
+
+def schedule_outcomes(links: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(id, outcome): the first rule of the job's whole chain that turns a link away, or SCHEDULED.
+
+    A target is a duplicate unless this is the first link of the job that names it, and if the job starts there. The
+    relevance threshold holds for jobs in intelligent mode.
+    """
+    key = ["crawl_job_id", "normalized_target_url"]
+    first = links.where("normalized_target_url IS NOT NULL").groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("_n"))
+    limits = scopes(jobs).join(jobs.select(F.col("id").alias("crawl_job_id"), "start_url", "max_depth", "min_relevance_score", "crawl_mode"), "crawl_job_id")
+    l = attach(links.select("id", *key, "target_depth", "relevance_score"), first, key, "_n").withColumn("host", hostname(F.col("normalized_target_url"))).join(limits, "crawl_job_id")
+    outcome = (
+        F.when(F.col("normalized_target_url").isNull(), "INVALID_URL")
+        .when((F.col("id") > F.col("first_id")) | (F.col("normalized_target_url") == F.col("start_url")), "DUPLICATE_URL")
+        .when(F.col("target_depth") > F.col("max_depth"), "DEPTH_LIMIT")
+        .when(is_private_host(F.col("host")), "SSRF_BLOCKED")
+        .when(~F.col("host").eqNullSafe(F.col("root")), "EXTERNAL_DOMAIN_DISABLED")
+        .when((F.size("allowed") > 0) & ~F.array_contains("allowed", F.col("host")), "DOMAIN_NOT_ALLOWED")
+        .when((F.col("crawl_mode") == "intelligent") & (F.col("relevance_score") < F.col("min_relevance_score")), "LOW_RELEVANCE")
+        .otherwise("SCHEDULED")
+    )
+    return l.select("id", outcome.alias("outcome"))
+
+
+def unite_results(results: DataFrame, group: list[str], list_col: str) -> DataFrame:
+    """(group, url, best_rank, title, first_id, lists): ranked lists of results (id, url, anchor_text) united by URL.
+
+    Ranks are positions in a list by id; a list is one page's links. The first occurrence supplies the title.
+    """
+    w = Window.partitionBy(*group, list_col).orderBy("id")
+    ranked = results.withColumn("rank", F.row_number().over(w))
+    return ranked.groupBy(*group, "url").agg(F.min("rank").alias("best_rank"), F.min_by(F.coalesce("anchor_text", F.lit("")), "id").alias("title"), F.min("id").alias("first_id"), F.count_distinct(list_col).alias("lists"))
+
+
+def seed_outcomes(candidates: DataFrame, group: str, cap: int, limit: int) -> DataFrame:
+    """``outcome`` of candidates (group, url, host, score): SELECTED, DOMAIN_CAP for more than ``cap`` of a host, SEED_LIMIT for what comes after ``limit`` are taken.
+
+    Both are bounded top-k choices; the others are told apart by the last candidate taken, so no task orders a whole group.
+    """
+    host = F.coalesce("host", F.lit(""))
+    order = [F.col("score").desc(), "url"]
+    fits = top(candidates.withColumn("_h", host), [group, "_h"], order, cap, "_w").drop("_w", "_h")
+    taken = top(fits, [group], order, limit, "position").select(group, "url", "score", "position")
+    last = taken.where(F.col("position") == limit).select(group, F.col("score").alias("_s"), F.col("url").alias("_u"))
+    j = candidates.join(taken.select(group, "url", "position"), [group, "url"], "left").join(last, group, "left")
+    after = F.coalesce((F.col("score") < F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("url") > F.col("_u"))), F.lit(False))
+    return j.withColumn("outcome", F.when(F.col("position").isNotNull(), "SELECTED").when(after, "SEED_LIMIT").otherwise("DOMAIN_CAP")).drop("position", "_s", "_u")
+
+
 def _frontier(links: DataFrame) -> DataFrame:
     """A target without any score waits with 0."""
     known = links.where("normalized_target_url IS NOT NULL")
@@ -38,7 +96,7 @@ def _frontier(links: DataFrame) -> DataFrame:
 
 
 def frontier_ranks(links: DataFrame) -> DataFrame:
-    """(crawl_job_id, url, best_first, worst_first, discovered, frontier): the orders in which a frontier may be left.
+    """(crawl_job_id, url, score, best_first, worst_first, discovered, frontier): the orders in which a frontier may be left.
 
     Ranked in slices of the score or of discovery, so that no task has to sort the whole frontier of one job.
     """
@@ -46,14 +104,17 @@ def frontier_ranks(links: DataFrame) -> DataFrame:
     best = positions(slices, ["crawl_job_id"], F.col("slice"), [F.col("score").desc(), "depth", "discovery", "url"], "best_first", descending=True)
     both = positions(best, ["crawl_job_id"], F.col("slice"), ["score", "depth", "discovery", "url"], "worst_first", total="frontier")
     found = positions(both, ["crawl_job_id"], F.floor(F.col("discovery") / 4096), ["discovery"], "discovered")
-    return found.select("crawl_job_id", "url", "best_first", "worst_first", "discovered", "frontier")
+    return found.select("crawl_job_id", "url", "score", "best_first", "worst_first", "discovered", "frontier")
 
 
 def frontier_order(links: DataFrame, exploration_rate: float, jobs: DataFrame | None = None) -> DataFrame:
     """(crawl_job_id, position, url, explore): the order in which a fixed frontier is left.
 
     Every k-th step, k = 1 / rate rounded half to even, explores: it takes the least relevant URL left, as long as more
-    than one is. In closed form the step p takes the rank p / k from below or p - (p - 1) / k from above.
+    than one is. In closed form the w-th exploring step is at w k, the r-th other one at r + (r - 1) / (k - 1). URLs of
+    one score leave in one order, by depth and discovery, whichever kind of step takes them: a score with A better and
+    B worse URLs is left by the other steps if all of it comes before them, by the exploring ones if those use it up,
+    and where both meet, its j-th URL leaves at j + A + B as soon as both have begun.
     With ``jobs``, those whose mode is not *intelligent* leave theirs by discovery and never explore.
     """
     k = max(1, round(1 / exploration_rate)) if exploration_rate > 0 else 1 << 30
@@ -61,13 +122,16 @@ def frontier_order(links: DataFrame, exploration_rate: float, jobs: DataFrame |
     if jobs is not None:
         modes = jobs.select(F.col("id").alias("crawl_job_id"), (F.col("crawl_mode") == "intelligent").alias("mode"))
         ranks = ranks.join(modes, "crawl_job_id", "left").withColumn("scored", F.coalesce("mode", F.lit(False)))
-    sizes = ranks.groupBy("crawl_job_id").agg(F.max("frontier").alias("frontier"), F.first("scored").alias("scored"))
-    steps = sizes.select("crawl_job_id", "frontier", "scored", F.explode(F.sequence(F.lit(1).cast("long"), F.col("frontier"))).alias("position"))
-    explore = F.col("scored") & (F.col("position") % k == 0) & (F.col("position") < F.col("frontier"))
-    rank = F.when(explore, F.floor(F.col("position") / k)).when(F.col("scored"), F.col("position") - F.floor((F.col("position") - 1) / k)).otherwise(F.col("position"))
-    steps = steps.select("crawl_job_id", "position", explore.alias("explore"), rank.cast("long").alias("rank"))
-    both = ranks.select("crawl_job_id", "url", F.explode(F.array(F.struct(F.lit(False).alias("explore"), F.when(F.col("scored"), F.col("best_first")).otherwise(F.col("discovered")).cast("long").alias("rank")), F.struct(F.lit(True).alias("explore"), F.col("worst_first").cast("long").alias("rank")))).alias("r")).select("crawl_job_id", "url", "r.explore", "r.rank")
-    return steps.join(both, ["crawl_job_id", "explore", "rank"]).select("crawl_job_id", "position", "url", "explore")
+    per = ranks.groupBy("crawl_job_id", "score").agg((F.min("best_first") - 1).alias("better"), (F.min("worst_first") - 1).alias("worse"), F.count("*").alias("_n"))
+    ranks = attach(ranks, per.withColumn("size", F.col("_n")), ["crawl_job_id", "score"], "_n")
+    n, a, b = (F.col(c).cast("long") for c in ("frontier", "better", "worse"))
+    j = F.col("best_first").cast("long") - a
+    explores = F.floor((n - 1) / k).cast("long")
+    steady = lambda r: F.least(r + F.floor((r - 1) / (k - 1)), n) if k > 1 else n
+    meeting = F.when(steady(a + 1) < k * (b + 1), F.when(steady(a + j) < k * (b + 1), steady(a + j)).otherwise(j + a + b)).otherwise(F.when(k * (b + j) < steady(a + 1), k * (b + j)).otherwise(j + a + b))
+    best_first = F.when(a + F.col("size") <= n - explores, steady(a + j)).when(b + F.col("size") <= explores, k * (b + j)).otherwise(meeting)
+    position = F.when(F.col("scored"), best_first).otherwise(F.col("discovered")).cast("long")
+    return ranks.select("crawl_job_id", position.alias("position"), "url", (F.col("scored") & (position % k == 0) & (position < n)).alias("explore"))
 
 
 def compare_modes(pages: DataFrame, jobs: DataFrame) -> DataFrame:

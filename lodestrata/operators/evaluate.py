@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.scoring import dcg, ratio
+from lodestrata.operators.ranking import positions
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -39,9 +40,62 @@ def label_metrics(matrix: DataFrame) -> DataFrame:
     return d.select("label", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"), "support")
 
 
-def distribution(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def medians(df: DataFrame, group: list[str], value: str, width: float) -> DataFrame:
+    """(group, median) of the known values, exactly: the mean of the one or two rows in the middle.
+
+    Values are ranked in slices of ``width``, so no task holds a whole group.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.struct(*group).alias("_g"), *group, value)  # a struct: null groups stay
+    ranked = positions(known, ["_g"], F.floor(F.col(value) / width), [value], "_at", total="_of")
+    middle = ranked.where((F.col("_at") * 2 >= F.col("_of")) & (F.col("_at") * 2 <= F.col("_of") + 2))
+    return middle.groupBy(*group).agg(F.avg(value).alias("median"))
+
+
+def distribution(df: DataFrame, group: list[str], value: str, width: float = 1 / 64) -> DataFrame:
+    """Number, mean, exact median and range of the known values of each group; a group without any keeps its row."""
     v = F.col(value)
-    return df.groupBy(*group).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"))
+    plain = df.groupBy(*group).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    m = medians(df, group, value, width).select(*[F.col(g).alias(f"_{g}") for g in group], F.round("median", 6).alias("median"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    return plain.join(m, same, "left").select(*group, "n", "mean", "median", "least", "most")
+
+
+def macro(metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, mean of each column): every query counts alike."""
+    return metrics.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in columns])
+
+
+def retrieval_run(ranked: DataFrame, relevant: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall, mrr, relevant_sources, source_recall, retrieved, retrieved_sources) of the first ``k`` of ``ranked`` (query_id, id, rank).
+
+    ``relevant`` (query_id, id), ``sources`` (id, source). A source is relevant if it holds a relevant item. Reciprocal
+    ranks are those within ``k``.
+    """
+    first = ranked.where(F.col("rank") <= k).select("query_id", "id", "rank").join(relevant.select("query_id", "id", F.lit(True).alias("hit")), ["query_id", "id"], "left").join(sources, "id")
+    wanted = relevant.join(sources, "id")
+    good = wanted.select("query_id", "source", F.lit(True).alias("good")).distinct()
+    got = first.join(good, ["query_id", "source"], "left").groupBy("query_id").agg(
+        F.count("hit").alias("found"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("at"), F.count_distinct(F.when(F.col("good"), F.col("source"))).alias("relevant_sources"), F.count("*").alias("retrieved"), F.count_distinct("source").alias("retrieved_sources")
+    )
+    all_ = wanted.groupBy("query_id").agg(F.count("*").alias("items"), F.count_distinct("source").alias("all_sources"))
+    j = got.join(all_, "query_id", "left")
+    r = lambda a, b: F.round(F.coalesce(F.col(a) / F.col(b), F.lit(0.0)), 6)
+    return j.select("query_id", r("found", "items").alias("recall"), F.round(F.coalesce(1 / F.col("at"), F.lit(0.0)), 6).alias("mrr"), "relevant_sources", r("relevant_sources", "all_sources").alias("source_recall"), "retrieved", "retrieved_sources")
+
+
+def label_summary(matrix: DataFrame) -> DataFrame:
+    """(labels, macro_f1, accuracy) of a confusion matrix."""
+    f1 = label_metrics(matrix).agg(F.count("*").alias("labels"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+    a = matrix.agg(F.round(F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
+    return f1.crossJoin(a)  # one row each
+
+
+def set_accuracy(expected: DataFrame, actual: DataFrame, key: str, item: str) -> DataFrame:
+    """(sets, accuracy): for what share of the keys both sides hold exactly the same items; rows are distinct."""
+    both = expected.select(key, item, F.lit(1).alias("_e")).join(actual.select(key, item, F.lit(1).alias("_a")), [key, item], "full_outer")
+    per = both.groupBy(key).agg((F.count("_e") == F.count("*")) & (F.count("_a") == F.count("*")))
+    same = per.toDF(key, "same")
+    return same.agg(F.count("*").alias("sets"), F.round(F.avg(F.col("same").cast("int")), 6).alias("accuracy"))
 
 
 def novelty(events: DataFrame, key: str, item: str, step: str) -> DataFrame:

@@ -87,43 +87,36 @@ def link_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.schedule_links(table(spark, sf_dir, "discovered_links"), table(spark, sf_dir, "crawl_jobs"))
 
 
-@query("""
-WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, max(relevance_score) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL AND relevance_score IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS hi, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS lo, count(*) OVER (PARTITION BY crawl_job_id) AS n FROM q)
-SELECT crawl_job_id, url, hi AS best_first, lo AS worst_first, n AS frontier FROM r""")
+_RANKS = """
+WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, coalesce(max(relevance_score), 0) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS best_first, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS worst_first,
+  row_number() OVER (PARTITION BY crawl_job_id ORDER BY discovery) AS discovered, count(*) OVER (PARTITION BY crawl_job_id) AS frontier FROM q)"""
+_ORDER = _RANKS + """,
+g AS (SELECT *, {scored} AS scored, min(best_first) OVER w - 1 AS a, min(worst_first) OVER w - 1 AS b, count(*) OVER w AS size, (frontier - 1) // 5 AS e FROM r WINDOW w AS (PARTITION BY crawl_job_id, score)),
+h AS (SELECT *, best_first - a AS j, least(best_first + (best_first - 1) // 4, frontier) AS steady, least(a + 1 + a // 4, frontier) AS begin FROM g),
+p AS (SELECT crawl_job_id, url, frontier, scored, CASE WHEN NOT scored THEN discovered WHEN a + size <= frontier - e THEN steady WHEN b + size <= e THEN 5 * (b + j)
+  WHEN begin < 5 * (b + 1) AND steady < 5 * (b + 1) THEN steady WHEN begin >= 5 * (b + 1) AND 5 * (b + j) < begin THEN 5 * (b + j) ELSE j + a + b END AS position FROM h)
+SELECT crawl_job_id, CAST(position AS BIGINT) AS position, url, scored AND position % 5 = 0 AND position < frontier AS explore FROM p"""
+
+
+@query(f"{_RANKS} SELECT crawl_job_id, url, best_first, worst_first, frontier FROM r")
 def frontier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the scored links only, as the SQL has it; ``frontier_ranks_all`` takes every link."""
-    ranks = crawl.frontier_ranks(table(spark, sf_dir, "discovered_links").where("relevance_score IS NOT NULL"))
-    return ranks.select("crawl_job_id", "url", "best_first", "worst_first", "frontier")
+    """Best and worst first, over every link; a target without any score counts 0."""
+    return frontier_ranks_all(spark, sf_dir).drop("discovered")
 
 
-@query("""
-WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, coalesce(max(relevance_score), 0) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL)
-SELECT crawl_job_id, url, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS best_first, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS worst_first,
-  row_number() OVER (PARTITION BY crawl_job_id ORDER BY discovery) AS discovered, count(*) OVER (PARTITION BY crawl_job_id) AS frontier FROM q""")
+@query(f"{_RANKS} SELECT crawl_job_id, url, best_first, worst_first, discovered, frontier FROM r")
 def frontier_ranks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.frontier_ranks(table(spark, sf_dir, "discovered_links"))
+    return crawl.frontier_ranks(table(spark, sf_dir, "discovered_links")).drop("score")
 
 
-@query("""
-WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, max(relevance_score) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL AND relevance_score IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS hi, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS lo, count(*) OVER (PARTITION BY crawl_job_id) AS n FROM q),
-p AS (SELECT crawl_job_id, n, unnest(range(1, n + 1)) AS pos FROM (SELECT DISTINCT crawl_job_id, n FROM r)),
-w AS (SELECT *, pos % 5 = 0 AND pos < n AS explore, CASE WHEN pos % 5 = 0 AND pos < n THEN pos // 5 ELSE pos - (pos - 1) // 5 END AS rank FROM p)
-SELECT w.crawl_job_id, CAST(w.pos AS BIGINT) AS position, r.url, w.explore FROM w JOIN r ON r.crawl_job_id = w.crawl_job_id AND CASE WHEN w.explore THEN r.lo ELSE r.hi END = w.rank""")
+@query(_ORDER.format(scored="true"))
 def frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the scored links only and best first in every job, as the SQL has it; ``frontier_order_all`` takes every link."""
-    return crawl.frontier_order(table(spark, sf_dir, "discovered_links").where("relevance_score IS NOT NULL"), exploration_rate=0.2)
+    """Best first with exploration in every job, over every link."""
+    return crawl.frontier_order(table(spark, sf_dir, "discovered_links"), exploration_rate=0.2)
 
 
-@query("""
-WITH q AS (SELECT crawl_job_id, normalized_target_url AS url, min(target_depth) AS depth, coalesce(max(relevance_score), 0) AS score, min(id) AS discovery FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL),
-r AS (SELECT q.*, coalesce(j.crawl_mode = 'intelligent', false) AS scored, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, depth, discovery, url) AS hi, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score, depth, discovery, url) AS lo,
-  row_number() OVER (PARTITION BY crawl_job_id ORDER BY discovery) AS found, count(*) OVER (PARTITION BY crawl_job_id) AS n FROM q LEFT JOIN crawl_jobs j ON j.id = q.crawl_job_id),
-p AS (SELECT crawl_job_id, n, unnest(range(1, n + 1)) AS pos FROM (SELECT DISTINCT crawl_job_id, n FROM r WHERE scored)),
-w AS (SELECT *, pos % 5 = 0 AND pos < n AS explore, CASE WHEN pos % 5 = 0 AND pos < n THEN pos // 5 ELSE pos - (pos - 1) // 5 END AS rank FROM p)
-SELECT w.crawl_job_id, CAST(w.pos AS BIGINT) AS position, r.url, w.explore FROM w JOIN r ON r.crawl_job_id = w.crawl_job_id AND CASE WHEN w.explore THEN r.lo ELSE r.hi END = w.rank
-UNION ALL SELECT crawl_job_id, found, url, false FROM r WHERE NOT scored""")
+@query(_ORDER.format(scored="crawl_job_id IN (SELECT id FROM crawl_jobs WHERE crawl_mode = 'intelligent')"))
 def frontier_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link; jobs in fifo mode by discovery."""
     return crawl.frontier_order(table(spark, sf_dir, "discovered_links"), exploration_rate=0.2, jobs=table(spark, sf_dir, "crawl_jobs"))
@@ -149,12 +142,13 @@ def crawl_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT id, 'Target URL: ' || substr(target_url, 1, 500) || chr(10) || 'Anchor: ' || substr(coalesce(anchor_text, ''), 1, 200) || chr(10) || 'Context: ' || substr(coalesce(link_context, ''), 1, 320) AS candidate
-FROM discovered_links WHERE target_url IS NOT NULL""")
+SELECT l.id, 'Target URL: ' || substr(target_url, 1, 500) || chr(10) || 'Anchor: ' || substr(coalesce(anchor_text, ''), 1, 200) || chr(10) || 'Source page: ' || substr(coalesce(p.title, ''), 1, 200) || chr(10) || 'Context: ' || substr(coalesce(link_context, ''), 1, 320) AS candidate
+FROM discovered_links l LEFT JOIN crawled_pages p ON p.id = l.source_page_id WHERE target_url IS NOT NULL""")
 def link_candidate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n)
     links = table(spark, sf_dir, "discovered_links").where(F.col("target_url").isNotNull())
-    return links.select("id", F.concat(F.lit("Target URL: "), clip("target_url", 500), F.lit("\nAnchor: "), clip("anchor_text", 200), F.lit("\nContext: "), clip("link_context", 320)).alias("candidate"))
+    titled = links.join(table(spark, sf_dir, "crawled_pages").select(F.col("id").alias("source_page_id"), "title"), "source_page_id", "left")
+    return titled.select("id", F.concat(F.lit("Target URL: "), clip("target_url", 500), F.lit("\nAnchor: "), clip("anchor_text", 200), F.lit("\nSource page: "), clip("title", 200), F.lit("\nContext: "), clip("link_context", 320)).alias("candidate"))
 
 
 @query("""

@@ -109,21 +109,20 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.latest(e.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "ts", "value")
 
 
-@query("""
-WITH s AS (SELECT l.crawl_job_id, l.normalized_target_url AS url, max(l.relevance_score) AS similarity, min(l.id) AS first FROM discovered_links l WHERE normalized_target_url IS NOT NULL AND relevance_score IS NOT NULL GROUP BY ALL),
+_SEEDS = """
+WITH s AS (SELECT l.crawl_job_id, l.normalized_target_url AS url, coalesce(max(l.relevance_score), 0) AS similarity, min(l.id) AS first FROM discovered_links l WHERE normalized_target_url IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY first) AS rank FROM s), c AS (SELECT crawl_job_id, url, round(0.85 * (similarity + 1) / 2 + 0.15 / log2(rank + 1), 9) AS score, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM r),
 d AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id, host ORDER BY score DESC, url) AS rd FROM c QUALIFY rd <= 2)
-SELECT crawl_job_id, url, round(score, 6) AS score, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, url) AS position FROM d QUALIFY position <= 10""")
+SELECT crawl_job_id, url, round(score, 6) AS score, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, url) AS position FROM d QUALIFY position <= 10"""
+
+
+@query(_SEEDS)
 def seed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the scored links only, as the SQL has it; ``seed_selection_all`` takes every link."""
-    return _seeds(table(spark, sf_dir, "discovered_links").where("relevance_score IS NOT NULL"))
+    """Of every link; a target without any score counts 0."""
+    return _seeds(table(spark, sf_dir, "discovered_links"))
 
 
-@query("""
-WITH s AS (SELECT l.crawl_job_id, l.normalized_target_url AS url, coalesce(max(l.relevance_score), 0) AS similarity, min(l.id) AS first FROM discovered_links l WHERE normalized_target_url IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id ORDER BY first) AS rank FROM s), c AS (SELECT crawl_job_id, url, round(0.85 * (similarity + 1) / 2 + 0.15 / log2(rank + 1), 9) AS score, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM r),
-d AS (SELECT *, row_number() OVER (PARTITION BY crawl_job_id, host ORDER BY score DESC, url) AS rd FROM c QUALIFY rd <= 2)
-SELECT crawl_job_id, url, round(score, 6) AS score, row_number() OVER (PARTITION BY crawl_job_id ORDER BY score DESC, url) AS position FROM d QUALIFY position <= 10""")
+@query(_SEEDS)
 def seed_selection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seeds(table(spark, sf_dir, "discovered_links"))
 
@@ -141,11 +140,11 @@ def _seeds(links: DataFrame) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT p.crawl_job_id, p.id, row_number() OVER (PARTITION BY p.crawl_job_id ORDER BY actual_page_relevance DESC, id) AS by_page FROM crawled_pages p WHERE actual_page_relevance IS NOT NULL QUALIFY by_page <= 100),
-b AS (SELECT p.crawl_job_id, p.id, row_number() OVER (PARTITION BY p.crawl_job_id ORDER BY predicted_link_relevance DESC, id) AS by_link FROM crawled_pages p WHERE predicted_link_relevance IS NOT NULL QUALIFY by_link <= 100)
+WITH a AS (SELECT p.crawl_job_id, p.id, row_number() OVER (PARTITION BY p.crawl_job_id ORDER BY actual_page_relevance DESC, id) AS by_page FROM crawled_pages p WHERE actual_page_relevance IS NOT NULL),
+b AS (SELECT p.crawl_job_id, p.id, row_number() OVER (PARTITION BY p.crawl_job_id ORDER BY predicted_link_relevance DESC, id) AS by_link FROM crawled_pages p WHERE predicted_link_relevance IS NOT NULL)
 SELECT crawl_job_id, id, by_page, by_link, round(coalesce(1.0::DOUBLE / (60 + by_page), 0) + coalesce(1.0::DOUBLE / (60 + by_link), 0), 9) AS rrf FROM a FULL JOIN b USING (crawl_job_id, id)""")
 def relevance_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted and actual relevance of all pages of a job, fused by reciprocal rank; the SQL stops at 100 of each, which no job of the small tables has."""
+    """Predicted and actual relevance of all pages of a job, fused by reciprocal rank."""
     p = table(spark, sf_dir, "crawled_pages")
     from lodestrata.operators.ranking import positions
 

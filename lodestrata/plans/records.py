@@ -18,7 +18,8 @@ SELECT doc_id, class_id, copies FROM h JOIN c USING (h)""")
 def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document with the first of its exact copies and their number."""
     h = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("h"))
-    return h.join(h.groupBy("h").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "h").select("doc_id", "class_id", "copies")
+    classes = h.groupBy("h").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).withColumn("_n", F.col("copies"))
+    return dedup.attach(h, classes, ["h"], "_n").select("doc_id", "class_id", "copies")
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine (tests), a folder of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -16,6 +16,8 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(own)
     return own

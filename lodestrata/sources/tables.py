@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Partitions that a small table is spread over at most.
+MOST_SPREAD = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir``; columns are pruned by whatever the caller selects."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -15,9 +19,10 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that costs far more than the rows' transfer.
+    """A table of a few small files over more partitions, for work that costs far more than the rows' transfer.
 
-    A table of one small file is read by one task; larger tables have more partitions than cores and stay as they are.
+    Only tables of fewer than ``MOST_SPREAD`` partitions are moved, which hold ``spark.sql.files.maxPartitionBytes``
+    (128 MB) each at most, 2 GB in all; larger ones stay as they are stored, on however many cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = min(MOST_SPREAD, df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

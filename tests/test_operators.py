@@ -130,3 +130,54 @@ def test_incremental(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "key long, hash string")
     new = spark.createDataFrame([(2, "b"), (3, "x"), (4, "d")], "key long, hash string")
     assert dict(index.incremental(old, new).collect()) == {1: "removed", 2: "skipped", 3: "changed", 4: "added"}
+
+
+def test_frontier_order_with_ties_against_a_queue(spark):
+    rng = random.Random(11)
+    for k, rate in ((2, 0.5), (3, 1 / 3), (5, 0.2), (1, 1.0)):
+        rows = [(100 * j + i, f"j{j}", f"u{i}", rng.randrange(3), rng.choice([0.0, 0.2, 0.5, 0.9])) for j in range(12) for i in range(rng.randrange(1, 30))]
+        links = spark.createDataFrame(rows, "id long, crawl_job_id string, normalized_target_url string, target_depth int, relevance_score double")
+        got = {}
+        for r in crawl.frontier_order(links, rate).orderBy("crawl_job_id", "position").collect():
+            got.setdefault(r.crawl_job_id, []).append((r.url, r.explore))
+        for job in {r[1] for r in rows}:
+            left = [(s, d, i, u) for i, x, u, d, s in rows if x == job]
+            want, step = [], 0
+            while left:
+                step += 1
+                explore = step % k == 0 and len(left) > 1
+                one = min(left, key=(lambda x: x) if explore else (lambda x: (-x[0], *x[1:])))
+                left.remove(one)
+                want.append((one[3], explore))
+            assert got[job] == want
+
+
+def test_attach_keeps_hot_keys_apart(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}", None) for i in range(60)] + [(90, None, 1)], "id long, h string, first long")
+    per = df.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    got = sorted((r.id, r.h or "", r.least) for r in dedup.attach(df, per, ["h"], "n", hot_rows=10).collect())
+    least = {"hot": 1, **{f"k{i % 7}": min(j for j in range(60) if j % 2 == 0 and j % 7 == i % 7) for i in range(0, 60, 2)}}
+    assert [(a, b) for a, b, _ in got] == sorted((i, "hot" if i % 2 else f"k{i % 7}") for i in range(60)) + [(90, "")]
+    assert all(c == least.get(b) for _, b, c in got)
+
+
+def test_medians_of_sliced_groups(spark):
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(100) / 16])) for _ in range(200)] + [("none", None)]
+    got = {r.g: r.median for r in evaluate.distribution(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in ("a", "b", None):
+        assert got[g] == round(statistics.median([v for x, v in rows if x == g and v is not None]), 6)
+    assert got["none"] is None
+
+
+@pytest.mark.parametrize(("a", "b"), [("it rises if heated", "it rises if cooled"), ("it is faster", "it is slower"), ("loads improve", "loads worsen"), ("higher yield", "a yield")])
+def test_merge_guards_of_condition_and_direction(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert not df.select(evidence.safe_to_merge(F.col("a"), F.col("b"))).first()[0] and df.select(evidence.safe_to_merge(F.col("a"), F.col("a"))).first()[0]
+
+
+def test_spans_join_abbreviations_over_lines():
+    text = "See fig.\n3 of Dr. Who vs. the rest. Next!  Last"
+    assert [text[a:b] for a, b in evidence.spans(text)] == ["See fig.\n3 of Dr. Who vs. the rest.", "Next!", "Last"]
