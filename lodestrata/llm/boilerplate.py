@@ -35,6 +35,8 @@ LEAST_LINES = 5
 
 #: What is counted: whole lines, parts by pages, openings and shapes by lines, leading words by pages, tokens of exemplars and texts over all sites.
 LINE, PART, SINGLE, LEAD, TOKEN = 0, 1, 2, 3, 4
+#: What is added to a sort for its uses over all sites, and the sort of the number of all uses.
+USES, ALL_USES = 10, 20
 
 
 #: What a task has found for the lines it has met.
@@ -109,15 +111,20 @@ class Crawl:
         self.totals = base.where(F.col("site").isNotNull()).groupBy("site").agg(F.count("*").alias("site_rows"))
         counted = map_text(base.where(F.length("text") > 0).select("site", "text"), lambda block: page_features(block, vocabulary), "site string, sort byte, line long, feature long, n long", "text")
         counted = counted.groupBy("site", "sort", "line", "feature").agg(F.sum("n").alias("n"))
-        repeated = (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("site_rows"))
-        stats = cut(counted.join(self.totals, "site", "left").select("site", "sort", "line", "feature", "n", repeated.alias("repeated")))
-        self.hot = stats.where((F.col("sort") == LINE) & F.col("repeated")).select("site", "line")
-        weight = F.when(F.col("sort") == SINGLE, F.lit(1).cast("long")).otherwise(F.col("n"))
-        by = stats.where(F.col("sort").isin(PART, SINGLE, LEAD)).groupBy("sort", "feature").agg(F.sum(weight).alias("uses"), F.sum(F.when(F.col("repeated"), weight).otherwise(0)).alias("on_repeated"))
-        total = by.agg(F.sum("uses")).scalar()
-        rate = F.when(F.col("sort") == PART, K.RATE["part"]).when(F.col("sort") == LEAD, K.RATE["lead"]).otherwise(K.RATE["opening"])
-        good = (F.col("uses") >= K.LABEL_SHARE * total) & (F.col("uses") >= 2) & (F.col("on_repeated") >= rate * F.col("uses")) & (F.col("on_repeated") >= F.when(F.col("sort") == SINGLE, LEAST_LINES).otherwise(1))
-        rows = by.where(good).select("feature").toArrow()  # at most 1 / LABEL_SHARE rows
+        # one shuffle of what the pages hold gives all three: what a site may repeat, how often each feature is used, and all uses
+        weight = F.when(F.col("sort") == SINGLE, 1).when(F.col("sort").isin(PART, LEAD), F.col("n")).otherwise(0)
+        often = counted.where((F.col("n") >= MIN_PAGES) | (F.col("sort") == TOKEN))
+        uses = counted.groupBy("sort", "feature").agg(F.sum(weight).alias("n"), F.max("sort").alias("kind")).where((F.col("n") >= 2) & F.col("kind").isin(PART, SINGLE, LEAD))
+        uses = uses.select(F.lit(None).cast("string").alias("site"), (F.col("kind") + USES).cast("byte").alias("sort"), F.lit(0).cast("long").alias("line"), "feature", "n")
+        all_ = counted.agg(F.sum(weight).alias("n")).select(F.lit(None).cast("string").alias("site"), F.lit(ALL_USES).cast("byte").alias("sort"), F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("feature"), F.coalesce("n", F.lit(0)).alias("n"))
+        stats = cut(often.unionByName(uses).unionByName(all_))
+        repeated = stats.where(F.col("sort") < TOKEN).join(self.totals, "site").where(F.col("n") >= MIN_SHARE * F.col("site_rows"))
+        self.hot = repeated.where(F.col("sort") == LINE).select("site", "line")
+        on = repeated.where(F.col("sort") != LINE).groupBy((F.col("sort") + USES).cast("byte").alias("sort"), "feature").agg(F.sum(weight).alias("on_repeated"))
+        total = stats.where(F.col("sort") == ALL_USES).first()["n"]
+        rate = F.when(F.col("sort") == PART + USES, K.RATE["part"]).when(F.col("sort") == LEAD + USES, K.RATE["lead"]).otherwise(K.RATE["opening"])
+        good = (F.col("n") >= K.LABEL_SHARE * total) & (F.col("on_repeated") >= rate * F.col("n")) & (F.col("on_repeated") >= F.when(F.col("sort") == SINGLE + USES, LEAST_LINES).otherwise(1))
+        rows = stats.where(F.col("sort").between(USES, ALL_USES - 1)).join(on, ["sort", "feature"]).where(good).select("feature").toArrow()  # at most 1 / LABEL_SHARE rows
         self.labels = K.Labels(rows["feature"].to_numpy() if rows.num_rows else np.empty(0, np.int64))
         met = {r[0]: r[1] for r in stats.where(F.col("sort") == TOKEN).select("feature", "n").collect()}  # at most the exemplars' vocabulary
         self.exemplars = Exemplars.weighted(labelled, {t: met[k] for t in stems if (k := K.key("token", t)) in met}, met.get(K.key("token", ""), 0))
