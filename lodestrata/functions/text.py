@@ -21,6 +21,13 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 _FOLDED = [(c, c.casefold()) for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold()]
 
 
+#: SQL of the folded text and of the claim form. SQL engines have lower case alone; what folds further in Latin and Greek is named.
+_FOLD = "replace(replace(replace(replace(lower({0}), 'ß', 'ss'), 'ς', 'σ'), 'µ', 'μ'), 'ſ', 's')"
+_SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+"
+FOLDED_SQL = _FOLD.replace("{0}", f"trim(regexp_replace({{0}}, '{_SPACE_SQL}', ' ', 'g'), ' ')")
+CLAIM_SQL = _FOLD.replace("{0}", f"rtrim(trim(regexp_replace({{0}}, '{_SPACE_SQL}', ' ', 'g'), ' '), '. ')")
+
+
 def squeeze(text: Column) -> Column:
     """White space collapsed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.dedup import attach
+from lodestrata.operators.ranking import top
 from lodestrata.sources.checkpoints import cut
 
 
@@ -13,7 +15,8 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
 
     Alternating large and small stars: each round links every node to the smallest node near it, so that the number of
     rounds grows with the logarithm of a chain's length and hub nodes shed their edges. A round is one aggregate and
-    one join; its result is checkpointed in the shared folder, and only a count comes to the driver.
+    one join, in which hub nodes stay where they are; its result is checkpointed in the shared folder, and only a count
+    comes to the driver.
     """
     both = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
     alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node IS NOT NULL").distinct()
@@ -22,11 +25,11 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     for _ in range(most_rounds):
         # large star: the larger neighbours of a node, and itself, go to its smallest neighbour
         near = links.union(links.select("b", "a"))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+        large = attach(near, least, ["a"], "_n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        small = attach(large, low, ["a"], "_n")
         links = cut(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -55,6 +58,50 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, *, direction:
     return known
 
 
+def view(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, *, direction: str = "both", node_types: list[str] | None = None, edge_types: list[str] | None = None, most_nodes: int = 200) -> DataFrame:
+    """(seed, nodes, edges, truncated): the size of each seed's neighbourhood under filters and a cap.
+
+    ``nodes`` (node_id, node_type), ``edges`` (edge_id, edge_type, src, dst). Only nodes of the types wanted are entered,
+    over edges of the types wanted whose ends exist. The nearest ``most_nodes`` nodes count, by distance, then id; edges
+    are those met on the way: from a node closer than ``depth`` to a node of the view.
+    """
+    kinds = nodes if node_types is None else nodes.where(F.col("node_type").isin(node_types))
+    known = kinds.select("node_id")
+    e = edges if edge_types is None else edges.where(F.col("edge_type").isin(edge_types))
+    enter = nodes.select("node_id").join(seeds.select(F.col("node").alias("node_id")), "node_id", "left_semi").unionByName(known).distinct()
+    e = e.join(enter.withColumnRenamed("node_id", "src"), "src", "left_semi").join(enter.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    reached = cut(neighbourhood(e, seeds, depth, direction=direction))
+    kept = cut(top(reached, ["seed"], ["distance", "node"], most_nodes, "place"))
+    sizes = reached.groupBy("seed").agg(F.count("*").alias("all"))
+    steps = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
+    met = None
+    for a, b in steps:
+        part = kept.where(F.col("distance") < depth).select("seed", F.col("node").alias(a)).join(e.select("edge_id", a, b), a).join(kept.select("seed", F.col("node").alias(b)), ["seed", b]).select("seed", "edge_id")
+        met = part if met is None else met.unionByName(part)
+    edges_ = met.distinct().groupBy("seed").agg(F.count("*").alias("edges"))
+    n = kept.groupBy("seed").agg(F.count("*").alias("nodes"))
+    return n.join(edges_, "seed", "left").join(sizes, "seed").select("seed", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("all") > most_nodes).alias("truncated"))
+
+
+def list_paths(edges: DataFrame, pairs: DataFrame, most_hops: int, most_paths: int) -> DataFrame:
+    """(source, target, path, hops): up to ``most_paths`` of the shortest directed paths of each pair, as edge ids; parallel edges give paths of their own.
+
+    Each round keeps the first ``most_paths`` ways, by edge ids, to each node that a pair reaches for the first time: more
+    could not be listed. A pair of equal ends has one path without edges.
+    """
+    links = edges.select("edge_id", "src", "dst")
+    front = pairs.select("source", "target", F.col("source").alias("node"), F.array().cast("array<string>").alias("path"))
+    seen = front.select("source", "target", "node")
+    found = front.where("node = target").select("source", "target", "path", F.lit(0).alias("hops"))
+    for h in range(1, most_hops + 1):
+        open_ = front.join(found.select("source", "target").distinct(), ["source", "target"], "left_anti")
+        grown = open_.join(links, F.col("node") == F.col("src")).select("source", "target", F.col("dst").alias("node"), F.concat("path", F.array("edge_id")).alias("path"))
+        front = cut(top(grown.join(seen, ["source", "target", "node"], "left_anti"), ["source", "target", "node"], ["path"], most_paths, "_k").drop("_k"))
+        seen = seen.unionByName(front.select("source", "target", "node").distinct())
+        found = found.unionByName(front.where("node = target").select("source", "target", "path", F.lit(h).alias("hops")))
+    return found
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int) -> DataFrame:
     """(source, target, hops, paths): the length of the shortest directed path of each pair and how many there are, parallel edges apart.
 

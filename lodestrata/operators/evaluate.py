@@ -90,6 +90,27 @@ def label_summary(matrix: DataFrame) -> DataFrame:
     return f1.crossJoin(a)  # one row each
 
 
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, overlap): pairs of sets (id, s) whose Jaccard overlap is ``least`` or more, also of two empty ones.
+
+    Prefix filtering: with its words ordered by how few sets have them, a pair can reach ``least`` only if it shares one
+    of the first ``size - ceil(least * size) + 1`` words of both. Common words thus bring no pairs together.
+    """
+    count = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    each = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("w")).join(count, "w")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
+    sorted_ = each.groupBy("id", "size").agg(order.alias("s"))  # one set's words
+    prefix = (F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).cast("int")
+    p = sorted_.select("id", "size", "s", F.explode(F.slice("s", 1, prefix)).alias("w"))
+    left, right = p.select(F.col("id").alias("a"), F.col("s").alias("x"), "w"), p.select(F.col("id").alias("b"), F.col("s").alias("y"), "w")
+    pairs = left.join(right, "w").where("a < b").where((F.size("x") >= least * F.size("y")) & (F.size("y") >= least * F.size("x"))).dropDuplicates(["a", "b"])
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("overlap")).where(F.col("overlap") >= least)
+    none = sets.where(F.size("s") == 0).select("id")
+    first = none.agg(F.min("id").alias("a"))  # the empty ones are one class; each is paired with its first
+    return found.unionByName(none.withColumnRenamed("id", "b").crossJoin(first).where("a < b").select("a", "b", F.lit(1.0).alias("overlap")))
+
+
 def set_accuracy(expected: DataFrame, actual: DataFrame, key: str, item: str) -> DataFrame:
     """(sets, accuracy): for what share of the keys both sides hold exactly the same items; rows are distinct."""
     both = expected.select(key, item, F.lit(1).alias("_e")).join(actual.select(key, item, F.lit(1).alias("_a")), [key, item], "full_outer")

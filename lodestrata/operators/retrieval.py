@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring, text
 from lodestrata.operators.ranking import capped, fuse, top
+from lodestrata.sources.checkpoints import cut
 
 #: Queries multiplied at once with the vectors of a task.
 QUERY_BLOCK = 2_000
@@ -23,41 +24,51 @@ def query_terms(queries: DataFrame, *, id_col: str, text_col: str, group_col: st
     return queries.select(F.col(id_col).alias("query_id"), F.col(group_col).alias("grp"), F.explode(tokens).alias("token"))
 
 
-def term_hits(passages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(passage_id, grp, length, distinct, token, tf): the tokens of ``passages`` (passage_id, grp, body) that some query of their group holds.
+def lexical_index(passages: DataFrame, terms: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """(passage_id, grp, document_id, length, distinct, hits): what the queries of a group can find in its passages.
 
-    Tokens are met with the few that are asked for before they are shuffled, and counted in part on the way.
+    A passage's words are those of its fields, each field as often as its weight says. They are cut into tokens once;
+    of these only the ones some query of the group asks for are kept, as (token, tf), and the result is written to the
+    shared folder: statistics and both rankings come from it. Passages of groups without a query are left out.
     """
-    tokens = text.tokens(F.col("body"))
-    each = passages.select("passage_id", "grp", tokens.alias("tokens")).select("passage_id", "grp", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), F.explode("tokens").alias("token"))
-    asked = terms.select("grp", "token").distinct()
-    return each.join(asked, ["grp", "token"]).groupBy("passage_id", "grp", "length", "distinct", "token").agg(F.count("*").alias("tf"))
+    asked = terms.groupBy("grp").agg(F.collect_set("token").alias("asked"))  # at most 32 for each query
+    fields = F.concat_ws(" ", *[F.col(c) for c, w in weights.items() for _ in range(w)])
+    cut_up = passages.join(asked, "grp").select("passage_id", "grp", "document_id", "asked", text.tokens(fields).alias("tokens"))
+    held = cut_up.select("passage_id", "grp", "document_id", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), F.filter("tokens", lambda t: F.array_contains("asked", t)).alias("held"))
+    counted = F.transform(F.array_distinct("held"), lambda t: F.struct(t.alias("token"), F.size(F.filter("held", lambda x: x == t)).alias("tf")))
+    return cut(held.select("passage_id", "grp", "document_id", "length", "distinct", counted.alias("hits")))
 
 
-def bm25(passages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, passage_id, score) of the passages for the terms of queries of the same group, by the statistics of what the group may search."""
-    sizes = passages.select("grp", F.size(text.tokens(F.col("body"))).alias("size")).groupBy("grp").agg(F.count("*").alias("n"), F.avg("size").alias("mean_length"))
-    tf = term_hits(passages, terms)
+def scored(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, passage_id, document_id, score, similarity) of the passages that hold a token of a query of their group.
+
+    ``score`` is BM25 by the statistics of what the group may search; ``similarity`` is the cosine of the sets of tokens,
+    which stands in for a model's vectors (these may be plugged in instead).
+    """
+    sizes = index.groupBy("grp").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    tf = index.select("passage_id", "grp", "document_id", "length", "distinct", F.explode("hits").alias("h")).select("passage_id", "grp", "document_id", "length", "distinct", "h.token", "h.tf")
     df = tf.groupBy("grp", "token").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, ["grp", "token"]).join(sizes, "grp").withColumn("w", scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length")))
-    return weighted.join(terms, ["grp", "token"]).groupBy("query_id", "passage_id").agg(F.sum("w").alias("score"))
+    # queries with the statistics of their tokens are few; passages meet them in one join
+    size_q = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
+    asked = terms.join(df, ["grp", "token"]).join(sizes, "grp").join(size_q, "query_id")
+    met = tf.join(asked, ["grp", "token"])
+    w = scoring.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length"))
+    agg = met.groupBy("query_id", "passage_id", "document_id").agg(F.sum(w).alias("score"), (F.count("*") / F.sqrt(F.first("nq") * F.first("distinct"))).alias("similarity"))
+    return agg.select("query_id", "passage_id", "document_id", F.round("score", 9).alias("score"), F.round("similarity", 9).alias("similarity"))
 
 
-def term_cosine(passages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, passage_id, similarity): cosine of the sets of tokens; stands in for a model's vectors, which may be plugged in instead."""
-    size_q = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
-    shared = term_hits(passages, terms).join(terms, ["grp", "token"]).groupBy("query_id", "passage_id", "distinct").agg(F.count("*").alias("shared"))
-    return shared.join(size_q, "query_id").select("query_id", "passage_id", (F.col("shared") / F.sqrt(F.col("nq") * F.col("distinct"))).alias("similarity"))
-
-
-def hybrid(passages: DataFrame, terms: DataFrame, documents: DataFrame, *, candidates: int = 50, cap: int = 2, k: int = 8, rrf_k: int = 60) -> DataFrame:
-    """(query_id, position, passage_id, document_id, rrf, lexical_rank, dense_rank): both rankings fused, at most ``cap`` passages of a document."""
-    lexical = top(bm25(passages, terms).withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), "passage_id"], candidates, "lexical_rank")
-    dense = top(term_cosine(passages, terms).withColumn("similarity", F.round("similarity", 9)), ["query_id"], [F.col("similarity").desc(), "passage_id"], candidates, "dense_rank")
-    fused = fuse([(lexical, "lexical_rank", 1.0), (dense, "dense_rank", 1.0)], ["query_id", "passage_id"], rrf_k).withColumn("rrf", F.round("rrf", 9))
-    with_document = fused.join(documents.select("passage_id", "document_id"), "passage_id")
-    best = capped(with_document, ["query_id"], "document_id", [F.col("rrf").desc(), "passage_id"], cap, k)
-    return best.select("query_id", "position", "passage_id", "document_id", "rrf", "lexical_rank", "dense_rank")
+def search(index: DataFrame, terms: DataFrame, mode: str = "hybrid", *, candidates: int = 50, cap: int = 2, k: int = 8, rrf_k: int = 60) -> DataFrame:
+    """(query_id, position, passage_id, document_id, rrf, a rank for each list): the lists of a mode fused, at most ``cap`` passages of a document.
+
+    ``mode`` is hybrid, lexical or dense; a single list goes through the fusion as well.
+    """
+    lists = {"hybrid": ("lexical", "dense"), "lexical": ("lexical",), "dense": ("dense",)}[mode]
+    hits = scored(index, terms)
+    by = {"lexical": "score", "dense": "similarity"}
+    ranked = [top(hits.select("query_id", "passage_id", "document_id", by[x]), ["query_id"], [F.col(by[x]).desc(), "passage_id"], candidates, f"{x}_rank") for x in lists]
+    fused = fuse([(r, f"{x}_rank", 1.0) for r, x in zip(ranked, lists, strict=True)], ["query_id", "passage_id", "document_id"], rrf_k).withColumn("rrf", F.round("rrf", 9))
+    best = capped(fused, ["query_id"], "document_id", [F.col("rrf").desc(), "passage_id"], cap, k)
+    return best.select("query_id", "position", "passage_id", "document_id", "rrf", *[f"{x}_rank" for x in lists])
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str) -> DataFrame:

@@ -50,18 +50,16 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "knowledge_documents").select("id", U.source_type(u).alias("kind"), U.is_private_host(U.hostname(u)).alias("private"))
 
 
-@query("SELECT id, sha256(lower(trim(regexp_replace(text_content, '\\s+', ' ', 'g')))) AS hash FROM crawled_pages WHERE text_content IS NOT NULL AND regexp_full_match(text_content, '[\\x00-\\x7f]*')")
+@query(f"SELECT id, sha256({T.FOLDED_SQL.format('text_content')}) AS hash FROM crawled_pages WHERE text_content IS NOT NULL")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ASCII part of ``content_hashes_all``, which SQL can say: engines differ on what is white space elsewhere."""
-    pages = table(spark, sf_dir, "crawled_pages").where(F.length("text_content") == F.octet_length("text_content"))
+    """Every text, of whatever script."""
+    pages = table(spark, sf_dir, "crawled_pages").where("text_content IS NOT NULL")
     return pages.select("id", T.content_hash(F.col("text_content")).alias("hash"))
 
 
-@query()
+@query(f"SELECT id, sha256({T.FOLDED_SQL.format('text_content')}) AS hash FROM crawled_pages WHERE text_content IS NOT NULL")
 def content_hashes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text, of whatever script."""
-    pages = table(spark, sf_dir, "crawled_pages").where("text_content IS NOT NULL")
-    return pages.select("id", T.content_hash(F.col("text_content")).alias("hash"))
+    return content_hashes(spark, sf_dir)
 
 
 @query("""

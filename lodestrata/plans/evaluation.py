@@ -30,6 +30,39 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.ranking_metrics(dense_topk(spark, sf_dir).select("query_id", "id", "rank"), relevant, 5)
 
 
+_DENSE_RANKING = """
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
+
+
+@query(f"""
+WITH {_DENSE_RANKING}, g AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND q.label = v.label), src AS (SELECT vec_id AS id, vec_id // 25 AS source FROM v),
+gs AS (SELECT g.query_id, g.id, src.source FROM g JOIN src USING (id)), f AS (SELECT r.query_id, r.id, r.rank, src.source, EXISTS (SELECT 1 FROM g WHERE g.query_id = r.query_id AND g.id = r.id) AS hit, EXISTS (SELECT 1 FROM gs WHERE gs.query_id = r.query_id AND gs.source = src.source) AS good FROM r JOIN src USING (id) WHERE rank <= 8),
+a AS (SELECT query_id, count(*) AS items, count(DISTINCT source) AS all_sources FROM gs GROUP BY 1)
+SELECT query_id, round(coalesce(count(*) FILTER (WHERE hit) / any_value(items), 0), 6) AS recall, round(coalesce(1 / min(rank) FILTER (WHERE hit), 0), 6) AS mrr, count(DISTINCT source) FILTER (WHERE good) AS relevant_sources,
+  round(coalesce(count(DISTINCT source) FILTER (WHERE good) / any_value(all_sources), 0), 6) AS source_recall, count(*) AS retrieved, count(DISTINCT source) AS retrieved_sources FROM f LEFT JOIN a USING (query_id) GROUP BY query_id""")
+def retrieval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the dense ranking: vectors of the query's label are relevant, 25 vectors in a row are one source."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    sources = v.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 25).alias("source"))
+    return evaluate.retrieval_run(dense_topk(spark, sf_dir).select("query_id", "id", "rank"), _same_label(v), sources, 8)
+
+
+def _same_label(v: DataFrame) -> DataFrame:
+    q = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "label")
+    return q.join(v, "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"))
+
+
+@query(f"""
+WITH {_DENSE_RANKING}, g AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND q.label = v.label),
+h AS (SELECT query_id, count(*) FILTER (WHERE rank <= 5) AS found, min(rank) AS first FROM r JOIN g USING (query_id, id) GROUP BY 1), w AS (SELECT query_id, count(*) AS wanted FROM g GROUP BY 1),
+m AS (SELECT query_id, round(coalesce(found, 0) / wanted, 6) AS recall, round(coalesce(found, 0) / 5, 6) AS precision, round(coalesce(1 / first, 0), 6) AS mrr FROM w LEFT JOIN h USING (query_id))
+SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr FROM m""")
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means of ``ranking_metrics`` over all queries."""
+    return evaluate.macro(ranking_metrics(spark, sf_dir), ["recall", "precision", "mrr"])
+
+
 _SHIP = "SELECT CASE WHEN o_orderpriority <= '2' THEN 'fast' WHEN o_orderpriority <= '4' THEN 'normal' ELSE 'slow' END AS gold, CASE WHEN l_quantity > 34 THEN 'fast' WHEN l_quantity > 17 THEN 'normal' ELSE 'slow' END AS predicted FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
@@ -53,6 +86,26 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.label_metrics(evaluate.confusion(_labels(spark, sf_dir), "gold", "predicted"))
 
 
+@query(f"""WITH m AS (SELECT gold, predicted, count(*) AS n FROM ({_SHIP}) GROUP BY ALL), g AS (SELECT gold AS label, sum(n) AS support, sum(n) FILTER (WHERE gold = predicted) AS ok FROM m GROUP BY 1), t AS (SELECT predicted AS label, sum(n) AS told FROM m GROUP BY 1),
+d AS (SELECT label, coalesce(ok, 0) / told AS p, coalesce(ok, 0) / support AS r FROM g JOIN t USING (label))
+SELECT count(*) AS labels, round(avg(round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)), 6) AS macro_f1, (SELECT round(sum(n) FILTER (WHERE gold = predicted) / sum(n), 6) FROM m) AS accuracy FROM d""")
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.label_summary(evaluate.confusion(_labels(spark, sf_dir), "gold", "predicted"))
+
+
+@query(r"""
+WITH w AS (SELECT id, list_distinct(list_filter(list_transform(string_split(lower(trim(regexp_replace(question, '\s+', ' ', 'g'))), ' '), lambda x: trim(x, '.,:;!?()[]{}')), lambda x: x <> '')) AS s FROM research_jobs WHERE question IS NOT NULL),
+p AS (SELECT count(*) FILTER (WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.8) AS alike FROM w a JOIN w b ON a.id < b.id), n AS (SELECT count(*) AS n FROM w)
+SELECT n AS questions, alike, round(CASE WHEN n > 1 THEN alike / (n * (n - 1) / 2) ELSE 0 END, 6) AS redundancy, round(CASE WHEN n > 1 THEN 1 - alike / (n * (n - 1) / 2) ELSE 1 END, 6) AS diversity FROM p, n""")
+def plan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all pairs of questions share four fifths of their words."""
+    sets = table(spark, sf_dir, "research_jobs").where("question IS NOT NULL").select("id", T.word_set(F.col("question")).alias("s"))
+    alike = evaluate.similar_sets(sets, 0.8).agg(F.count("*").alias("alike"))
+    n = F.col("questions")
+    share = F.when(n > 1, F.col("alike") / (n * (n - 1) / 2)).otherwise(0.0)
+    return sets.agg(F.count("*").alias("questions")).crossJoin(alike).select("questions", "alike", F.round(share, 6).alias("redundancy"), F.round(1 - share, 6).alias("diversity"))  # one row each
+
+
 @query("SELECT crawl_job_id, count(actual_page_relevance) AS n, round(avg(actual_page_relevance), 6) AS mean, round(median(actual_page_relevance), 6) AS median, min(actual_page_relevance) AS least, max(actual_page_relevance) AS most FROM crawled_pages GROUP BY crawl_job_id")
 def relevance_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.distribution(table(spark, sf_dir, "crawled_pages"), ["crawl_job_id"], "actual_page_relevance")
@@ -64,14 +117,11 @@ c AS (SELECT research_job_id AS id, count(*) AS n FROM knowledge_documents GROUP
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS overlap, coalesce(x.n, 0) + coalesce(y.n, 0) AS documents FROM w a JOIN w b ON a.id < b.id LEFT JOIN c x ON x.id = a.id LEFT JOIN c y ON y.id = b.id
 WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.5""")
 def redundant_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of questions that share half of their words, joined through the words they share, with the documents they drew in."""
+    """Pairs of questions that share half of their words, joined through their rarer words, with the documents they drew in."""
     jobs, docs = tables(spark, sf_dir, "research_jobs", "knowledge_documents")
     sets = jobs.where("question IS NOT NULL").select("id", T.word_set(F.col("question")).alias("s"))
-    words = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("w"))
-    shared = words.select(F.col("id").alias("a"), F.col("size").alias("na"), "w").join(words.select(F.col("id").alias("b"), F.col("size").alias("nb"), "w"), "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    overlap = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     n = docs.groupBy(F.col("research_job_id")).agg(F.count("*").alias("n"))
-    pairs = shared.where(overlap >= 0.5).select("a", "b", F.round(overlap, 6).alias("overlap"))
+    pairs = evaluate.similar_sets(sets, 0.5).select("a", "b", F.round("overlap", 6).alias("overlap"))
     with_a = pairs.join(n.toDF("a", "x"), "a", "left").join(n.toDF("b", "y"), "b", "left")
     return with_a.select("a", "b", "overlap", (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("documents"))
 

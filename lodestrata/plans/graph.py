@@ -68,7 +68,11 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(F.lit("node").alias("element"), F.col("node_type").alias("kind")).agg(F.count("*").alias("n")).unionByName(e.groupBy(F.lit("edge").alias("element"), F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
 
 
-@query()
+_DIGEST = "SELECT '{0}' AS element, count(*) AS rows, sha256(concat_ws(':', count(*)::VARCHAR, {1})) AS digest FROM (SELECT sha256({2}) AS h FROM {0})"
+_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {a}, 12) AS BIGINT))::VARCHAR" for a in (1, 13, 25, 37))
+
+
+@query(f"""WITH {_NODES}, {_EDGES} {_DIGEST.format('nodes', _SUMS, "concat_ws(chr(0), node_id, node_type, label)")} UNION ALL {_DIGEST.format('edges', _SUMS, "concat_ws(chr(0), edge_id, edge_type, src, dst)")}""")
 def graph_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
     a = G.content_digest(n, ["node_id", "node_type", "label"]).select(F.lit("nodes").alias("element"), "rows", "digest")

@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import evidence, index
+from lodestrata.operators import evaluate, evidence, index
 from lodestrata.plans.registry import query
 from lodestrata.sources.tables import table, tables
 
 
-@query()
+_SECTIONS = r"""
+WITH b AS (SELECT id, title, list_filter(list_transform(string_split_regex(replace(text_content, chr(13), ''), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS bs FROM crawled_pages WHERE length(text_content) > 0),
+e AS (SELECT id, title, i - 1 AS block_no, bs[i] AS t FROM (SELECT id, title, bs, unnest(range(1, len(bs) + 1)) AS i FROM b)),
+h AS (SELECT *, CASE WHEN NOT contains(t, chr(10)) AND regexp_matches(t, '^##? ') OR contains(t, chr(10)) AND starts_with(t, '# ') THEN trim(ltrim(regexp_extract(t, '^[^\n]*'), '# ')) END AS own,
+  CASE WHEN NOT contains(t, chr(10)) AND regexp_matches(t, '^##? ') THEN '' WHEN contains(t, chr(10)) AND starts_with(t, '# ') THEN regexp_replace(regexp_replace(t, '^[^\n]*\n', ''), '^\s+', '') ELSE t END AS body FROM e)
+SELECT id, CAST(block_no AS INT) AS block_no, heading, body FROM (SELECT id, block_no, body, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY id ORDER BY block_no), title, '') AS heading FROM h) WHERE body <> ''"""
+
+
+@query(_SECTIONS)
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.sections(table(spark, sf_dir, "crawled_pages"), id_col="id", text_col="text_content", title_col="title")
 
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.chunks(index.sections(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", title_col="title"))
+    return index.chunks(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", title_col="title")
 
 
 @query("SELECT research_job_id, text_hash, min(id) AS canonical_id, count(*) AS occurrences FROM knowledge_chunks GROUP BY ALL")
@@ -44,16 +52,32 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.incremental(old, new)
 
 
-@query("SELECT id FROM knowledge_chunks c WHERE NOT EXISTS (SELECT 1 FROM knowledge_chunk_sources s WHERE s.chunk_id = c.id)")
+@query("SELECT id FROM knowledge_chunks c WHERE NOT EXISTS (SELECT 1 FROM knowledge_chunk_sources s JOIN knowledge_documents d ON d.id = s.document_id WHERE s.chunk_id = c.id AND d.index_status = 'COMPLETED')")
 def orphan_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.orphans(*tables(spark, sf_dir, "knowledge_chunks", "knowledge_chunk_sources"))
+    """Passages that no finished document holds."""
+    chunks, sources, docs = tables(spark, sf_dir, "knowledge_chunks", "knowledge_chunk_sources", "knowledge_documents")
+    return index.orphans(chunks, sources.join(docs.where("index_status = 'COMPLETED'").select(F.col("id").alias("document_id")), "document_id", "left_semi"))
 
 
 @query("""
-WITH lost AS (SELECT id FROM knowledge_chunks c WHERE NOT EXISTS (SELECT 1 FROM knowledge_chunk_sources s WHERE s.chunk_id = c.id AND s.document_id = c.document_id))
-SELECT lost.id, s.document_id, s.id AS source_id FROM lost JOIN knowledge_chunk_sources s ON s.chunk_id = lost.id QUALIFY row_number() OVER (PARTITION BY lost.id ORDER BY s.id) = 1""")
+WITH s AS (SELECT s.* FROM knowledge_chunk_sources s JOIN knowledge_documents d ON d.id = s.document_id WHERE d.index_status = 'COMPLETED'),
+lost AS (SELECT id FROM knowledge_chunks c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.chunk_id = c.id AND s.document_id = c.document_id))
+SELECT lost.id, s.document_id, s.id AS source_id FROM lost JOIN s ON s.chunk_id = lost.id QUALIFY row_number() OVER (PARTITION BY lost.id ORDER BY s.id) = 1""")
 def survivor_rehome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.rehomed(*tables(spark, sf_dir, "knowledge_chunks", "knowledge_chunk_sources"))
+    """Passages whose own document is not finished, with the first finished one that holds them."""
+    chunks, sources, docs = tables(spark, sf_dir, "knowledge_chunks", "knowledge_chunk_sources", "knowledge_documents")
+    return index.rehomed(chunks, sources.join(docs.where("index_status = 'COMPLETED'").select(F.col("id").alias("document_id")), "document_id", "left_semi"))
+
+
+@query("""
+WITH s AS (SELECT s.* FROM knowledge_chunk_sources s JOIN knowledge_documents d ON d.id = s.document_id WHERE d.index_status <> 'FAILED'),
+f AS (SELECT chunk_id, document_id, id AS source_id FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY id) = 1)
+SELECT c.id, CASE WHEN f.chunk_id IS NULL THEN 'pruned' WHEN EXISTS (SELECT 1 FROM s WHERE s.chunk_id = c.id AND s.document_id = c.document_id) THEN 'kept' ELSE 'rehomed' END AS action,
+  CASE WHEN f.chunk_id IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.chunk_id = c.id AND s.document_id = c.document_id) THEN NULL ELSE f.document_id END AS new_document_id FROM knowledge_chunks c LEFT JOIN f ON f.chunk_id = c.id""")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each passage once the documents that failed are taken out: kept, moved to another document, or pruned."""
+    chunks, sources, docs = tables(spark, sf_dir, "knowledge_chunks", "knowledge_chunk_sources", "knowledge_documents")
+    return index.upkeep(chunks, sources, docs.where("index_status = 'FAILED'").select(F.col("id").alias("document_id")))
 
 
 @query("""
@@ -73,7 +97,10 @@ def left_out_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT research_job_id, count(*) AS passages, round(avg(token_count), 6) AS mean_tokens, median(token_count) AS median_tokens, max(token_count) AS most_tokens FROM knowledge_chunks GROUP BY research_job_id")
 def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "knowledge_chunks").groupBy("research_job_id").agg(F.count("*").alias("passages"), F.round(F.avg("token_count"), 6).alias("mean_tokens"), F.median("token_count").alias("median_tokens"), F.max("token_count").alias("most_tokens"))
+    c = table(spark, sf_dir, "knowledge_chunks").select("research_job_id", "token_count")
+    d = evaluate.distribution(c, ["research_job_id"], "token_count", width=8)
+    n = c.groupBy(F.col("research_job_id").alias("job")).agg(F.count("*").alias("passages"))
+    return d.join(n, F.col("research_job_id").eqNullSafe(F.col("job"))).select("research_job_id", "passages", F.col("mean").alias("mean_tokens"), F.col("median").alias("median_tokens"), F.col("most").alias("most_tokens"))
 
 
 @query(r"""
@@ -122,15 +149,16 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.sentence_spans(table(spark, sf_dir, "knowledge_chunks"), id_col="id", text_col="text")
 
 
-@query("SELECT id, sha256(coalesce(title, '') || chr(10) || coalesce(source_url, '')) AS fingerprint, lower(rtrim(trim(regexp_replace(title, '\\s+', ' ', 'g')), '. ')) AS claim_form FROM knowledge_documents WHERE regexp_full_match(coalesce(title, ''), '[\\x00-\\x7f]*')")
-def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ASCII part of ``document_fingerprints_all``, which SQL can say."""
-    docs = table(spark, sf_dir, "knowledge_documents").where(F.coalesce(F.length("title"), F.lit(0)) == F.coalesce(F.octet_length("title"), F.lit(0)))
-    return docs.select("id", T.fingerprint(F.col("title"), F.col("source_url")).alias("fingerprint"), T.normalize_claim(F.col("title")).alias("claim_form"))
+_PRINTS = f"SELECT id, sha256(coalesce(title, '') || chr(10) || coalesce(source_url, '')) AS fingerprint, {T.CLAIM_SQL.format('title')} AS claim_form FROM knowledge_documents"
 
 
-@query()
-def document_fingerprints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_PRINTS)
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whatever the script of its title."""
     docs = table(spark, sf_dir, "knowledge_documents")
     return docs.select("id", T.fingerprint(F.col("title"), F.col("source_url")).alias("fingerprint"), T.normalize_claim(F.col("title")).alias("claim_form"))
+
+
+@query(_PRINTS)
+def document_fingerprints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(spark, sf_dir)

@@ -71,15 +71,32 @@ def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.select("id", F.explode(fold).alias("neighbour_id"))
 
 
-@query(r"""
-WITH m AS (SELECT c.id, q.question AS a, c.text AS b FROM knowledge_chunks c JOIN research_jobs q ON q.id = c.research_job_id WHERE c.text IS NOT NULL AND q.question IS NOT NULL),
-s AS (SELECT id, list_distinct(regexp_extract_all(a, '\b(?:19|20)\d{2}\b')) AS ya, list_distinct(regexp_extract_all(b, '\b(?:19|20)\d{2}\b')) AS yb FROM m)
-SELECT id, len(ya) > 0 AND len(yb) > 0 AND NOT list_has_any(ya, yb) AS other_years, len(yb) AS years FROM s""")
+_SCOPE = "list_distinct(list_transform(regexp_extract_all(lower({0}), '{1}'), lambda x: rtrim(x, '.,;:!?')))"
+_SCOPES = {"y": r"\b(?:19|20)\d{2}\b", "d": r"\bdataset\s+[\p{L}\p{N}_.-]+", "v": r"\bversion\s+[\p{L}\p{N}_.-]+"}
+_APART = "(len({0}a) > 0 AND len({0}b) > 0 AND NOT list_has_any({0}a, {0}b))"
+
+
+@query(f"""
+WITH m AS (SELECT c.id, coalesce(d.title, '') AS a, c.text AS b FROM knowledge_chunks c JOIN knowledge_documents d ON d.id = c.document_id WHERE c.text IS NOT NULL),
+s AS (SELECT id, {', '.join(f"{_SCOPE.format(t, pattern)} AS {n}{t}" for n, pattern in _SCOPES.items() for t in 'ab')} FROM m)
+SELECT id, {' OR '.join(_APART.format(n) for n in _SCOPES)} AS mismatch, len(yb) AS years, len(db) AS datasets, len(vb) AS versions FROM s""")
 def scope_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, jobs = tables(spark, sf_dir, "knowledge_chunks", "research_jobs")
-    j = chunks.where("text IS NOT NULL").join(jobs.where("question IS NOT NULL").select(F.col("id").alias("research_job_id"), "question"), "research_job_id")
-    a, b = T.marks(F.col("question"), T.YEAR), T.marks(F.col("text"), T.YEAR)
-    return j.select("id", ((F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)).alias("other_years"), F.size(b).alias("years"))
+    """Whether a passage and the title of its document name years, data sets or versions, and none in common."""
+    chunks, docs = tables(spark, sf_dir, "knowledge_chunks", "knowledge_documents")
+    j = chunks.where("text IS NOT NULL").join(docs.select(F.col("id").alias("document_id"), F.coalesce("title", F.lit("")).alias("title")), "document_id")
+    size = lambda p: F.size(T.marks(F.col("text"), p))
+    return j.select("id", evidence.scope_mismatch(F.col("title"), F.col("text")).alias("mismatch"), size(T.YEAR).alias("years"), size(T.DATASET).alias("datasets"), size(T.VERSION).alias("versions"))
+
+
+@query()
+def mergeable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a job whose titles share their first three words: may a title and the first of its kind be held for the same statement?"""
+    d = table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL AND research_job_id IS NOT NULL")
+    key = F.concat_ws(" ", F.slice(F.split(T.normalize_claim(F.col("title")), " "), 1, 3))
+    k = d.select("id", "research_job_id", "title", key.alias("begin"))
+    first = k.groupBy("research_job_id", "begin").agg(F.min_by("title", "id").alias("first_title"), F.min("id").alias("first_id"), F.count("*").alias("_n"))
+    j = dedup.attach(k, first, ["research_job_id", "begin"], "_n").where("id <> first_id")
+    return j.select("id", "first_id", evidence.safe_to_merge(F.col("title"), F.col("first_title")).alias("mergeable"))
 
 
 @query()
@@ -125,20 +142,22 @@ def pages_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.absent(eligible, docs.select(F.col("crawled_page_id").alias("id")), ["id"])
 
 
-@query(r"""
-WITH t AS (SELECT id, research_job_id, lower(rtrim(trim(regexp_replace(title, '\s+', ' ', 'g')), '. ')) AS form FROM knowledge_documents WHERE title IS NOT NULL AND regexp_full_match(title, '[\x00-\x7f]*'))
-SELECT research_job_id, form, min(id) AS kept, count(*) AS members FROM t GROUP BY ALL""")
-def claim_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ASCII part of ``claim_dedup_all``, which SQL can say."""
-    return _claim_groups(table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL AND length(title) = octet_length(title)"))
+_CLAIMS = f"""
+WITH t AS (SELECT id, research_job_id, {T.CLAIM_SQL.format('title')} AS form FROM knowledge_documents WHERE title IS NOT NULL)
+SELECT research_job_id, form, min(id) AS kept, count(*) AS members FROM t GROUP BY ALL"""
 
 
-@query()
-def claim_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_CLAIMS)
+def claim_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of a job with the same normal form, in any script, are one; the first stands for all."""
     return _claim_groups(table(spark, sf_dir, "knowledge_documents").where("title IS NOT NULL"))
 
 
+@query(_CLAIMS)
+def claim_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claim_dedup(spark, sf_dir)
+
+
 def _claim_groups(t: DataFrame) -> DataFrame:
     return t.groupBy("research_job_id", T.normalize_claim(F.col("title")).alias("form")).agg(F.min("id").alias("kept"), F.count("*").alias("members"))
 

@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Importing a module of plans registers its queries."""
-    for name in ("crawl", "evaluation", "graph", "knowledge", "listings", "records", "retrieval"):
+    for name in ("crawl", "evaluation", "graph", "knowledge", "listings", "records", "retrieval", "snapshots"):
         import_module(f"lodestrata.plans.{name}")
 
 

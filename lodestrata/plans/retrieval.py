@@ -16,7 +16,7 @@ from lodestrata.sources.tables import spread, table
 _TOK = r"'[\p{L}\p{N}_]+(?:[-.][\p{L}\p{N}_]+)*'"
 _BM25 = rf"""
 qt AS (SELECT DISTINCT query_id, grp, unnest(list_distinct(regexp_extract_all(lower(question), {_TOK})[1:32])) AS token FROM (SELECT id AS query_id, id AS grp, question FROM research_jobs)),
-ps AS (SELECT id AS passage_id, research_job_id AS grp, document_id, regexp_extract_all(lower(concat_ws(' ', heading, text)), {_TOK}) AS toks FROM knowledge_chunks WHERE research_job_id IS NOT NULL),
+ps AS (SELECT id AS passage_id, research_job_id AS grp, document_id, regexp_extract_all(lower(concat_ws(' ', title, title, heading, text)), {_TOK}) AS toks FROM (SELECT c.*, d.title FROM knowledge_chunks c LEFT JOIN knowledge_documents d ON d.id = c.document_id) WHERE research_job_id IS NOT NULL),
 sz AS (SELECT grp, count(*) AS n, avg(len(toks)) AS avgl FROM ps GROUP BY grp),
 pt AS (SELECT passage_id, grp, len(toks) AS len, unnest(toks) AS token FROM ps),
 tf AS (SELECT passage_id, grp, len, token, count(*) AS tf FROM pt GROUP BY ALL),
@@ -29,9 +29,19 @@ dn AS (SELECT qt.query_id, ps.passage_id, count(*) / sqrt(any_value(nq.nq) * any
   FROM (SELECT passage_id, grp, toks, unnest(list_distinct(toks)) AS token FROM ps) ps JOIN qt ON qt.grp = ps.grp AND qt.token = ps.token JOIN nq ON nq.query_id = qt.query_id GROUP BY qt.query_id, ps.passage_id)"""
 
 
+#: How often the words of each field of a passage count.
+WEIGHTS = {"title": 2, "heading": 1, "text": 1}
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "knowledge_chunks").where("research_job_id IS NOT NULL")
-    return spread(chunks.select(F.col("id").alias("passage_id"), F.col("research_job_id").alias("grp"), "document_id", F.concat_ws(" ", "heading", "text").alias("body")))
+    titles = table(spark, sf_dir, "knowledge_documents").select(F.col("id").alias("document_id"), "title")
+    return spread(chunks.select(F.col("id").alias("passage_id"), F.col("research_job_id").alias("grp"), "document_id", "heading", "text")).join(titles, "document_id", "left")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = terms(spark, sf_dir)
+    return retrieval.lexical_index(passages(spark, sf_dir), t, WEIGHTS), t
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +50,24 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT query_id, passage_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, passage_id) AS rank FROM bm QUALIFY rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = retrieval.bm25(passages(spark, sf_dir), terms(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return top(scored, ["query_id"], [F.col("score").desc(), "passage_id"], 20).withColumn("score", F.round("score", 6))
+    found = retrieval.scored(*_index(spark, sf_dir)).select("query_id", "passage_id", "score")
+    return top(found, ["query_id"], [F.col("score").desc(), "passage_id"], 20).withColumn("score", F.round("score", 6))
+
+
+_SINGLE = """
+r AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY round({0}, 9) DESC, passage_id) AS {1}_rank FROM {2} QUALIFY {1}_rank <= 50),
+cp AS (SELECT r.*, round(1.0::DOUBLE / (60 + {1}_rank), 9) AS rrf, ps.document_id, row_number() OVER (PARTITION BY query_id, document_id ORDER BY round(1.0::DOUBLE / (60 + {1}_rank), 9) DESC, passage_id) AS w FROM r JOIN ps USING (passage_id) QUALIFY w <= 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, passage_id) AS position, passage_id, document_id, rrf, {1}_rank FROM cp QUALIFY position <= 8"""
+
+
+@query(f"WITH {_BM25}, {_SINGLE.format('score', 'lexical', 'bm')}")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search(*_index(spark, sf_dir), "lexical")
+
+
+@query(f"WITH {_BM25}, {_DENSE}, {_SINGLE.format('similarity', 'dense', 'dn')}")
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search(*_index(spark, sf_dir), "dense")
 
 
 @query(f"""
@@ -52,8 +78,7 @@ fu AS (SELECT query_id, passage_id, lexical_rank, dense_rank, round(coalesce(1.0
 cp AS (SELECT fu.*, ps.document_id, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rrf DESC, passage_id) AS w FROM fu JOIN ps USING (passage_id) QUALIFY w <= 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, passage_id) AS position, passage_id, document_id, rrf, lexical_rank, dense_rank FROM cp QUALIFY position <= 8""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = passages(spark, sf_dir)
-    return retrieval.hybrid(p, terms(spark, sf_dir), p.select("passage_id", "document_id"))
+    return retrieval.search(*_index(spark, sf_dir), "hybrid")
 
 
 @query("""
@@ -102,16 +127,21 @@ def allowed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c.id, c.document_id FROM knowledge_chunks c WHERE c.document_id IN (SELECT d.id FROM knowledge_documents d JOIN crawl_jobs j ON d.crawl_job_id = j.id WHERE j.status ILIKE 'completed' AND d.source_domain IS NOT NULL)""")
+SELECT c.id, c.document_id FROM knowledge_chunks c WHERE c.document_id IN (SELECT d.id FROM knowledge_documents d JOIN crawl_jobs j ON d.crawl_job_id = j.id WHERE j.status ILIKE 'completed' AND d.source_domain IS NOT NULL
+  AND lower(d.source_domain) IN (SELECT lower(source_domain) FROM knowledge_documents GROUP BY 1 HAVING count(*) >= 3) AND d.crawled_page_id IN (SELECT source_page_id FROM discovered_links WHERE selected_for_crawl))""")
 def retrieval_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages whose document passes filters on its job, its domain and its page, before anything is ranked."""
     jobs = table(spark, sf_dir, "crawl_jobs").where(F.lower("status") == "completed").select(F.col("id").alias("crawl_job_id"))
-    docs = table(spark, sf_dir, "knowledge_documents").where("source_domain IS NOT NULL").join(jobs, "crawl_job_id", "left_semi").select(F.col("id").alias("document_id"))
+    docs = table(spark, sf_dir, "knowledge_documents").where("source_domain IS NOT NULL").withColumn("domain", F.lower("source_domain"))
+    domains = docs.groupBy("domain").count().where("count >= 3").select("domain")
+    pages = table(spark, sf_dir, "discovered_links").where("selected_for_crawl").select(F.col("source_page_id").alias("crawled_page_id")).distinct()
+    docs = docs.join(jobs, "crawl_job_id", "left_semi").join(domains, "domain", "left_semi").join(pages, "crawled_page_id", "left_semi").select(F.col("id").alias("document_id"))
     return table(spark, sf_dir, "knowledge_chunks").select("id", "document_id").join(docs, "document_id", "left_semi").select("id", "document_id")
 
 
 @query(rf"SELECT token, count(*) AS postings, count(DISTINCT id) AS passages FROM (SELECT id, unnest(regexp_extract_all(lower(text), {_TOK})) AS token FROM knowledge_chunks) GROUP BY token")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index by token: how often, and in how many passages."""
-    chunks = table(spark, sf_dir, "knowledge_chunks").select(T.tokens(F.col("text")).alias("t"))
-    per = chunks.select(F.explode(F.expr("transform(array_distinct(t), w -> struct(w AS token, size(filter(t, u -> u = w)) AS tf))")).alias("p")).select("p.token", "p.tf")
+    tokens = table(spark, sf_dir, "knowledge_chunks").select("id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    per = tokens.groupBy("id", "token").agg(F.count("*").alias("tf"))
     return per.groupBy("token").agg(F.sum("tf").alias("postings"), F.count("*").alias("passages"))

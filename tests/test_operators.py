@@ -95,13 +95,126 @@ def test_sentence_spans():
     assert evidence.spans("") == []
 
 
-def test_sections_and_chunks(spark):
-    text = "Intro here.\n\n# First\n\nBody one. " + "word " * 50 + ".\n\n# Second\nBody two."
-    df = spark.createDataFrame([(1, text, "T"), (2, None, None), (3, "", "x")], "id long, text string, title string")
-    s = index.sections(df, id_col="id", text_col="text", title_col="title")
-    assert [(r.heading, r.body[:9]) for r in s.orderBy("block_no").collect()] == [("T", "Intro her"), ("First", "Body one."), ("Second", "Body two.")]
-    c = index.chunks(s, target=20, overlap=4).collect()
-    assert all(r.words <= 20 for r in c) and {r.heading for r in c} == {"T", "First", "Second"}
+def test_sections(spark):
+    text = "Intro here.\n\n# First\n\nBody one.\n \n## Deep\nnot a heading\n\n# Second\nBody two.\n\n### no heading\n\n## Third\r\n\r\nend"
+    df = spark.createDataFrame([(1, text, "T"), (2, None, None), (3, "", "x"), (4, " \n\n ", "x"), (5, "plain", None)], "id long, text string, title string")
+    got = [(r.id, r.block_no, r.heading, r.body) for r in index.sections(df, id_col="id", text_col="text", title_col="title").orderBy("id", "block_no").collect()]
+    assert got == [(1, 0, "T", "Intro here."), (1, 2, "First", "Body one."), (1, 3, "First", "## Deep\nnot a heading"), (1, 4, "Second", "Body two."), (1, 5, "Second", "### no heading"), (1, 7, "Third", "end"), (5, 0, "", "plain")]
+
+
+def test_chunks(spark):
+    rng = random.Random(3)
+    sentence = lambda: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(1, 30))).capitalize() + "."
+    docs = [(i, "\n\n".join([f"# Part {k}\n\n" + "\n\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 6))) for _ in range(3)) for k in range(rng.randrange(1, 4))]), "T") for i in range(20)]
+    df = spark.createDataFrame(docs + [(90, None, "T"), (91, "", None), (92, "w " * 500, "T"), (93, "tail", "T")], "id long, text string, title string")
+    rows = index.chunks(df, id_col="id", text_col="text", title_col="title", target=40, most=50, overlap=8, least=10).orderBy("id", "chunk_no").collect()
+    by = {}
+    for r in rows:
+        assert r.words == len(r.body.split()) <= 50
+        by.setdefault(r.id, []).append(r)
+    for i, text, _ in docs + [(92, "w " * 500, "T"), (93, "tail", "T")]:
+        words = [w for block in text.split("\n\n") if not block.startswith("# ") for w in block.split()]
+        assert [r.chunk_no for r in by[i]] == list(range(len(by[i])))
+        at = 0
+        for before, r in zip([None, *by[i]], by[i], strict=False):  # each chunk goes on where the last ended, or up to 8 words before, under one heading
+            own = r.body.split()
+            again = next(k for k in range(min(8, at) + 1) if words[at - k:at - k + len(own)] == own and (k == 0 or before.heading == r.heading))
+            at += len(own) - again
+        assert at == len(words)
+    assert set(by) == {*range(20), 92, 93} and len(by[92]) == 10
+
+
+def test_short_tail_joins_under_one_heading():
+    words = lambda n: ["w"] * n
+    assert [len(w) for _, w in index.pack_units([("a", words(38)), ("a", words(5))], 40, 50, 0, 10)] == [43]
+    assert [len(w) for _, w in index.pack_units([("a", words(38)), ("b", words(5))], 40, 50, 0, 10)] == [38, 5]
+    assert [len(w) for _, w in index.pack_units([("a", words(38)), ("a", words(15))], 40, 60, 6, 10)] == [38, 21]
+
+
+def test_upkeep(spark):
+    chunks = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, 30)], "id long, document_id long")
+    sources = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, 2, 20), (4, 3, 20), (5, 2, 30)], "id long, chunk_id long, document_id long")
+    got = {r.id: (r.action, r.new_document_id) for r in index.upkeep(chunks, sources, spark.createDataFrame([(10,)], "document_id long")).collect()}
+    assert got == {1: ("pruned", None), 2: ("rehomed", 20), 3: ("kept", None), 4: ("pruned", None)}
+
+
+def test_similar_sets_against_all_pairs(spark):
+    rng = random.Random(6)
+    sets = [(i, sorted({f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 8))})) for i in range(80)]
+    got = {(r.a, r.b): round(r.overlap, 9) for r in evaluate.similar_sets(spark.createDataFrame(sets, "id long, s array<string>"), 0.5).collect()}
+    full = {i: set(x) for i, x in sets}
+    empty = [i for i, x in full.items() if not x]
+    want = {(a, b): round(len(full[a] & full[b]) / len(full[a] | full[b]), 9) for a in full for b in full if a < b and full[a] and full[b] and len(full[a] & full[b]) >= 0.5 * len(full[a] | full[b])}
+    assert got == want | {(empty[0], b): 1.0 for b in empty[1:]}
+
+
+GRAPH_NODES = [(f"n{i}", "A" if i % 3 else "B") for i in range(9)]
+GRAPH_EDGES = [("e1", "x", "n0", "n1"), ("e2", "x", "n0", "n1"), ("e3", "x", "n1", "n2"), ("e4", "y", "n0", "n3"), ("e5", "x", "n3", "n2"), ("e6", "x", "n2", "n4"), ("e7", "x", "n4", "n5"), ("e8", "x", "n7", "gone")]
+
+
+def _graph(spark):
+    return spark.createDataFrame(GRAPH_NODES, "node_id string, node_type string"), spark.createDataFrame(GRAPH_EDGES, "edge_id string, edge_type string, src string, dst string")
+
+
+def test_views_with_filters_and_caps(spark):
+    n, e = _graph(spark)
+    seeds = spark.createDataFrame([("n0",), ("n4",), ("n7",)], "node string")
+    see = lambda **k: {r.seed: (r.nodes, r.edges, r.truncated) for r in components.view(n, e, seeds, 2, **k).collect()}
+    assert see(direction="out") == {"n0": (4, 5, False), "n4": (2, 1, False), "n7": (1, 0, False)}
+    assert see(direction="out", most_nodes=2) == {"n0": (2, 2, True), "n4": (2, 1, False), "n7": (1, 0, False)}
+    assert see(direction="out", node_types=["A"]) == {"n0": (3, 3, False), "n4": (2, 1, False), "n7": (1, 0, False)}
+    assert see(direction="out", edge_types=["y"]) == {"n0": (2, 1, False), "n4": (1, 0, False), "n7": (1, 0, False)}
+
+
+def test_listed_paths(spark):
+    _, e = _graph(spark)
+    pairs = spark.createDataFrame([("n0", "n2"), ("n0", "n5"), ("n1", "n1"), ("n5", "n0")], "source string, target string")
+    got = {}
+    for r in components.list_paths(e, pairs, 4, 2).collect():
+        got.setdefault((r.source, r.target), []).append(r.path)
+    assert {k: sorted(v) for k, v in got.items()} == {("n0", "n2"): [["e1", "e3"], ["e2", "e3"]], ("n0", "n5"): [["e1", "e3", "e6", "e7"], ["e2", "e3", "e6", "e7"]], ("n1", "n1"): [[]]}
+
+
+def test_snapshots_are_replaced_verified_and_dropped(spark, tmp_path):
+    from lodestrata.sources.snapshots import Snapshots
+
+    n, e = _graph(spark)
+    n = n.withColumn("label", F.col("node_id"))
+    store = Snapshots(spark, str(tmp_path))
+    store.replace("one", n, e)
+    assert [x.count() for x in store.load("one")] == [9, 8]
+    new = spark.createDataFrame([("n0", "B", "other"), ("n99", "A", "new")], "node_id string, node_type string, label string")
+    counts = {(r.element, r.kind): (r.created, r.reused, r.removed) for r in store.upsert("one", new, e.limit(0), "two").collect()}
+    assert counts == {("node", "A"): (1, 6, 0), ("node", "B"): (0, 3, 0), ("edge", "x"): (0, 7, 0), ("edge", "y"): (0, 1, 0)}
+    assert {r.node_id: r.label for r in store.load("two")[0].collect()}["n0"] == "other"
+    n.limit(3).write.mode("overwrite").parquet(f"{tmp_path}/nodes/snapshot_id=one")
+    with pytest.raises(ValueError, match="not as it was written"):
+        store.load("one")
+    store.drop("two")
+    with pytest.raises(ValueError, match="not as it was written"):
+        store.load("two")
+    with pytest.raises(ValueError, match="not a name"):
+        store.replace("../x", n, e)
+
+
+def test_lexical_scores_against_brute_force(spark):
+    from math import log
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["red", "blue", "green", "dark-grey", "x1"])
+    rows = [(i, "g" if i % 4 else "h", i // 3, " ".join(word() for _ in range(2)), None, " ".join(word() for _ in range(rng.randrange(0, 12)))) for i in range(40)]
+    passages = spark.createDataFrame(rows, "passage_id long, grp string, document_id long, title string, heading string, text string")
+    terms = retrieval.query_terms(spark.createDataFrame([("q", "g", "Red dark-grey red none")], "id string, grp string, question string"), id_col="id", text_col="question", group_col="grp")
+    got = {r.passage_id: r.score for r in retrieval.scored(retrieval.lexical_index(passages, terms, {"title": 2, "heading": 1, "text": 1}), terms).collect()}
+    bags = {i: (t + " ") .split() * 2 + x.split() for i, g, _, t, _, x in rows if g == "g"}
+    mean = sum(map(len, bags.values())) / len(bags)
+    want = {}
+    for i, bag in bags.items():
+        for t in ("red", "dark-grey", "none"):
+            if tf := bag.count(t):
+                df = sum(t in b for b in bags.values())
+                want[i] = want.get(i, 0) + log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+    assert got == pytest.approx(want)
 
 
 def test_dense_topk_against_brute_force(spark):
