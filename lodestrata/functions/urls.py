@@ -23,17 +23,25 @@ def resolve(url: Column, base: Column) -> Column:
     """``url`` against ``base``: absolute ones stay, ``//host``, ``/path``, ``#fragment`` and plain relative ones are joined."""
     u = F.trim(url)
     root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
-    folder = F.concat(root, F.regexp_replace(F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3)), r"[^/]*$", ""))
+    folder = F.regexp_replace(F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3)), r"[^/]*$", "")
+    own, rest = F.regexp_extract(u, r"^([^?#]*)", 1), F.regexp_extract(u, r"^[^?#]*(.*)$", 1)
     return (
         F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), u)
         .when(u.startswith("//"), F.concat(_part(base, 1), F.lit(":"), u))
-        .when(u.startswith("/"), F.concat(root, u))
+        .when(u.startswith("/"), F.concat(root, without_dots(own), rest))
         .when(u.startswith("#") | (u == ""), F.concat(F.regexp_replace(base, r"#.*$", ""), u))
         .when(u.startswith("?"), F.concat(root, _part(base, 3), u))
-        .otherwise(F.concat(folder, u))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without the segments ``.`` and ``..``, which leave out the segment before; a path without dots is left alone."""
+    none = F.array().cast("array<string>")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")).otherwise(path)
+
+
 def normalize_url(url: Column) -> Column:
     """Canonical form of an absolute http(s) URL; null where it is none, holds credentials, or has an invalid port.
 
@@ -65,7 +73,7 @@ def is_private_host(host: Column) -> Column:
 
 
 def source_type(url: Column) -> Column:
-    """What kind of source a URL points to, by its host."""
+    """What kind of source a URL points to, by its host. The hosts are fixed values."""
     host = F.coalesce(hostname(url), F.lit(""))
     return (
         F.when(host.endswith(".gov"), "GOVERNMENT")

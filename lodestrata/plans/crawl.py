@@ -44,12 +44,24 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH h AS (SELECT id, lower(regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) AS host, source_url FROM knowledge_documents)
 SELECT id, CASE WHEN host LIKE '%.gov' THEN 'GOVERNMENT' WHEN host IN ('github.com', 'gitlab.com') THEN 'REPOSITORY' WHEN host IN ('arxiv.org', 'pubmed.ncbi.nlm.nih.gov') THEN 'PRIMARY_RESEARCH'
   WHEN host LIKE 'docs.%' OR contains(source_url, '/docs/') THEN 'OFFICIAL_DOCUMENTATION' ELSE 'UNKNOWN' END AS kind,
-  (host = 'localhost' OR host LIKE '%.localhost' OR regexp_matches(host, '^(10|127)\.\d+\.\d+\.\d+$|^192\.168\.\d+\.\d+$')) AS private FROM h""")
+  (host = 'localhost' OR host LIKE '%.localhost' OR regexp_matches(host, '^(0|10|127)\.\d+\.\d+\.\d+$|^(169\.254|192\.168|198\.1[89])\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.\d+\.\d+$|^(22[4-9]|2[3-5]\d)\.\d+\.\d+\.\d+$|^192\.0\.[02]\.\d+$|^198\.51\.100\.\d+$|^203\.0\.113\.\d+$')) AS private FROM h""")
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("source_url")
     return table(spark, sf_dir, "knowledge_documents").select("id", U.source_type(u).alias("kind"), U.is_private_host(U.hostname(u)).alias("private"))
 
 
+@query(r"""
+WITH u AS (SELECT id, trim(target_url) AS t, source_url, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*') AS root, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path, normalized_target_url AS n FROM discovered_links WHERE target_url IS NOT NULL AND source_url IS NOT NULL),
+r AS (SELECT id, n, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(root, '^[^:]*:') || t WHEN starts_with(t, '/') THEN root || t
+  WHEN t = '' OR starts_with(t, '#') THEN regexp_replace(source_url, '#.*$', '') || t WHEN starts_with(t, '?') THEN root || path || t ELSE root || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || t END AS resolved FROM u)
+SELECT id, resolved, regexp_replace(resolved, '#.*$', '') = n AS as_stored FROM r""")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets as they are written, against the page they stand on, and whether that is what was stored."""
+    links = table(spark, sf_dir, "discovered_links").where("target_url IS NOT NULL AND source_url IS NOT NULL")
+    r = links.select("id", "normalized_target_url", U.resolve(F.col("target_url"), F.col("source_url")).alias("resolved"))
+    return r.select("id", "resolved", (F.regexp_replace("resolved", "#.*$", "") == F.col("normalized_target_url")).alias("as_stored"))
+
+
 @query(f"SELECT id, sha256({T.FOLDED_SQL.format('text_content')}) AS hash FROM crawled_pages WHERE text_content IS NOT NULL")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, of whatever script."""

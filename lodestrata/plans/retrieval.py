@@ -99,7 +99,7 @@ def label_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
     centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s.getField("c")).alias("centre"))
-    s = v.join(F.broadcast(centre), "label").select("label", scoring.cosine(F.col("embedding"), F.col("centre")).alias("s"))
+    s = v.join(centre, "label").select("label", scoring.cosine(F.col("embedding"), F.col("centre")).alias("s"))
     return s.groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg("s"), 6).alias("mean_similarity"), F.round(F.min("s"), 6).alias("least_similarity"))
 
 

@@ -62,3 +62,13 @@ def test_uuid(spark):
     import uuid
 
     assert one(spark, T.name_uuid(T.NAMESPACE_URL, F.col("n")), n=("job:ä", "string")) == str(uuid.uuid5(uuid.NAMESPACE_URL, "job:ä"))
+
+
+def test_resolve_dots_and_parts(spark):
+    from lodestrata.functions import urls as U
+
+    base = "https://a.example/x/y/z?q=1#f"
+    cases = {"w": "https://a.example/x/y/w", "./w/./v": "https://a.example/x/y/w/v", "w/u/../v": "https://a.example/x/y/w/v", "/w": "https://a.example/w", "//b.example/c": "https://b.example/c", "#g": "https://a.example/x/y/z?q=1#g", "?p": "https://a.example/x/y/z?p", "mailto:x": "mailto:x"}
+    cases |= {"../w": "https://a.example/x/w", "../../../w?a=../b": "https://a.example/w?a=../b", "/p/../q": "https://a.example/q"}
+    df = spark.createDataFrame([(k, base) for k in cases], "u string, b string")
+    assert {r.u: r.got for r in df.select("u", U.resolve(F.col("u"), F.col("b")).alias("got")).collect()} == cases
