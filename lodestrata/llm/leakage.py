@@ -89,6 +89,7 @@ class ItemIndex:
         self.grams, self.first = np.unique(h, return_index=True)
         self.many = np.diff(np.append(self.first, len(h)))
         self.common = self.many > COMMON
+        self.n_common = np.bincount(self.owner[np.repeat(self.common, self.many)], minlength=len(split))
         self._commons: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         #: Passages of ``run_words`` words all of whose q-grams are common, with the items that hold them, and the fewest characters of one.
         self.stock: dict[str, list[int]] = {}
@@ -156,12 +157,12 @@ class ItemIndex:
         """As ``_postings``, of the common q-grams, for the pairs of text and item that rarer ones have brought in."""
         ends = np.append(starts[1:], size)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
-        pair = np.unique(text * len(self.ids) + item)
-        for x in pair.tolist():
+        pair, rare = np.unique(text * len(self.ids) + item, return_counts=True)
+        # a shared passage has its bound of q-grams from the rarer ones met here and the item's own common ones
+        k = pair % len(self.ids)
+        for x in pair[(self.n_common[k] > 0) & (rare + self.n_common[k] >= self.bound[k])].tolist():
             t, k = divmod(x, len(self.ids))
             values, place = self._own_common(k)
-            if not len(values):
-                continue
             a = int(starts[t]) + self.q - 1
             here = h[a:int(ends[t])]
             lo, hi = np.searchsorted(values, here, "left"), np.searchsorted(values, here, "right")
