@@ -49,3 +49,37 @@ def current(spark, target: str, key: list[str], order: list[str]) -> DataFrame:
     from lodestrata.operators.dedup import latest
 
     return latest(spark.read.parquet(target).drop("batch"), key, order)
+
+
+def index_changes(target: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for pages (key, hash): writes what each batch adds, changes or leaves as it was.
+
+    The state is what earlier batches wrote, the newest hash of each key; a batch that is run again, after a restart,
+    sees the same earlier batches and overwrites its own folder. Keys a batch does not hold are left alone.
+    """
+    from lodestrata.operators.dedup import latest
+    from lodestrata.operators.index import incremental
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy("key").agg(F.max("hash").alias("hash"))
+        before = [f"{target}/batch={b}" for b in range(batch_id)]
+        read = [p for p in before if _exists(spark, p)]
+        if read:
+            old = latest(spark.read.option("basePath", target).parquet(*read), ["key"], ["batch"]).select("key", "hash")
+            actions = incremental(old.join(new.select("key"), "key", "left_semi"), new)
+        else:
+            actions = new.select("key", F.lit("added").alias("action"))
+        actions.join(new, "key").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return write
+
+
+def _exists(spark, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True

@@ -43,3 +43,14 @@ def test_upsert_is_idempotent(spark):
             write(spark.createDataFrame(part, "id long, url string, at string"), k)
     got = {r.url: r.id for r in feeds.current(spark, f"{folder}/out", ["url"], ["at", "id"]).collect()}
     assert got == {"https://a.example/x": 4, "https://b.example/y": 3}
+
+
+def test_index_changes_batch_by_batch(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    write = feeds.index_changes(f"{folder}/out")
+    batches = [[("a", "1"), ("b", "1")], [("a", "1"), ("b", "2"), ("c", "1")], [("b", "2"), ("c", "2"), ("c", "2")]]
+    for _ in range(2):
+        for k, rows in enumerate(batches):
+            write(spark.createDataFrame(rows, "key string, hash string"), k)
+    got = {(r.batch, r.key): r.action for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {(0, "a"): "added", (0, "b"): "added", (1, "a"): "skipped", (1, "b"): "changed", (1, "c"): "added", (2, "b"): "skipped", (2, "c"): "changed"}
