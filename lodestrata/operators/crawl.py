@@ -74,14 +74,18 @@ def unite_results(results: DataFrame, group: list[str], list_col: str) -> DataFr
     return ranked.groupBy(*group, "url").agg(F.min("rank").alias("best_rank"), F.min_by(F.coalesce("anchor_text", F.lit("")), "id").alias("title"), F.min("id").alias("first_id"), F.count_distinct(list_col).alias("lists"))
 
 
-def seed_outcomes(candidates: DataFrame, group: str, cap: int, limit: int) -> DataFrame:
+def seed_outcomes(candidates: DataFrame, group: str, cap: int, limit: int, before: DataFrame | None = None) -> DataFrame:
     """``outcome`` of candidates (group, url, host, score): SELECTED, DOMAIN_CAP for more than ``cap`` of a host, SEED_LIMIT for what comes after ``limit`` are taken.
 
     Both are bounded top-k choices; the others are told apart by the last candidate taken, so no task orders a whole group.
+    ``before`` (group, host, taken) says how many of a host an earlier round took: these count against the cap.
     """
     host = F.coalesce("host", F.lit(""))
     order = [F.col("score").desc(), "url"]
-    fits = top(candidates.withColumn("_h", host), [group, "_h"], order, cap, "_w").drop("_w", "_h")
+    fits = top(candidates.withColumn("_h", host), [group, "_h"], order, cap, "_w")
+    if before is not None:
+        fits = fits.join(before.select(group, F.coalesce("host", F.lit("")).alias("_h"), "taken"), [group, "_h"], "left").where(F.col("_w") + F.coalesce("taken", F.lit(0)) <= cap).drop("taken")
+    fits = fits.drop("_w", "_h")
     taken = top(fits, [group], order, limit, "position").select(group, "url", "score", "position")
     last = taken.where(F.col("position") == limit).select(group, F.col("score").alias("_s"), F.col("url").alias("_u"))
     j = candidates.join(taken.select(group, "url", "position"), [group, "url"], "left").join(last, group, "left")

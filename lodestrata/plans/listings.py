@@ -276,3 +276,17 @@ def crawl_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each page in the order its job discovered it, also in a job of very many pages."""
     p = table(spark, sf_dir, "crawled_pages").where("crawl_job_id IS NOT NULL AND discovery_order IS NOT NULL").select("crawl_job_id", "id", "discovery_order")
     return positions(p, ["crawl_job_id"], F.floor(F.col("discovery_order") / 4096), ["discovery_order", "id"], "position").select("id", "position")
+
+
+@query(rf"""
+WITH l AS (SELECT crawl_job_id, normalized_target_url AS url, {_HOST.format('normalized_target_url')} AS host, selected_for_crawl AS chosen, relevance_score FROM discovered_links WHERE normalized_target_url IS NOT NULL),
+b AS (SELECT crawl_job_id, host, count(DISTINCT url) AS taken FROM l WHERE chosen GROUP BY ALL), s AS (SELECT crawl_job_id, url, any_value(host) AS host, round(coalesce(max(relevance_score), 0), 9) AS score FROM l GROUP BY crawl_job_id, url HAVING NOT bool_or(coalesce(chosen, false))),
+d AS (SELECT s.*, row_number() OVER (PARTITION BY s.crawl_job_id, s.host ORDER BY score DESC, url) + coalesce(taken, 0) <= 6 AS fits FROM s LEFT JOIN b ON b.crawl_job_id = s.crawl_job_id AND b.host = s.host),
+e AS (SELECT *, coalesce(sum(fits::INT) OVER (PARTITION BY crawl_job_id ORDER BY score DESC, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT crawl_job_id, url, CASE WHEN before >= 5 THEN 'SEED_LIMIT' WHEN NOT fits THEN 'DOMAIN_CAP' ELSE 'SELECTED' END AS outcome FROM e""")
+def next_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A further round: five more seeds a job of what it has not selected, six of one host in all, counting those it has."""
+    links = table(spark, sf_dir, "discovered_links").where("normalized_target_url IS NOT NULL").select("crawl_job_id", F.col("normalized_target_url").alias("url"), F.coalesce("selected_for_crawl", F.lit(False)).alias("chosen"), "relevance_score")
+    s = links.groupBy("crawl_job_id", "url").agg(F.bool_or("chosen").alias("chosen"), F.round(F.coalesce(F.max("relevance_score"), F.lit(0.0)), 9).alias("score")).withColumn("host", U.hostname(F.col("url")))
+    before = s.where("chosen").groupBy("crawl_job_id", "host").agg(F.count("*").alias("taken"))
+    return crawl.seed_outcomes(s.where("NOT chosen").drop("chosen"), "crawl_job_id", 6, 5, before).select("crawl_job_id", "url", "outcome")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import text as T
-from lodestrata.operators import dedup, evidence, graph, retrieval
+from lodestrata.operators import dedup, evidence, retrieval
+from lodestrata.plans.graph import _EDGES, _NODES, _graph
 from lodestrata.plans.registry import query
 from lodestrata.sources.tables import table, tables
 
@@ -117,12 +118,23 @@ def domain_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source_domain").agg(F.count("*").alias("documents"), F.array_join(F.array_sort(F.collect_set("research_job_id")), ",").alias("jobs"))
 
 
-@query()
+@query(f"""
+WITH {_NODES}, {_EDGES}
+SELECT node_id AS id, CAST(to_json({{'node_id': node_id, 'node_type': node_type, 'label': label}}) AS VARCHAR) AS json FROM nodes
+UNION ALL SELECT edge_id, CAST(to_json({{'edge_id': edge_id, 'edge_type': edge_type, 'src': src, 'dst': dst}}) AS VARCHAR) FROM edges""")
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON text for each node, null fields kept."""
-    jobs, docs, chunks = tables(spark, sf_dir, "research_jobs", "knowledge_documents", "knowledge_chunks")
-    n = graph.nodes(jobs, docs, chunks)
-    return n.select("node_id", F.to_json(F.struct("node_id", "node_type", "label"), {"ignoreNullFields": "false"}).alias("json"))
+    """One JSON text for each node and edge, null fields kept."""
+    n, e = _graph(spark, sf_dir)
+    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("json")
+    return n.select(F.col("node_id").alias("id"), text("node_id", "node_type", "label")).unionByName(e.select(F.col("edge_id").alias("id"), text("edge_id", "edge_type", "src", "dst")))
+
+
+@query()
+def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence of a passage with the one after it, as one span: what may be cited of two sentences."""
+    s = evidence.sentence_spans(table(spark, sf_dir, "knowledge_chunks"), id_col="id", text_col="text")
+    w = Window.partitionBy("id").orderBy("sentence_no")
+    return s.select("id", "sentence_no", "start_offset", F.lead("end_offset").over(w).alias("end_offset")).where("end_offset IS NOT NULL")
 
 
 @query(r"""
