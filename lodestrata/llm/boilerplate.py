@@ -4,8 +4,8 @@ Two passes over the lines of a page. The first classifies each line by itself. I
 if labels make up half of it (its link density), if it opens like such lines or ends with the page's title after other
 parts; it is article if it is long enough and dense enough in common words, or has the marks of a heading, a list item
 or a table row. In the second pass the lines left undecided inherit the label of the nearest decided lines on both
-sides; where these differ, a short line without any common word is worded like a link and goes with the furniture, and
-any other with the article. A page whose article has not begun keeps its short lines: they are its headings.
+sides; where these differ, a short line without any common word is worded like a link and goes with the furniture, as
+does a sentence with somebody's name before it after the article, and any other line with the article. A page whose article has not begun keeps its short lines: they are its headings.
 
 The labels are learned from the crawl (see ``furniture``): one pass counts lines and their parts by site, its result is
 written to the shared folder and gives both the repeated lines of each site and the labels of the whole crawl.
@@ -202,8 +202,8 @@ class Classifier:
                 sides = {x for x in (before[i], after[i]) if x}
                 if len(sides) == 1:
                     good = sides != {K.BAD} or k == K.SHORT and before[i] is not None and not begun and later[i]
-                else:
-                    good = not sides or k != K.LINK
+                else:  # what is said by somebody after the article is a comment
+                    good = not sides or k == K.SHORT or k == K.NEAR and before[i] == K.BAD
             begun = begun or k == K.GOOD
             out.append((good, why[i]))
         return out

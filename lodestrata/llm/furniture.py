@@ -54,12 +54,12 @@ def normal(text: str) -> str:
 
 
 def skeleton(form: str) -> str:
-    """The ASCII characters of a form, or the form itself if these hold hardly a letter; separators of any script become ``|``, dashes ``-``."""
+    """The ASCII characters of a form, or the form itself if these are the smaller part or hold hardly a letter; separators of any script become ``|``, dashes ``-``."""
     if form.isascii():
         return form
     form = _DASHES.sub("-", _BARS.sub("|", form)).replace("：", ":")
     s = " ".join(form.encode("ascii", "ignore").decode().split())
-    return s if _LETTERS.search(s) else form
+    return s if len(s) > 0.4 * len(form) and _LETTERS.search(s) else form
 
 
 def is_divided(s: str) -> bool:

@@ -26,7 +26,7 @@ PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
 #: Least share of a window's weight in one exemplar, and of an exemplar's weight in the window.
 COVERAGE, HELD = 0.7, 0.55
 #: Or the one exemplar has this share of the window, and all exemplars of its kind that were retrieved have the second.
-HALF, TOGETHER = 0.5, 0.85
+HALF, TOGETHER = 0.4, 0.75
 #: Sentences of the longest window.
 WINDOW = 4
 
@@ -65,6 +65,9 @@ Please enable JavaScript to view this site.
 Please enable JavaScript to view this page.
 JavaScript is disabled. Please enable it in your browser settings to continue.
 This site requires JavaScript.
+JavaScript must be enabled to use this site.
+For full functionality of this site it is necessary to enable JavaScript in your browser.
+Turn on JavaScript in your browser.
 To use this website, JavaScript must be enabled.
 JavaScript is not available. We've detected that JavaScript is disabled in this browser.
 Loading... Please wait. If nothing happens, enable scripts and reload the page.
@@ -74,6 +77,7 @@ Für diese Anwendung wird JavaScript benötigt.
 Diese Anwendung benötigt Skripte.
 Veuillez activer JavaScript pour utiliser cette application.
 Veuillez activer JavaScript pour afficher cette page.
+Ce site nécessite JavaScript.
 Por favor, active JavaScript para ver esta página.
 Habilite JavaScript en su navegador para continuar.
 Ative o JavaScript para ver esta página.
@@ -151,6 +155,19 @@ Site under maintenance
 Briefly unavailable for scheduled maintenance. Check back in a minute.
 This page is under construction. Come back soon.
 Under construction
+The file you were looking for could not be found.
+The resource you are looking for has been removed, had its name changed, or is temporarily unavailable.
+We couldn't find the page you were looking for.
+Something went wrong. Please try again later.
+An unexpected error occurred. Please try again later.
+You have been logged out. Please sign in again to continue.
+Too many login attempts. Please wait and try again later.
+We are currently down for maintenance. We will be back shortly.
+The site is temporarily offline.
+The service is currently not available. Please retry later.
+Could not connect to the database server.
+Your request has been blocked by our security rules.
+Sorry, you have been blocked. You are unable to access this site.
 Fehler 404
 Fehler 500
 Fehler
@@ -162,6 +179,8 @@ Bitte versuchen Sie es später erneut.
 Bitte später erneut versuchen.
 Zugriff verweigert
 Interner Serverfehler
+Die angeforderte URL wurde auf diesem Server nicht gefunden.
+Der Dienst ist vorübergehend nicht verfügbar.
 Wartungsarbeiten
 Erreur 404
 Erreur
@@ -174,23 +193,34 @@ Service temporairement indisponible, réessayez plus tard.
 Accès refusé
 Référence
 Erreur interne du serveur
+Désolé, la page que vous cherchez n'existe pas ou plus.
+Une erreur est survenue.
 Error 404: página no encontrada
 Página no encontrada
 Acceso denegado
 Servicio no disponible por el momento. Inténtelo de nuevo más tarde.
 Error interno del servidor
+Lo sentimos, no hemos encontrado la página que busca.
+Se ha producido un error.
 Erro 404: página não encontrada
 Erro
 Página não encontrada
 Acesso negado
 Serviço indisponível no momento. Tente novamente mais tarde.
 Erro interno do servidor
+Desculpe, a página que você procura não existe.
+Ocorreu um erro.
 Ошибка 404: страница не найдена
 Ошибка
 Страница не найдена
 Доступ запрещён
 Сервис временно недоступен. Попробуйте позже.
 Внутренняя ошибка сервера
+Извините, такой страницы не существует.
+Errore 404: la pagina richiesta non esiste
+Accesso negato
+Pagina niet gevonden
+Nie znaleziono strony
 404 ページが見つかりません
 お探しのページが見つかりません
 ページが見つかりませんでした。
@@ -199,12 +229,13 @@ Erro interno do servidor
 アクセスが拒否されました
 サービスは一時的に利用できません""",
     # Cicero's filler as typesetters use it, HTML editors' default titles, sample texts of page builders, the metasyntactic variables, and their like in other languages
-    FILLER: """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae semper rutrum congue mollis porta justo felis massa augue tellus turpis dictum urna lacus
+    FILLER: """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae semper rutrum congue mollis porta justo felis massa augue tellus turpis dictum urna lacus neque porro quisquam dolorem quia adipisci perspiciatis unde omnis iste natus error voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae illo inventore veritatis quasi architecto beatae
 This is a sample paragraph. Replace this text with your own words.
 Sample text. Replace with your own content.
 Body copy will be added by the editor.
 Headline text block goes here.
 Your text goes here. Add your content here.
+Placeholder text. Insert text here.
 foo bar baz qux qwer asdf qwerty test xxx bla
 Untitled Document
 Hier steht Blindtext. Dies ist ein Typoblindtext.
@@ -278,6 +309,11 @@ def surfaces(stems: frozenset[str] | set[str]) -> dict[str, str]:
     return {w: t for t in stems for e in ("", "s", "es", "e", "ed", "ing") if _STEMS[w := t + e] == t}
 
 
+def _masked(quotation: re.Match[str]) -> str:
+    """As many words that no exemplar has as a quotation has: what is quoted is no residue."""
+    return " " + "quotation " * max(3, quotation.group().count(" ") + 1)
+
+
 def may_be_unfilled(text: str) -> bool:
     """Whether an unfilled expression may begin somewhere in a text; most texts are told by the first look."""
     return ("{" in text or "[" in text or "<" in text or "__" in text or "%%" in text or "@@" in text or "&lt;" in text or "TODO" in text or "TBD" in text) and _MAYBE.search(text) is not None
@@ -402,7 +438,7 @@ class Exemplars:
             if len(self._units) > 100_000:
                 self._units.clear()
             out = []
-            for s in _ENDS.split(line):
+            for s in _ENDS.split(_QUOTES.sub(_masked, line)):
                 if s.strip():
                     own = tokens(s)
                     out.append((own, len(s.strip()), self.match(own)))
