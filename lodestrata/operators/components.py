@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.dedup import attach
+from lodestrata.operators.dedup import HOT_ROWS, attach
 from lodestrata.operators.ranking import top
 from lodestrata.sources.checkpoints import cut
 
@@ -21,20 +21,22 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     both = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
     alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node IS NOT NULL").distinct()
     links = cut(both.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    before = None
+    before, n = None, links.count()
     for _ in range(most_rounds):
+        # a node stands at most once on each link: only with more links than this can one be a hub
+        meet = attach if n > HOT_ROWS else lambda df, per, key, count: df.join(per.drop(count), key)
         # large star: the larger neighbours of a node, and itself, go to its smallest neighbour
         near = links.union(links.select("b", "a"))
         least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-        large = attach(near, least, ["a"], "_n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = meet(near, least, ["a"], "_n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
-        small = attach(large, low, ["a"], "_n")
+        small = meet(large, low, ["a"], "_n")
         links = cut(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     root = links.groupBy("a").agg(F.min("b").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lodestrata.functions.urls import hostname, is_private_host
 from lodestrata.operators.dedup import attach
 from lodestrata.operators.ranking import positions, top
+from lodestrata.sources.checkpoints import cut
 
 
 def schedule_links(links: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -126,6 +127,7 @@ def frontier_order(links: DataFrame, exploration_rate: float, jobs: DataFrame |
     if jobs is not None:
         modes = jobs.select(F.col("id").alias("crawl_job_id"), (F.col("crawl_mode") == "intelligent").alias("mode"))
         ranks = ranks.join(modes, "crawl_job_id", "left").withColumn("scored", F.coalesce("mode", F.lit(False)))
+    ranks = cut(ranks)  # read twice
     per = ranks.groupBy("crawl_job_id", "score").agg((F.min("best_first") - 1).alias("better"), (F.min("worst_first") - 1).alias("worse"), F.count("*").alias("_n"))
     ranks = attach(ranks, per.withColumn("size", F.col("_n")), ["crawl_job_id", "score"], "_n")
     n, a, b = (F.col(c).cast("long") for c in ("frontier", "better", "worse"))
