@@ -200,7 +200,7 @@ def with_arrays(texts: DataFrame, values: DataFrame, totals: DataFrame, what: st
     if values.count() <= most_broadcast:
         return texts.join(F.broadcast(arrays), "site", "left")
     big = totals.where(F.col("site_rows") > SLICE_ROWS).select("site", F.ceil(F.col("site_rows") / SLICE_ROWS).cast("int").alias("slices"))
-    left = texts.join(big, "site", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("slices"))).cast("int")).drop("slices")
+    left = texts.join(big, "site", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("slices"))).cast("int")).drop("slices")
     right = arrays.join(big, "site", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1))).drop("slices")
     return left.join(right, ["site", "slice"], "left").drop("slice")
 
