@@ -254,12 +254,12 @@ def passage_set_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT crawl_job_id, selected_for_crawl AS selected, count(*) AS links, round(count(DISTINCT regexp_extract(normalized_target_url, '^[a-z]+://([^/?#:]*)', 1)) / count(normalized_target_url), 6) AS unique_domains,
-  round(avg(relevance_score), 6) AS mean_relevance, min(relevance_score) AS least, max(relevance_score) AS most FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL""")
+  CAST(sum(round(relevance_score * 10000)) AS BIGINT) AS relevance_e4, count(relevance_score) AS scored, min(relevance_score) AS least, max(relevance_score) AS most FROM discovered_links WHERE normalized_target_url IS NOT NULL GROUP BY ALL""")
 def seed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected links against the others: how relevant, and from how many domains."""
+    """Selected links against the others: how relevant (the sum in ten-thousandths, which is exact), and from how many domains."""
     links = table(spark, sf_dir, "discovered_links").where("normalized_target_url IS NOT NULL")
     host = F.regexp_extract("normalized_target_url", "^[a-z]+://([^/?#:]*)", 1)
-    return links.groupBy("crawl_job_id", F.col("selected_for_crawl").alias("selected")).agg(F.count("*").alias("links"), F.round(F.count_distinct(host) / F.count("*"), 6).alias("unique_domains"), F.round(F.avg("relevance_score"), 6).alias("mean_relevance"), F.min("relevance_score").alias("least"), F.max("relevance_score").alias("most"))
+    return links.groupBy("crawl_job_id", F.col("selected_for_crawl").alias("selected")).agg(F.count("*").alias("links"), F.round(F.count_distinct(host) / F.count("*"), 6).alias("unique_domains"), F.sum(F.round(F.col("relevance_score") * 10000).cast("long")).alias("relevance_e4"), F.count("relevance_score").alias("scored"), F.min("relevance_score").alias("least"), F.max("relevance_score").alias("most"))
 
 
 @query("""
