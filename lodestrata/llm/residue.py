@@ -74,7 +74,7 @@ Loading... Please wait. If nothing happens, enable scripts and reload the page.
 Allow scripts and reload the page.
 Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite zu sehen.
 Für diese Anwendung wird JavaScript benötigt.
-Diese Anwendung benötigt Skripte.
+Diese Anwendung benötigt JavaScript und Skripte.
 Veuillez activer JavaScript pour utiliser cette application.
 Veuillez activer JavaScript pour afficher cette page.
 Ce site nécessite JavaScript.
@@ -224,7 +224,7 @@ Nie znaleziono strony
 404 ページが見つかりません
 お探しのページが見つかりません
 ページが見つかりませんでした。
-ただいまアクセスできません。しばらくお待ちください。
+現在アクセスできません。しばらくお待ちください。
 しばらくしてからもう一度お試しください。
 アクセスが拒否されました
 サービスは一時的に利用できません""",
