@@ -21,12 +21,16 @@ def attach(df: DataFrame, per_key: DataFrame, key: list[str], count: str, hot_ro
     """``df`` with the columns of ``per_key``, one row for each key, of which ``count`` counts the rows of ``df``; a left join.
 
     Keys of more than ``hot_rows`` rows (a ``hot_rows``-th part of all rows at most) go to all tasks, and their rows stay
-    where they are: for the join of the rest they get a key of their own each, so no task receives a hot key.
+    where they are: for the join of the rest they get a key of their own each, as do rows without a key, so no task receives
+    a hot key.
     """
     values = [c for c in per_key.columns if c not in key and c != count]
     hot = per_key.where(F.col(count) > hot_rows).select(*key, F.struct(*values).alias("_hot"))
     cold = per_key.where(F.col(count) <= hot_rows).select(*key, F.lit(0).cast("long").alias("_apart"), F.struct(*values).alias("_cold"))
-    marked = df.join(F.broadcast(hot), key, "left").withColumn("_apart", F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(0))
+    alone = F.col("_hot").isNotNull()
+    for k in key:
+        alone = alone | F.col(k).isNull()
+    marked = df.join(F.broadcast(hot), key, "left").withColumn("_apart", F.when(alone, F.monotonically_increasing_id() + 1).otherwise(0))
     joined = marked.join(cold, [*key, "_apart"], "left").withColumn("_both", F.coalesce("_hot", "_cold"))
     return joined.select(*df.columns, *[F.col(f"_both.{c}").alias(c) for c in values])
 
