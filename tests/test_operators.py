@@ -175,6 +175,57 @@ def test_listed_paths(spark):
     assert {k: sorted(v) for k, v in got.items()} == {("n0", "n2"): [["e1", "e3"], ["e2", "e3"]], ("n0", "n5"): [["e1", "e3", "e6", "e7"], ["e2", "e3", "e6", "e7"]], ("n1", "n1"): [[]]}
 
 
+def _carried(monkeypatch):
+    """Rows of each table that a search cuts."""
+    rows, cut = [], components.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    return rows
+
+
+FAN_EDGES = [(f"{end}{i}", *(("s", f"m{i}") if end == "a" else (f"m{i}", f"t{i}"))) for i in range(40) for end in "ab"]
+FAN_PAIRS = [("s", f"t{i}") for i in range(40)]
+
+
+def test_listed_paths_of_a_source_share_the_search(spark, monkeypatch):
+    rows = _carried(monkeypatch)
+    e, pairs = spark.createDataFrame(FAN_EDGES, "edge_id string, src string, dst string"), spark.createDataFrame(FAN_PAIRS, "source string, target string")
+    got = {(r.source, r.target): (r.path, r.hops) for r in components.list_paths(e, pairs, 3, 3).collect()}
+    assert got == {("s", f"t{i}"): ([f"a{i}", f"b{i}"], 2) for i in range(40)}
+    assert sum(rows) < 200
+
+
+def _all_paths(edges, source, most_hops):
+    """The shortest paths from a node to each other, as edge ids."""
+    best, level = {source: [()]}, {source: [()]}
+    for _ in range(most_hops):
+        new = {}
+        for e, a, b in edges:
+            if a in level and b not in best:
+                new.setdefault(b, []).extend((*p, e) for p in level[a])
+        best |= new
+        level = new
+    return best
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_listed_paths_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_FRONT", small, raising=False)
+    rng = random.Random(8)
+    edges = [(f"e{i:02}", f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for i in range(34)]
+    ends = [(f"n{a}", f"n{b}") for a in range(0, 14, 2) for b in range(14)] + [("n0", "n0"), ("n2", "n5"), ("n0", "none"), (None, "n1"), ("n1", None)]
+    pairs = spark.createDataFrame(ends, "source string, target string")
+    got = sorted((r.source, r.target, tuple(r.path), r.hops) for r in components.list_paths(spark.createDataFrame(edges, "edge_id string, src string, dst string"), pairs, 3, 2).collect())
+    want = sorted((a, b, p, len(p)) for a, b in set(ends) if a for p in sorted(_all_paths(edges, a, 3).get(b, []))[:2])
+    assert {h for *_, h in want} == {0, 1, 2, 3}
+    assert got == want
+
+
 def test_snapshots_are_replaced_verified_and_dropped(spark, tmp_path):
     from lodestrata.sources.snapshots import Snapshots
 
