@@ -226,6 +226,28 @@ def test_listed_paths_against_brute_force(spark, monkeypatch, small):
     assert got == want
 
 
+def test_counted_paths_of_a_source_share_the_search(spark, monkeypatch):
+    rows = _carried(monkeypatch)
+    e, pairs = spark.createDataFrame(FAN_EDGES, "edge_id string, src string, dst string"), spark.createDataFrame(FAN_PAIRS, "source string, target string")
+    got = sorted(map(tuple, components.shortest_paths(e, pairs, 3).collect()))
+    assert got == sorted(("s", f"t{i}", 2, 1) for i in range(40))
+    assert sum(rows) < 200
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_counted_paths_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_FRONT", small, raising=False)
+    rng = random.Random(9)
+    edges = [(f"e{i:02}", f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for i in range(34)]
+    edges += [(f"f{i:02}", a, b) for i, (_, a, b) in enumerate(edges[:12])]
+    ends = [(f"n{a}", f"n{b}") for a in range(0, 14, 2) for b in range(14)] + [("n0", "n0"), ("n2", "n5"), ("n0", "none"), (None, "n1"), ("n1", None)]
+    pairs = spark.createDataFrame(ends, "source string, target string")
+    got = sorted(map(tuple, components.shortest_paths(spark.createDataFrame(edges, "edge_id string, src string, dst string"), pairs, 3).collect()))
+    want = sorted((a, b, len(ways[0]), len(ways)) for a, b in set(ends) if a and (ways := _all_paths(edges, a, 3).get(b)))
+    assert {h for _, _, h, _ in want} == {0, 1, 2, 3} and max(n for *_, n in want) > 3
+    assert got == want
+
+
 def test_snapshots_are_replaced_verified_and_dropped(spark, tmp_path):
     from lodestrata.sources.snapshots import Snapshots
 
