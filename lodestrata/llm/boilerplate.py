@@ -14,6 +14,7 @@ written to the shared folder and gives both the repeated lines of each site and
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import furniture as K
 from lodestrata.llm.codepoints import map_text
-from lodestrata.llm.repeated_lines import Lines, site_of, standing_numbers, with_arrays
+from lodestrata.llm.repeated_lines import site_of, standing_numbers, with_arrays
 from lodestrata.llm.residue import EXEMPLARS, SCRIPT, Exemplars, surfaces, token_set, tokens
 from lodestrata.sources.checkpoints import cut
 
@@ -39,67 +40,106 @@ LINE, PART, SINGLE, LEAD, TOKEN = 0, 1, 2, 3, 4
 USES, ALL_USES = 10, 20
 
 
+_INDENTS = (" ", "\t")
+
 #: What a task has found for the lines it has met.
 _FEATURES: dict[str, tuple[list[int], list[int], list[int]]] = {}
 
 
+class Forms:
+    """The lines of a block of texts: their normal ``forms`` by text; ``row``, ``no`` (from 1) and ``hash`` of those with three letters, as ``Lines`` has them but with a hash of their own; ``distinct`` forms by their ``keys``, and ``which`` of them each line is."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.forms = [[x.strip(" ") for x in K.normal(t).split("\n")] if t else [""] for t in texts]
+        known: dict[str, int] = {"": -1}
+        self.distinct: list[str] = []
+        rows, nos, which = [], [], []
+        for row, own in enumerate(self.forms):
+            for no, form in enumerate(own, 1):
+                k = known.get(form)
+                if k is None:
+                    k = known[form] = len(self.distinct) if three_letters(form) else -1
+                    if k >= 0:
+                        self.distinct.append(form)
+                if k >= 0:
+                    rows.append(row)
+                    nos.append(no)
+                    which.append(k)
+        self.row, self.no, self.which = (np.array(x, np.int64) for x in (rows, nos, which))
+        keys = np.fromiter((K.key("line", x) for x in self.distinct), np.int64, len(self.distinct))
+        order = np.argsort(keys)
+        self.keys, self.distinct = keys[order], [self.distinct[k] for k in order.tolist()]
+        self.which = np.argsort(order)[self.which]
+        self.hash = self.keys[self.which]
+
+
+def three_letters(form: str) -> bool:
+    return form[:3].isalpha() and len(form) > 2 or sum(map(str.isalpha, form[:20])) > 2 or sum(map(str.isalpha, form)) > 2
+
+
 def page_features(block: pa.RecordBatch, vocabulary: dict[str, str]) -> pa.RecordBatch:
     """site, sort, line, feature, n: the pages of the block that hold each; leading words are counted apart from their lines, tokens apart from sites."""
     texts = block.column("text").to_pylist()
-    lines = Lines(texts)
-    forms = [t.split("\n") for t in lines.normal]
-    at: list[int] = []
-    sorts: list[int] = []
-    hashes: list[int] = []
-    found: list[int] = []
-    page, seen, leads = -1, set(), set()
-    known = _FEATURES
-    if len(known) > 200_000:
-        known.clear()
-    for row, no, h in zip(lines.row.tolist(), lines.no.tolist(), lines.hash.tolist(), strict=True):
-        if row != page:
-            page, seen, leads = row, set(), set()
-        if h in seen:
-            continue
-        seen.add(h)
-        form = forms[row][no - 1].strip(" ")
-        own = known.get(form)
-        if own is None:
-            own = K.features(form)
-            if any(own):
-                known[form] = own
-        a, b, c = own
-        c = [k for k in c if k not in leads]
-        leads.update(c)
-        n, m = len(a), len(b)
-        at += [row] * (1 + n + m + len(c))
-        sorts += [LINE] + [PART] * n + [SINGLE] * m + [LEAD] * len(c)
-        hashes += [h] * (1 + n + m) + [0] * len(c)
-        found += [0, *a, *b, *c]
+    lines = Forms(texts)
     sites = block.column("site").dictionary_encode()
-    code = np.asarray(sites.indices.fill_null(-1))[at] if at else np.empty(0, np.int64)
-    sort, line, feature = (np.array(x, np.int64) for x in (sorts, hashes, found))
-    good = code >= 0
-    code, sort, line, feature = (x[good] for x in (code, sort, line, feature))
-    order = np.lexsort((feature, line, sort, code))
-    code, sort, line, feature = (x[order] for x in (code, sort, line, feature))
-    new = np.ones(len(code), np.bool_)
-    new[1:] = (code[1:] != code[:-1]) | (feature[1:] != feature[:-1]) | (line[1:] != line[:-1]) | (sort[1:] != sort[:-1])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(code)))
+    code = np.asarray(sites.indices.fill_null(-1)).astype(np.int64)
+    good = code[lines.row] >= 0
+    # each distinct line is taken apart once, each page that holds it counts once
+    own = [_features(form) for form in lines.distinct]
+    page, which = _distinct(lines.row[good], lines.which[good], len(own))
+    pairs, held = _distinct(code[page], which, len(own), counts := [])
+    columns = [[pairs], [np.full(len(pairs), LINE)], [lines.keys[held]], [np.zeros(len(pairs), np.int64)], counts]
+    for sort, values in ((PART, [x[0] for x in own]), (SINGLE, [x[1] for x in own])):
+        again, feature = _expanded(values, held)
+        for column, x in zip(columns, (pairs[again], np.full(len(again), sort), lines.keys[held[again]], feature, counts[0][again]), strict=True):
+            column.append(x)
+    again, feature = _expanded([x[2] for x in own], which)
+    leads, which = np.unique(feature, return_inverse=True)
+    page, which = _distinct(page[again], which, len(leads))
+    pairs, held = _distinct(code[page], which, len(leads), counts)
+    for column, x in zip(columns, (pairs, np.full(len(pairs), LEAD), np.zeros(len(pairs), np.int64), leads[held]), strict=False):
+        column.append(x)
     seen_tokens: Counter[str] = Counter({"": sum(map(bool, texts))})
-    for t in texts:
+    for t, forms in zip(texts, lines.forms, strict=True):
         if t:
-            seen_tokens.update(token_set(t, vocabulary))
+            seen_tokens.update(token_set(t, vocabulary, "\n".join(forms)))
     extra = len(seen_tokens)
-    columns = [
-        pa.concat_arrays([sites.dictionary.take(pa.array(code[first])), pa.nulls(extra, pa.string())]),
-        pa.array(np.append(sort[first], np.full(extra, TOKEN)).astype(np.int8)),
-        pa.array(np.append(line[first], np.zeros(extra, np.int64))),
-        pa.array(np.append(feature[first], np.fromiter((K.key("token", t) for t in seen_tokens), np.int64, extra))),
-        pa.array(np.append(n, np.fromiter(seen_tokens.values(), np.int64, extra))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["site", "sort", "line", "feature", "n"])
+    columns[1].append(np.full(extra, TOKEN))
+    columns[2].append(np.zeros(extra, np.int64))
+    columns[3].append(np.fromiter((K.key("token", t) for t in seen_tokens), np.int64, extra))
+    columns[4].append(np.fromiter(seen_tokens.values(), np.int64, extra))
+    code, sort, line, feature, n = map(np.concatenate, columns)
+    site = pa.concat_arrays([sites.dictionary.take(pa.array(code)), pa.nulls(extra, pa.string())])
+    return pa.RecordBatch.from_arrays([site, pa.array(sort.astype(np.int8)), pa.array(line), pa.array(feature), pa.array(n)], ["site", "sort", "line", "feature", "n"])
+
+
+def _features(form: str) -> tuple[list[int], list[int], list[int]]:
+    own = _FEATURES.get(form)
+    if own is None:
+        if len(_FEATURES) > 200_000:
+            _FEATURES.clear()
+        own = K.features(form)
+        if any(own):
+            _FEATURES[form] = own
+    return own
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, many: int, counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two arrays, the second of numbers below ``many``; how often each is there is added to ``counts``."""
+    both, n = np.unique(a * many + b, return_counts=True)
+    if counts is not None:
+        counts.append(n)
+    return both // max(1, many), both % max(1, many)
+
+
+def _expanded(values: list[list[int]], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``which`` its list of values, all in a row, and the place in ``which`` that each comes from."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    flat = np.fromiter(chain.from_iterable(values), np.int64, int(size.sum()))
+    first = np.cumsum(size) - size
+    many = size[which]
+    again = np.repeat(np.arange(len(which)), many)
+    return again, flat[np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[which], many)]
 
 
 class Crawl:
@@ -136,30 +176,31 @@ class Classifier:
     def __init__(self, exemplars: Exemplars, labels: K.Labels) -> None:
         self.exemplars, self.labels = exemplars, labels
 
-    def label(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None, normal: str | None = None) -> list[bool | None]:
+    def label(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None, forms: list[str] | None = None) -> list[bool | None]:
         """For each line whether it belongs to the article; None for blank ones. ``standing`` holds the numbers, from 1, of the lines the site repeats."""
-        return [None if w is None else good for good, w in self.reasons(lines, title, standing, residue, normal)]
+        return [None if w is None else good for good, w in self.reasons(lines, title, standing, residue, forms)]
 
-    def reasons(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None, normal: str | None = None) -> list[tuple[bool | None, str | None]]:
-        """(article, what decided it) of each line; ``residue`` and the ``normal`` text are computed if they are not given."""
+    def reasons(self, lines: list[str], title: str | None, standing: set[int], residue: list[str | None] | None = None, forms: list[str] | None = None) -> list[tuple[bool | None, str | None]]:
+        """(article, what decided it) of each line; ``residue`` and the normal ``forms`` are computed if they are not given."""
         n = len(lines)
-        residue = self.exemplars.of_lines(lines) if residue is None else residue
-        forms = [x.strip(" ") for x in (K.normal("\n".join(lines)) if normal is None else normal).split("\n")]
+        forms = [x.strip(" ") for x in K.normal("\n".join(lines)).split("\n")] if forms is None else forms
+        residue = self.exemplars.of_lines(lines, forms) if residue is None else residue
         headline = K.skeleton(K.normal(title or "").strip(" ")).strip(" .,:;*-+#|/>()[]!?•·\"'")
         kinds: list[str | None] = [None] * n
         why: list[str | None] = [None] * n
         for i, form in enumerate(forms):
-            if not form.strip():
+            if not form or form.isspace():
                 continue
             if residue[i]:
                 kinds[i], why[i] = K.GOOD, "residue"
             elif i + 1 in standing:
                 kinds[i], why[i] = K.BAD, "repeated by the site"
             else:
-                kinds[i], why[i], s = self.labels.first_pass(form)
-                if kinds[i] not in (K.BAD, K.NEAR) and headline and why[i] != "structure" and (t := K.title_part(s, headline)):
+                kind, reason, s = self.labels.first_pass(form)
+                kinds[i], why[i] = kind, reason
+                if headline and headline[:5] in s and kind not in (K.BAD, K.NEAR) and reason != "structure" and (t := K.title_part(s, headline)):
                     kinds[i], why[i] = (K.GOOD, "the title") if t == "whole" else (K.BAD, "trail to the title")
-                elif kinds[i] in (K.SHORT, K.LINK, K.NEAR) and lines[i].startswith(("    ", "\t")):
+                elif lines[i][:1] in _INDENTS and kind in (K.SHORT, K.LINK, K.NEAR) and lines[i].startswith(("    ", "\t")):
                     kinds[i], why[i] = K.GOOD, "structure"
         self._notices(lines, kinds, why, residue)
         return self._inherit(lines, forms, kinds, why)
@@ -177,31 +218,33 @@ class Classifier:
         n = len(lines)
         before: list[str | None] = [None] * n
         after: list[str | None] = [None] * n
-        later = [False] * n  # whether article follows
-        for beside, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-            last: str | None = None
-            body = False
-            for i in order:
-                beside[i] = last
-                if beside is after:
-                    later[i] = body
-                if kinds[i] in (K.GOOD, K.BAD):
-                    last = kinds[i]
-                    body = body or last == K.GOOD
+        last = None
+        for i, k in enumerate(kinds):
+            before[i] = last
+            if k == K.GOOD or k == K.BAD:
+                last = k
+        last, body = None, -1  # the last line that is article
+        for i in range(n - 1, -1, -1):
+            after[i] = last
+            k = kinds[i]
+            if k == K.GOOD or k == K.BAD:
+                last = k
+                if body < 0 and k == K.GOOD:
+                    body = i
         out: list[tuple[bool | None, str | None]] = []
         begun = False
         for i, k in enumerate(kinds):
             if k is None:
                 out.append((None, None))
                 continue
-            if k in (K.GOOD, K.BAD):
+            if k == K.GOOD or k == K.BAD:
                 good = k == K.GOOD
             elif i and out[i - 1][0] and lines[i].lstrip()[:1].islower() and not forms[i - 1].endswith(K.END):
                 good = True  # a wrapped line goes on
             else:
                 sides = {x for x in (before[i], after[i]) if x}
                 if len(sides) == 1:
-                    good = sides != {K.BAD} or k == K.SHORT and before[i] is not None and not begun and later[i]
+                    good = sides != {K.BAD} or k == K.SHORT and before[i] is not None and not begun and body > i
                 else:  # what is said by somebody after the article is a comment
                     good = not sides or k == K.SHORT or k == K.NEAR and before[i] == K.BAD
             begun = begun or k == K.GOOD
@@ -234,9 +277,9 @@ def line_labels(pages: DataFrame, **columns: str) -> DataFrame:
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         at, no, article = [], [], []
         title, text = (block.column(c).to_pylist() for c in ("title", "text"))
-        lines = Lines(text)
+        lines = Forms(text)
         for k, own in enumerate(standing_numbers(text, block.column("hot"), lines)):
-            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], own, normal=lines.normal[k])):
+            for i, good in enumerate(classifier.label(text[k].split("\n"), title[k], own, forms=lines.forms[k])):
                 if good is not None:
                     at.append(k)
                     no.append(i + 1)
@@ -262,14 +305,14 @@ def articles(pages: DataFrame, **columns: str) -> DataFrame:
         title, text = (block.column(c).to_pylist() for c in ("title", "text"))
         kept: list[str | None] = []
         removed: list[int] = []
-        normal = Lines(text)
+        normal = Forms(text)
         for k, own in enumerate(standing_numbers(text, block.column("hot"), normal)):
             if text[k] is None:
                 kept.append(None)
                 removed.append(0)
                 continue
             lines = text[k].split("\n")
-            labels = classifier.label(lines, title[k], own, normal=normal.normal[k])
+            labels = classifier.label(lines, title[k], own, forms=normal.forms[k])
             kept.append("\n".join(x for x, good in zip(lines, labels, strict=True) if good is not False))
             removed.append(sum(good is False for good in labels))
         return pa.RecordBatch.from_arrays([block.column("page_id"), pa.array(kept, pa.string()), pa.array(removed, pa.int32())], ["page_id", "text", "removed_lines"])

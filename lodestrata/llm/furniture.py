@@ -27,6 +27,8 @@ STOP = frozenset("the of and to in a is that it for was on are as with his they
     "o os e da do em um uma no na que com não mais as dos como mas foi ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela entre depois "
     "и в не на я что тот быть с а весь это как она по но они к у ты из мы за вы так же от сказать этот который мочь человек о один еще бы такой только себя свое какой когда уже для вот кто да говорить год в во до без после том".split())
 
+_PLAIN_STOP = frozenset(w.encode("ascii") for w in STOP if w.isascii())
+
 #: Longest line that is taken apart, longest line whose opening and shape count, in characters of the normal form.
 PART_CHARS, SHORT_CHARS = 100, 60
 #: Least share of all counted parts that one needs to become a label: there are at most 100,000 labels.
@@ -36,9 +38,10 @@ RATE = {"part": 0.2, "lead": 0.5, "opening": 0.1, "shape": 0.1}
 
 _LETTERS = re.compile("[A-Za-z][^A-Za-z]*[A-Za-z]")
 _PARTS = re.compile(r"[|>/:]+|(?<= )-+(?= )|(?<=[.!?]) ")
-_BARS, _DASHES = re.compile("[•·›»→]"), re.compile("[–—]")
+_SIGNS = (">", "/", ":", " - ", ". ", "! ", "? ")
+_PLAIN = (*((sign, "|") for sign in "•·›»→"), ("–", "-"), ("—", "-"), ("：", ":"))
 _EDGE = " .,:;*-+#|/>()[]!?•·\"'"
-_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
+_APART = bytes(c if c < 128 and chr(c).isalpha() else 32 for c in range(256))
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile("[぀-ヿ]")
 END = (".", "!", "?", "。", "！", "？", "…", '."', ".”", ".)", '!"', '?"', "!”", "?”", "！」", "。」")
@@ -57,8 +60,10 @@ def skeleton(form: str) -> str:
     """The ASCII characters of a form, or the form itself if these are the smaller part or hold hardly a letter; separators of any script become ``|``, dashes ``-``."""
     if form.isascii():
         return form
-    form = _DASHES.sub("-", _BARS.sub("|", form)).replace("：", ":")
-    s = " ".join(form.encode("ascii", "ignore").decode().split())
+    for sign, plain in _PLAIN:
+        if sign in form:
+            form = form.replace(sign, plain)
+    s = " ".join(form.encode("ascii", "ignore").decode("ascii").split())
     return s if len(s) > 0.4 * len(form) and _LETTERS.search(s) else form
 
 
@@ -68,19 +73,23 @@ def is_divided(s: str) -> bool:
 
 
 def parts(s: str) -> list[str]:
-    """The parts of a skeleton between separators and sentence ends."""
-    if not is_divided(s):
-        whole = s.strip(_EDGE)
-        return [whole] if whole else []
-    return [x for x in (y.strip(_EDGE) for y in _PARTS.split(s)) if x]
+    """The parts of a skeleton between separators and sentence ends, as ``_PARTS`` has them; marks at their ends are cut off, so plain replacement tells them apart."""
+    if " --" in s:
+        split = _PARTS.split(s)
+    else:
+        for sign in _SIGNS:
+            if sign in s:
+                s = s.replace(sign, "|")
+        split = s.split("|")
+    return [x for x in [y.strip(_EDGE) for y in split] if x]
 
 
 def is_structure(form: str) -> bool:
     """A line with the marks of a heading, list item, table row, quotation, caption, reference or question; tags, as lists of single words without common ones, are none."""
     if form.count("|") >= 2:
         return True
-    m = _STRUCTURE.match(form)
-    if not m:
+    first = form[:1]
+    if first.isalpha() and first not in "qaftQAFT" or not _STRUCTURE.match(form):
         return False
     return not ("," in form and "0" not in form and STOP.isdisjoint(form.translate(_COMMAS).split()))
 
@@ -161,7 +170,7 @@ class Labels:
         return sum([len(x) for x in split if x == "0" or self.holds(x)]) / total if total else 0.0
 
     def holds(self, part: str) -> bool:
-        return len(part) <= PART_CHARS and key("part", part) in self
+        return len(part) <= PART_CHARS and xxhash.xxh3_64_intdigest("part" + part) - (1 << 63) in (self._set or self.known)
 
     def first_pass(self, form: str) -> tuple[str, str, str]:
         """(class, reason, skeleton) of a line by itself, without its page's title and its site's repeated lines."""
@@ -178,29 +187,39 @@ class Labels:
         if split and self.density(s, split) >= 0.5:
             return BAD, "link density"
         structure = is_structure(form)
-        if len(split) > 1 and not structure:
-            crumbs = len(split) > 2 and len(_CRUMB.findall(s)) > 1
-            if (crumbs or len(form) <= 120 and ": " in s) and self.holds(split[0]):
-                return BAD, "led by a label"
-            if ": " in s and any(k in self for k in lead_of(s, form)) and STOP.isdisjoint(w.strip(_EDGE) for w in s.split(": ", 1)[1].split()):
-                return BAD, "list after a label"
-        if not structure and (any(k in self for k in opening_of(s, form)) or any(k in self for k in shape_of(s, form))):
-            return BAD, "opening or shape"
+        if not structure:
+            if len(split) > 1:
+                crumbs = len(split) > 2 and len(_CRUMB.findall(s)) > 1
+                if (crumbs or len(form) <= 120 and ": " in s) and self.holds(split[0]):
+                    return BAD, "led by a label"
+                if ": " in s and any(k in self for k in lead_of(s, form)) and STOP.isdisjoint(w.strip(_EDGE) for w in s.split(": ", 1)[1].split()):
+                    return BAD, "list after a label"
+            if len(form) <= SHORT_CHARS and (any(k in self for k in opening_of(s, form)) or any(k in self for k in shape_of(s, form))):
+                return BAD, "opening or shape"
         if structure:
             return GOOD, "structure"
-        words = form.translate(_APART).split() if form.isascii() else _WORD.findall(form)
-        density = sum(map(STOP.__contains__, words)) / max(1, len(words))
-        if not form.isascii():
-            kana = len(_KANA.findall(form)) / max(1, len(form))
-            density = max(density, 0.3 if kana > 0.25 else 0.1 if kana > 0.1 else 0.0)
         end = form.endswith(END)
-        if end and _ATTRIBUTED.match(form):
-            return NEAR, "inherited"
-        if end and (density >= 0.1 or len(form) > 80) or len(form) >= 75 and density >= 0.15:
+        if end:
+            if _ATTRIBUTED.match(form):
+                return NEAR, "inherited"
+            if len(form) > 80:  # however dense
+                return GOOD, "stop-word density"
+        density = common_share(form)
+        if end and density >= 0.1 or len(form) >= 75 and density >= 0.15:
             return GOOD, "stop-word density"
         return (LINK if density == 0 and len(form) <= SHORT_CHARS else SHORT), "inherited"
 
 
+def common_share(form: str) -> float:
+    """The share of common words in a form; of Japanese, which parts no words, by its syllable signs."""
+    if form.isascii():
+        plain = form.encode("ascii").translate(_APART).split()
+        return sum(map(_PLAIN_STOP.__contains__, plain)) / max(1, len(plain))
+    words = _WORD.findall(form)
+    kana = len(_KANA.findall(form)) / max(1, len(form))
+    return max(sum(map(STOP.__contains__, words)) / max(1, len(words)), 0.3 if kana > 0.25 else 0.1 if kana > 0.1 else 0.0)
+
+
 def title_part(s: str, title: str) -> str | None:
     """``whole`` if a line is the page's title, ``trail`` if it ends with it after other parts, else None; both as skeletons without marks at their ends."""
     if len(title) < 5 or title[:5] not in s:

@@ -14,8 +14,6 @@ as one array per site: to all tasks while the arrays are small in all, else by a
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +28,7 @@ MOST_BROADCAST = 1_000_000
 #: Rows of a site that are joined with its array in one slice, where arrays are not broadcast.
 SLICE_ROWS = 50_000
 
-_DIGITS, _BLANKS = re.compile("[0-9]+"), re.compile("[ \t\r]{2,}|[\t\r]")
+_ALIKE = bytes.maketrans(b"123456789\t\r", b"000000000  ")
 
 
 def site_of(url: Column) -> Column:
@@ -41,15 +39,18 @@ def site_of(url: Column) -> Column:
 
 def normal_text(text: str) -> str:
     """Lower case, one sign for each run of digits, one blank for each run of blanks."""
-    low = _DIGITS.sub("0", text.lower())
-    return _BLANKS.sub(" ", low) if "  " in low or "\r" in low or "\t" in low else low
+    low = text.lower().encode("utf-8", "surrogatepass").translate(_ALIKE)  # bytes of these values are ASCII characters in UTF-8
+    for twice, once in ((b"00", b"0"), (b"  ", b" ")):
+        while twice in low:
+            low = low.replace(twice, once)
+    return low.decode("utf-8", "surrogatepass")
 
 
 class Lines:
-    """The lines of a block of texts: ``row``, ``no`` (from 1), ``hash`` of the normal form, and their chunks; ``normal`` texts, blanks at the ends of lines not yet cut."""
+    """The lines of a block of texts: ``row``, ``no`` (from 1), ``hash`` of the normal form, and their chunks."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        normal = self.normal = [normal_text(t) if t else "" for t in texts]
+        normal = [normal_text(t) if t else "" for t in texts]
         counts = np.fromiter((t.count("\n") + 1 for t in normal), np.int64, len(normal))
         points = to_array("\n".join(normal) + "\n")
         # a space at either end of a line does not count

@@ -267,10 +267,13 @@ _CLASSES = {
 }
 _UNFILLED = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _CLASSES.items()), re.I)
 _MAYBE = re.compile(r"[{$#]\{|\{%|\[\[|\[[A-Za-z]|<[A-Za-z%]|&lt;|%%|@@|__|TODO|TBD")
-_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+_APART = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 _OTHER, _CYRILLIC, _WIDE = re.compile("[Ѐ-ӿ぀-ヿ一-鿿]"), re.compile("[Ѐ-ӿ]+"), re.compile("[぀-ヿ一-鿿]+")
+#: Bytes that characters of these scripts begin with.
+_LEADS = bytes([*range(0xD0, 0xD4), *range(0xE3, 0xEA)])
 _QUOTES = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|「[^」\n]*」")
 _ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+_STOPS = (". ", "! ", "? ", "… ", "。", "！", "？")
 
 
 _ENDINGS = re.compile("(?<=...)(?:ing|ed|es|s|e)$")
@@ -289,11 +292,12 @@ _STEMS = _Stems()
 
 def _raw(text: str) -> list[str]:
     """Words in lower case, without accented letters or what a wrong encoding made of them; of Japanese, pairs of characters."""
-    low = text.lower()
-    if low.isascii():
-        return low.translate(_APART).split()
-    out = low.encode("ascii", "ignore").decode().translate(_APART).split()
-    if _OTHER.search(low):
+    return _apart(text.lower())
+
+
+def _apart(low: str) -> list[str]:
+    out = low.encode("ascii", "ignore").translate(_APART).decode("ascii").split()
+    if not low.isascii() and len(b := low.encode("utf-8", "surrogatepass")) > len(b.translate(None, _LEADS)) and _OTHER.search(low):
         out += _CYRILLIC.findall(low)
         out += [w[i:i + 2] for w in _WIDE.findall(low) for i in range(max(1, len(w) - 1))]
     return out
@@ -314,6 +318,18 @@ def _masked(quotation: re.Match[str]) -> str:
     return " " + "quotation " * max(3, quotation.group().count(" ") + 1)
 
 
+def sentences(line: str) -> list[str]:
+    """The sentences of a line as ``_ENDS`` parts them, but for blanks at their ends, quotations masked."""
+    if not line.isascii() or "`" in line or '"' in line:
+        line = _QUOTES.sub(_masked, line)
+    if not line.isprintable():  # white space other than blanks
+        return _ENDS.split(line)
+    for end in _STOPS[:3] if line.isascii() else _STOPS:
+        if end in line:
+            line = line.replace(end, end + "\n")
+    return line.split("\n")
+
+
 def may_be_unfilled(text: str) -> bool:
     """Whether an unfilled expression may begin somewhere in a text; most texts are told by the first look."""
     return ("{" in text or "[" in text or "<" in text or "__" in text or "%%" in text or "@@" in text or "&lt;" in text or "TODO" in text or "TBD" in text) and _MAYBE.search(text) is not None
@@ -332,9 +348,9 @@ def unfilled_expressions(text: str) -> list[re.Match[str]]:
     return out
 
 
-def token_set(text: str, known: dict[str, str]) -> set[str]:
-    """The distinct tokens of a text that are among ``known``, as ``surfaces`` gives them, and its unfilled expressions."""
-    out = {known[w] for w in known.keys() & set(_raw(text))}
+def token_set(text: str, known: dict[str, str], normal: str | None = None) -> set[str]:
+    """The distinct tokens of a text that are among ``known``, as ``surfaces`` gives them, and its unfilled expressions; the ``normal`` form of its lines has the same words, but for those with digits, which no exemplar has."""
+    out = {known[w] for w in known.keys() & (_raw(text) if normal is None else _apart(normal))}
     out.update([f"<{m.lastgroup}>" for m in unfilled_expressions(text)])
     return out
 
@@ -371,6 +387,8 @@ class Exemplars:
         self._units: dict[str, tuple[tuple[list[str], int, str | None], ...]] = {}
         #: By which exemplars are retrieved: the heaviest tokens of each, without one of which too little of it would be held.
         self.anchors = surfaces({t for k in range(len(self.sets)) for t in self._rarer(k)})
+        #: Weights of words as they stand.
+        self._weigh = {w: self.weight(t) for w, t in surfaces(self.index.keys()).items()}
 
     def _rarer(self, k: int) -> list[str]:
         if self.bags[k]:  # any heavy word of the bag
@@ -438,20 +456,26 @@ class Exemplars:
             if len(self._units) > 100_000:
                 self._units.clear()
             out = []
-            for s in _ENDS.split(_QUOTES.sub(_masked, line)):
-                if s.strip():
-                    own = tokens(s)
-                    out.append((own, len(s.strip()), self.match(own)))
+            maybe = may_be_unfilled(line)
+            for s in sentences(line):
+                if size := len(s.strip()):
+                    own = tokens(s) if maybe or self._worth(_raw(s)) else []
+                    out.append((own, size, self.match(own) if own else None))
             known = self._units[line] = tuple(out)
         return known
 
+    def _worth(self, words: list[str]) -> bool:
+        """Whether a sentence of these words may be hopeful; a hair's breadth for sums in another order. Most sentences end here, without their tokens."""
+        known = [self._weigh[w] for w in words if w in self._weigh]
+        return sum(known) >= (COVERAGE - 1e-6) * (sum(known) + self.other * (sum(map(str.isalpha, words)) - len(known)))
+
     def _hopeful(self, own: list[str]) -> bool:
         """Whether all exemplars together hold enough of a sentence for it to be a part of a window."""
         known = sum([self.weight(t) for t in own if t in self.index])
         return bool(own) and known >= COVERAGE * (known + self.other * sum(t not in self.index for t in own))
 
-    def of_lines(self, lines: list[str]) -> list[str | None]:
-        """The kind of residue each line is, if windows of residue cover most of it; windows do not go over blank lines."""
+    def of_lines(self, lines: list[str], forms: list[str] | None = None) -> list[str | None]:
+        """The kind of residue each line is, if windows of residue cover most of it; windows do not go over blank lines. ``forms`` are the lines in lower case or normal."""
         out: list[str | None] = [None] * len(lines)
         run: list[tuple[int, list[str], int, str | None]] = []
 
@@ -476,9 +500,11 @@ class Exemplars:
 
         text = "\n".join(lines)
         maybe = may_be_unfilled(text)
-        if not maybe and self.anchors.keys().isdisjoint(_raw(text)):
+        low = text.lower() if forms is None else "\n".join(forms)
+        anchors = self.anchors.keys() & _apart(low)
+        if not maybe and not anchors:
             return out
-        held = [bool(line) and (not self.anchors.keys().isdisjoint(_raw(line)) or maybe and may_be_unfilled(line)) for line in lines]
+        held = [self._anchored(form, anchors) or maybe and may_be_unfilled(line) for line, form in zip(lines, low.split("\n"), strict=True)]
         if not any(held):
             return out
         near = {j for i, x in enumerate(held) if x for j in range(i - WINDOW + 1, i + WINDOW)}
@@ -494,6 +520,15 @@ class Exemplars:
         close()
         return out
 
+    @staticmethod
+    def _anchored(form: str, anchors: set[str]) -> bool:
+        """Whether a line has one of its page's anchors; only lines are parted that one stands in somewhere."""
+        plain = form if form.isascii() else form.encode("ascii", "ignore").decode("ascii")
+        for x in anchors:
+            if x in plain or x in form:
+                return not anchors.isdisjoint(_apart(form))
+        return False
+
     def best(self, text: str) -> str | None:
         """The kind of residue a single line is, if it is any."""
         return self.of_lines([text])[0]
@@ -519,7 +554,7 @@ def residue_fields(pages: DataFrame, **columns: str) -> DataFrame:
     have no case; repeated rows are judged each; very long texts are read whole; further columns are ignored; an
     empty table gives an empty result.
     """
-    from lodestrata.llm.boilerplate import LEAST_ARTICLE, headlike, judged
+    from lodestrata.llm.boilerplate import LEAST_ARTICLE, Forms, headlike, judged
     from lodestrata.llm.repeated_lines import standing_numbers
 
     rows, classifier = judged(pages, **columns)
@@ -560,7 +595,7 @@ def residue_fields(pages: DataFrame, **columns: str) -> DataFrame:
                 in_doubt[k] = lines, kinds
         if in_doubt:  # only here does it matter what the site adds
             take = pa.array(list(in_doubt))
-            standing = standing_numbers([texts[k] for k in in_doubt], block.column("hot").take(take))
+            standing = standing_numbers(doubted := [texts[k] for k in in_doubt], block.column("hot").take(take), Forms(doubted))
             for (k, (lines, kinds)), own in zip(in_doubt.items(), standing, strict=True):
                 if r := own_kind(lines, kinds, titles[k], own):
                     at.append(k)
